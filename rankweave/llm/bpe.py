@@ -123,8 +123,9 @@ class SegmentTreeBpe:
             self.words[word] = got
         return got
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        return [self._text(u) for u in units]
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [self._text(u) for u in units]
+        return np.frombuffer(b"".join(each), "<u4"), np.array([len(x) // 4 for x in each], np.int64)
 
     def _text(self, text: str) -> bytes:
         out = []
@@ -133,7 +134,7 @@ class SegmentTreeBpe:
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in self.memo.ids(texts)]
+        return self.memo.ids(texts)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")

@@ -111,7 +111,7 @@ def format_conversations(conversations: DataFrame, tokenizer: str, budget: int =
                 for at in range(0, batch.num_rows, 1000):
                     conv, role, text = (c.to_pylist() for c in batch.slice(at, 1000).columns)
                     texts = [t or "" for t in text]
-                    sizes = [len(x) // 4 + MARK_TOKENS for x in memo.ids(texts)]
+                    sizes = [len(x) + MARK_TOKENS for x in memo.ids(texts)]
                     yield from zip(conv, zip([r or "" for r in role], texts, strict=True), sizes, strict=True)
 
         stream, out, size = Ahead(rows()), [], 0

@@ -127,7 +127,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> Dat
         def encoded() -> Iterator[tuple]:
             for batch in in_small_batches(batches, 1):
                 for doc_id, ids in zip(batch.column(0).to_pylist(), memo.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                    yield (doc_id, ids + end), len(ids) // 4 + 1
+                    yield (doc_id, ids.tobytes() + end), len(ids) + 1
 
         rows: list[tuple] = []
         for s in pack(encoded()):

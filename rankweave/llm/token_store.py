@@ -115,7 +115,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
         part, memo, shard, n = TaskContext.get().partitionId(), library_memo(tokenizer, joined=True), _Shard(), 0
         for batch in in_small_batches(batches, 1):
             for doc_id, ids in zip(batch.column(0).to_pylist(), memo.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                shard.add(doc_id, ids + end)
+                shard.add(doc_id, ids.tobytes() + end)
                 if shard.n >= SHARD_IDS:
                     yield pa.RecordBatch.from_pylist([shard.row(part, n, kind)], schema)
                     shard, n = _Shard(), n + 1
