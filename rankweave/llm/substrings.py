@@ -31,6 +31,7 @@ from rankweave.llm.shared import in_small_batches, table, written
 WINDOW = 50
 GRAM = 12
 WORDS_KEPT = 400_000
+SALTS = 16
 TEXT_BATCH = 4 << 20
 RUNS = "anchor long, run long, doc_id long, place long"
 WINDOWS = "anchor long, window long, doc_id long, place long"
@@ -178,11 +179,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     seeds = written(runs.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "seeds")
     seeded = written(runs.join(seeds, "anchor"), "seeded")
     # equal runs: one match each
-    first = seeded.groupBy("anchor", "run").agg(F.min("doc_id").alias("first_id"))
-    mixed = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("mixed"))
-    judged = written(
-        seeded.join(first, ["anchor", "run"]).join(mixed, F.col("anchor") == F.col("mixed"), "left").select("doc_id", "place", (F.col("first_id") < F.col("doc_id")).alias("repeated"), F.col("mixed").isNotNull().alias("mixed")), "judged"
-    )
+    salt = F.pmod(F.col("run"), F.lit(SALTS))
+    first = seeded.groupBy("anchor", "run").agg(F.min("doc_id").alias("first_id")).withColumn("salt", salt)
+    mixed = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("mixed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"))
+    marked = first.join(mixed, ["anchor", "salt"], "left").drop("salt")  # an anchor of very many runs is spread by the salt
+    judged = written(seeded.join(marked, ["anchor", "run"]).select("doc_id", "place", (F.col("first_id") < F.col("doc_id")).alias("repeated"), F.col("mixed").isNotNull().alias("mixed")), "judged")
     whole = judged.where("repeated").select("doc_id", "place")
     # runs that differ about one anchor: one copy of each, window by window
     open_runs = judged.where("mixed and not repeated").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
