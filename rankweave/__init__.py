@@ -1,0 +1 @@
+"""Multi-label feature ranking on Spark DataFrames."""
