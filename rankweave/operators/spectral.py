@@ -18,7 +18,6 @@ from rankweave.operators.weights import pattern_counts, spectral_pattern_weights
 from rankweave.plans.params import SIMILARITIES, SpectralParams, params_of
 
 EPS = 1e-10
-ALL = Window.partitionBy()
 
 
 def pattern_edges(patterns: DataFrame, sim: str = "jaccard") -> DataFrame:
@@ -110,7 +109,7 @@ def knn_edges(samples: DataFrame, sim: str, k: int) -> DataFrame:
 
 def min_max_over(v: Column) -> Column:
     """A column of one row per feature, scaled to [0, 1]; 0.5 where it is constant."""
-    low, high = F.min(v).over(ALL), F.max(v).over(ALL)
+    low, high = F.min(v).over(Window.partitionBy()), F.max(v).over(Window.partitionBy())
     return F.when(high - low < EPS, 0.5).otherwise((v - low) / (high - low))
 
 

@@ -10,7 +10,6 @@ from rankweave.functions.columns import pattern
 from rankweave.sources.samples import label_values
 
 EPS = 1e-12
-ALL = Window.partitionBy()
 
 
 def label_freq(samples: DataFrame) -> DataFrame:
@@ -21,13 +20,13 @@ def label_freq(samples: DataFrame) -> DataFrame:
 def rarity_prior(samples: DataFrame, gamma: float = 2.0) -> DataFrame:
     """(lid, freq, prior): prior in proportion to freq ** -gamma. The window is over one row per label."""
     p = F.pow("freq", F.lit(-gamma))
-    return label_freq(samples).select("lid", "freq", (p / (F.sum(p).over(ALL) + EPS)).alias("prior"))
+    return label_freq(samples).select("lid", "freq", (p / (F.sum(p).over(Window.partitionBy()) + EPS)).alias("prior"))
 
 
 def tail_weights(samples: DataFrame, label_gamma: float = 0.0) -> DataFrame:
     """(lid, weight): freq ** (-gamma / 2) over its mean."""
     w = F.pow("freq", F.lit(-label_gamma / 2))
-    return label_freq(samples).select("lid", (w / (F.avg(w).over(ALL) + EPS)).alias("weight"))
+    return label_freq(samples).select("lid", (w / (F.avg(w).over(Window.partitionBy()) + EPS)).alias("weight"))
 
 
 def pattern_counts(samples: DataFrame) -> DataFrame:
@@ -40,7 +39,7 @@ def pattern_weights(samples: DataFrame, gamma: float = 2.0, kappa: float = 1.5,
     pats = pattern_counts(samples)
     long = pats.select("pattern", "n", F.posexplode("labels").alias("lid", "y"))
     raw = long.join(rarity_prior(samples, gamma), "lid").groupBy("pattern", "n").agg(F.least(1 + kappa * F.sum(F.col("y") * F.col("prior")), F.lit(s_max)).alias("raw"))
-    mean = F.sum(F.col("raw") * F.col("n")).over(ALL) / F.sum("n").over(ALL)
+    mean = F.sum(F.col("raw") * F.col("n")).over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy())
     return raw.select("pattern", "n", (F.col("raw") / (mean + EPS)).alias("s"))
 
 
@@ -56,9 +55,9 @@ def spectral_pattern_weights(samples: DataFrame, gamma: float) -> DataFrame:
     long = pats.select("pattern", "n", F.posexplode("labels").alias("lid", "y"))
     mean = long.groupBy("lid").agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("freq"))
     raw = long.join(mean, "lid").groupBy("pattern", "n").agg(F.pow(F.sum(F.col("y") / F.greatest("freq", F.lit(1e-10))), F.lit(gamma)).alias("raw"))
-    total = F.sum(F.col("raw") * F.col("n")).over(ALL)
+    total = F.sum(F.col("raw") * F.col("n")).over(Window.partitionBy())
     checked = F.when(total > 0, total).otherwise(F.raise_error(F.lit("instance weights need a positive label")).cast("double"))
-    return raw.select("pattern", "n", (F.col("raw") / (checked / F.sum("n").over(ALL))).alias("w"))
+    return raw.select("pattern", "n", (F.col("raw") / (checked / F.sum("n").over(Window.partitionBy()))).alias("w"))
 
 
 def label_gram(samples: DataFrame) -> DataFrame:
