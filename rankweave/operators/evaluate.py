@@ -52,9 +52,8 @@ def fold_predictions(samples: DataFrame, groups: DataFrame, params: MlknnParams,
     """(subset, fold, id, lid, pred, y): every row predicted by the classifier of its fold, for each feature subset in ``groups`` (subset,
     selected array<int>), all in one job."""
     dealt = samples.join(folds(samples, cv, seed), "id")
-    tests = F.explode(F.sequence(F.lit(0), F.lit(cv - 1))).alias("test_fold")
-    sets = groups.select("subset", "selected", tests)  # a row for each pair of capacities at most
-    every = dealt.join(F.broadcast(sets), F.lit(True))
+    sets = F.array(*[F.struct(F.lit(g["subset"]).alias("subset"), F.array(*map(F.lit, g["selected"])).alias("selected")) for g in groups.collect()])  # one for each pair of capacities at most
+    every = dealt.withColumn("g", F.explode(sets)).select("*", "g.*", F.explode(F.sequence(F.lit(0), F.lit(cv - 1))).alias("test_fold"))
     rows = every.select(F.concat_ws("/", "subset", "test_fold").alias("grp"), "id", F.transform("selected", lambda i: F.element_at("features", i + 1)).alias("features"), "labels", (F.col("fold") != F.col("test_fold")).alias("train"))
     few = rows.where("train").groupBy("grp").count().agg(F.min("count")).first()[0]
     k = min(params.k, max(1, few - 1))

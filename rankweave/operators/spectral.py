@@ -51,20 +51,19 @@ class Graph:
         return self.nodes.join(near, "node", "left").select("node", "n", "own", deg.alias("deg"), F.when(deg > EPS, 1 / F.sqrt(deg)).otherwise(0.0).alias("d"))
 
     def quadratic(self) -> DataFrame:
-        """(fid, xx, xax, xlx, deg_x, sum_x): the sums from which energies and alignments follow."""
+        """(fid, xx, xax, xnx, deg_x, sum_x, rows, mass): the sums from which energies and alignments follow."""
         g = self.degrees()
-        of = self.stats.join(g, "node").select("node", "fid", "s", "q", "own", "deg", "d")
+        of = self.stats.join(g, "node").select("node", "n", "fid", "s", "q", "own", "deg", "d")
         near = self.edges.join(of.select(F.col("node").alias("q"), "fid", "s", "d"), "q").groupBy(F.col("p").alias("node"), "fid").agg(F.sum(F.col("w") * F.col("s")).alias("ws"), F.sum(F.col("w") * F.col("d") * F.col("s")).alias("wds"))
         ws, wds = F.coalesce("ws", F.lit(0.0)), F.coalesce("wds", F.lit(0.0))
         return of.join(near, ["node", "fid"], "left").groupBy("fid").agg(
             F.sum("q").alias("xx"), F.sum(F.col("s") * ws + F.col("own") * F.col("q")).alias("xax"), F.sum(F.col("d") * F.col("s") * wds + F.col("d") * F.col("d") * F.col("own") * F.col("q")).alias("xnx"),
-            F.sum(F.col("deg") * F.col("s")).alias("deg_x"), F.sum("s").alias("sum_x"),
+            F.sum(F.col("deg") * F.col("s")).alias("deg_x"), F.sum("s").alias("sum_x"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("deg")).alias("mass"),
         )
 
     def scores(self) -> DataFrame:
         """(fid, dirichlet, hsic)."""
-        total = self.degrees().agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("deg")).alias("mass"))
-        x = self.quadratic().join(F.broadcast(total))  # one row
+        x = self.quadratic()
         n = F.col("rows")
         hsic = F.col("xax") - 2 * F.col("sum_x") * F.col("deg_x") / n + F.col("mass") / (n * n) * F.col("sum_x") * F.col("sum_x")
         return x.select("fid", ((F.col("xx") - F.col("xnx")) / (F.col("xx") + EPS)).alias("dirichlet"), (hsic / (F.col("xx") + EPS)).alias("hsic"))
