@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm.shared import in_small_batches, table
+from rankweave.llm.shared import idle, in_small_batches, table
 from rankweave.llm.units import library_memo
 
 WINDOW = 4096
@@ -139,6 +139,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> Dat
             if len(rows) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 rows = []
+        memo.rest()
+        idle()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

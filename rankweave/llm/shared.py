@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,6 +35,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def idle() -> None:
+    """At the end of a task: give memory that isn't used back to the system, as idle Python workers stay for a while."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,5 +76,6 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: s
         for batch in in_small_batches(batches, place):
             got = work(batch)
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
+        idle()
 
     return df.mapInArrow(run, schema)

@@ -20,17 +20,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from rankweave.llm.shared import in_small_batches, table, written
+from rankweave.llm.shared import idle, in_small_batches, table, written
 
 WINDOW = 50
 GRAM = 12
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 SALTS = 16
 TEXT_BATCH = 4 << 20
 RUNS = "anchor long, run long, doc_id long, place long"
@@ -138,6 +137,8 @@ def all_runs(docs: DataFrame) -> DataFrame:
             ids, texts, tags = _ids(batch)
             text, first, count, anchor, content = runs_of(texts)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (anchor.view(np.int64), content.view(np.int64), ids[text], _packed(first, count, tags[text]))], ["anchor", "run", "doc_id", "place"])
+        _HASHES.clear()  # an idle worker is small
+        idle()
 
     return _named(docs).mapInArrow(run, RUNS)
 
@@ -169,6 +170,8 @@ def windows_at(docs: DataFrame, places: DataFrame) -> DataFrame:
                     out.append(keys)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["anchor", "window", "doc_id", "place"])
+        _HASHES.clear()
+        idle()
 
     return _named(docs).join(places, "doc_id").mapInArrow(run, WINDOWS)
 
@@ -221,13 +224,13 @@ def digests(docs: DataFrame) -> DataFrame:
     return rows.join(repeats(docs), "doc_id", "left").select("doc_id", "text", "places").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-@F.pandas_udf(StringType())
-def _kept_text(texts: pd.Series, places: pd.Series) -> pd.Series:
-    def one(text: str | None, own: np.ndarray | None) -> str | None:
-        kept, n = keep(text, own)
+@F.arrow_udf(StringType())
+def _kept_text(texts: pa.Array, places: pa.Array) -> pa.Array:
+    def one(text: str | None, own: pa.Scalar) -> str | None:
+        kept, n = keep(text, own.values.to_numpy() if own.is_valid else None)
         return text if len(kept) == n else b" ".join(kept).decode("utf-8")
 
-    return pd.Series([one(t, p) for t, p in zip(texts, places, strict=True)], dtype=object)
+    return pa.array([one(t.as_py(), p) for t, p in zip(texts, places, strict=True)], pa.string())
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

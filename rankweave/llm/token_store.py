@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.shared import in_small_batches, shared_folder, table
+from rankweave.llm.shared import idle, in_small_batches, shared_folder, table
 from rankweave.llm.units import library_memo
 
 BLOCK_IDS = 1 << 16
@@ -119,6 +119,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
                 if shard.n >= SHARD_IDS:
                     yield pa.RecordBatch.from_pylist([shard.row(part, n, kind)], schema)
                     shard, n = _Shard(), n + 1
+        memo.rest()
+        idle()
         if shard.docs:
             yield pa.RecordBatch.from_pylist([shard.row(part, n, kind)], schema)
 

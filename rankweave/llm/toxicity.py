@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +34,7 @@ STEP = 0.1
 STEPS = 400
 THRESHOLD = 0.3
 SLICE = 1 << 20
+ROWS_AT_ONCE = 500
 SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
@@ -197,11 +197,11 @@ def logistic(row: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, n_fe
 def scorer(model: Model):
     """A function of a text column: its score."""
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         dense = model.dense()
         for part in parts:
-            yield pd.Series(model.score(part.tolist(), dense))
+            yield pa.array(np.concatenate([np.zeros(0), *(model.score(part[k : k + ROWS_AT_ONCE].to_pylist(), dense) for k in range(0, len(part), ROWS_AT_ONCE))]))
 
     return lambda text: score(text.cast("string"))
 

@@ -78,6 +78,11 @@ class UnitMemo:
         self.starts = (ends - self.sizes).astype(np.int32)
         self.table, self.filled = table, len(table)
 
+    def rest(self) -> None:
+        """At the end of a task: keep only words that were met again, so that an idle worker is small."""
+        self._forget()
+        self.odd.clear()
+
     def _learn(self) -> None:
         """Encode the words that wait. Letters and a stop after them are never merged, so a word with a stop is its parts."""
         new, self.places.new = self.places.new, []
