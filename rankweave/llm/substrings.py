@@ -225,7 +225,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 @F.arrow_udf(StringType())
-def _kept_text(texts: pa.Array, places: pa.Array) -> pa.Array:
+def _cut_text(texts: pa.Array, places: pa.Array) -> pa.Array:
     def one(text: str | None, own: pa.Scalar) -> str | None:
         kept, n = keep(text, own.values.to_numpy() if own.is_valid else None)
         return text if len(kept) == n else b" ".join(kept).decode("utf-8")
@@ -236,9 +236,10 @@ def _kept_text(texts: pa.Array, places: pa.Array) -> pa.Array:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeats cut out of their texts (words that stay are joined by one space; texts without repeats are unchanged) and
     n_chars, where it is a column, counted anew. Rows of which nothing is left go."""
+    # the function counts as not deterministic, else it would run once for the filter and once for the column
     columns = [c for c in docs.columns if c not in ("text", "n_chars")]
     found = repeats(docs).select(F.col("doc_id").alias("repeat_doc_id"), "places")
-    cut = docs.join(found, F.col("doc_id") == F.col("repeat_doc_id"), "left").select(*columns, F.col("text").alias("was"), F.when(F.col("places").isNull(), F.col("text")).otherwise(_kept_text(F.col("text"), F.col("places"))).alias("text"))
+    cut = docs.join(found, F.col("doc_id") == F.col("repeat_doc_id"), "left").select(*columns, F.col("text").alias("was"), F.when(F.col("places").isNull(), F.col("text")).otherwise(_cut_text.asNondeterministic()(F.col("text"), F.col("places"))).alias("text"))
     stays = cut.where("text is null or was = text or text <> ''")
     if "n_chars" in docs.columns:
         stays = stays.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
