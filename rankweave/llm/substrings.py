@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from rankweave.llm.shared import idle, in_small_batches, table, written
+from rankweave.llm.shared import fresh, idle, in_small_batches, table, written
 
 WINDOW = 50
 GRAM = 12
@@ -236,14 +236,13 @@ def _cut_text(texts: pa.Array, places: pa.Array) -> pa.Array:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeats cut out of their texts (words that stay are joined by one space; texts without repeats are unchanged) and
     n_chars, where it is a column, counted anew. Rows of which nothing is left go."""
+    key, at, new = (fresh(name, docs) for name in ("repeat_doc_id", "repeat_places", "repeat_text"))
+    found = repeats(docs).select(F.col("doc_id").alias(key), F.col("places").alias(at))
     # the function counts as not deterministic, else it would run once for the filter and once for the column
-    columns = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = repeats(docs).select(F.col("doc_id").alias("repeat_doc_id"), "places")
-    cut = docs.join(found, F.col("doc_id") == F.col("repeat_doc_id"), "left").select(*columns, F.col("text").alias("was"), F.when(F.col("places").isNull(), F.col("text")).otherwise(_cut_text.asNondeterministic()(F.col("text"), F.col("places"))).alias("text"))
-    stays = cut.where("text is null or was = text or text <> ''")
-    if "n_chars" in docs.columns:
-        stays = stays.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    return stays.select(*docs.columns)
+    cut = F.when(F.col(at).isNull(), F.col("text")).otherwise(_cut_text.asNondeterministic()(F.col("text"), F.col(at)))
+    stays = docs.join(found, F.col("doc_id") == F.col(key), "left").withColumn(new, cut).where(F.col("text").isNull() | (F.col("text") == F.col(new)) | (F.col(new) != ""))
+    n_chars = F.coalesce(F.length(new), F.lit(0)).cast("long")
+    return stays.select(*[F.col(new).alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

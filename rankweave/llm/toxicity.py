@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm.shared import in_small_batches, table, written
+from rankweave.llm.shared import fresh, in_small_batches, table, written
 
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -214,7 +214,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that the classifier does not reject, with all their columns."""
-    return docs.withColumn("toxicity_score", scorer(model)(F.col("text"))).where(F.col("toxicity_score") < THRESHOLD).drop("toxicity_score")
+    score = fresh("toxicity_score", docs)
+    return docs.withColumn(score, scorer(model)(F.col("text"))).where(F.col(score) < THRESHOLD).drop(score)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
