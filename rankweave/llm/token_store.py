@@ -21,13 +21,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.shared import idle, in_small_batches, shared_folder, table
+from rankweave.llm.shared import in_small_batches, shared_folder, table
 from rankweave.llm.units import library_memo
 
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 20
 END_ID = 2
 LEVEL = 3
+UNITS_KEPT = 1_000_000
 
 SHARDS = (
     "part int, shard int, n_ids long, doc_ids array<long>, doc_tokens array<int>,"
@@ -112,15 +113,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, memo, shard, n = TaskContext.get().partitionId(), library_memo(tokenizer, joined=True), _Shard(), 0
+        part, memo, shard, n = TaskContext.get().partitionId(), library_memo(tokenizer, joined=True, full=UNITS_KEPT), _Shard(), 0
         for batch in in_small_batches(batches, 1):
             for doc_id, ids in zip(batch.column(0).to_pylist(), memo.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 shard.add(doc_id, ids.tobytes() + end)
                 if shard.n >= SHARD_IDS:
                     yield pa.RecordBatch.from_pylist([shard.row(part, n, kind)], schema)
                     shard, n = _Shard(), n + 1
-        memo.rest()
-        idle()
         if shard.docs:
             yield pa.RecordBatch.from_pylist([shard.row(part, n, kind)], schema)
 

@@ -163,7 +163,7 @@ class UnitMemo:
 _MEMOS: dict[tuple, UnitMemo] = {}
 
 
-def library_memo(path: str, joined: bool) -> UnitMemo:
+def library_memo(path: str, joined: bool, full: int = FULL) -> UnitMemo:
     """Of the tokenizers library with the vocabulary in ``path``; one in each Python worker."""
     if (path, joined) not in _MEMOS:
         import os
@@ -174,7 +174,7 @@ def library_memo(path: str, joined: bool) -> UnitMemo:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_padding()
         tokenizer.no_truncation()
-        _MEMOS[path, joined] = UnitMemo(_library_encoder(tokenizer), joined)
+        _MEMOS[path, joined] = UnitMemo(_library_encoder(tokenizer), joined, full)
     return _MEMOS[path, joined]
 
 
