@@ -1,14 +1,15 @@
 """Chat formatting into budgeted windows.
 
-Each turn is written as ``<turn role>\\n text </turn>\\n``; in roles and texts every backslash and every ``<`` gets a backslash before it, so no
-text can hold a mark, and the writing is reversed exactly. A conversation whose turns exceed the token budget becomes several windows: prefix
+Each turn is written as ``<turn role>\\n text </turn>\\n``; in roles and texts every backslash, ``<`` and ``>`` gets a backslash before it, so
+no text can hold a mark, and the writing is reversed exactly. A conversation whose turns exceed the token budget becomes several windows: prefix
 sums of the turns' tokens choose the longest span of whole turns that fits, a leading system turn is kept in every window, a limited history
 of turns is repeated before the new ones, and repeated assistant turns are masked so that each is a target once. A turn that exceeds the
 budget by itself gets a window of its own, marked ``over_budget``; nothing is dropped.
 
 Turns of a conversation are ordered by (turn, role, text), nulls first. Null roles and texts count as empty; a null conv_id is a conversation
 of its own; repeated rows are turns of their own; further columns are left out; an empty table gives no windows. Turns are read as a sorted
-stream, so a conversation of any length needs the memory of one window.
+stream, so a conversation of any length needs the memory of one window. Tokens are counted where the rows lie, before the rows of a
+conversation meet in one task, so a conversation that holds many of all rows is encoded by many tasks.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm.shared import table
+from rankweave.llm.shared import in_small_batches, table
 from rankweave.llm.units import library_memo
 
 BUDGET = 2048
 HISTORY = 256
 MARK_TOKENS = 8
 TARGET_ROLE = "assistant"
+SIZED = "conv_id long, turn long, role string, text string, n_tokens long"
 WINDOWS = "conv_id long, window long, n_repeated int, over_budget boolean, n_tokens long, formatted string, targets array<struct<start:int,end:int>>"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 TURN = re.compile(r"<turn ((?:[^<\\]|\\.)*)>\n((?:[^<\\]|\\.)*)</turn>\n", re.S)
@@ -96,6 +98,18 @@ def windows(turns: Iterable[tuple[tuple[str, str], int]], budget: int, history:
         yield window()
 
 
+def with_token_counts(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """``rows`` (conv_id, turn, role, text) with the tokens of each turn, its marks included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = library_memo(tokenizer, joined=True)
+        for batch in in_small_batches(batches, 3):
+            sizes = [len(x) + MARK_TOKENS for x in memo.ids([t or "" for t in batch.column(3).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], [*batch.schema.names, "n_tokens"])
+
+    return rows.mapInArrow(run, SIZED)
+
+
 def format_conversations(conversations: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """Windows of all conversations (conv_id, turn, role, text)."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -104,15 +118,11 @@ def format_conversations(conversations: DataFrame, tokenizer: str, budget: int =
     schema = to_arrow_schema(StructType.fromDDL(WINDOWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = library_memo(tokenizer, joined=True)
-
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
-                    conv, role, text = (c.to_pylist() for c in batch.slice(at, 1000).columns)
-                    texts = [t or "" for t in text]
-                    sizes = [len(x) + MARK_TOKENS for x in memo.ids(texts)]
-                    yield from zip(conv, zip([r or "" for r in role], texts, strict=True), sizes, strict=True)
+                    conv, role, text, sizes = (c.to_pylist() for c in batch.slice(at, 1000).columns)
+                    yield from zip(conv, zip([r or "" for r in role], [t or "" for t in text], strict=True), sizes, strict=True)
 
         stream, out, size = Ahead(rows()), [], 0
         while stream.more():
@@ -129,7 +139,8 @@ def format_conversations(conversations: DataFrame, tokenizer: str, budget: int =
 
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
+    sized = with_token_counts(rows, tokenizer)
+    return sized.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "role", "text", "n_tokens").mapInArrow(run, WINDOWS)
 
 
 class Ahead:

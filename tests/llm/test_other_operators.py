@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from rankweave.llm import chat, html_text, queries, topk
 
@@ -46,6 +47,9 @@ def test_chat_rows(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
     assert len(got) == len(turns) and chat.format_conversations(df.where("false"), tokenizer).count() == 0
     assert chat.format_conversations(df, tokenizer).where("conv_id = 3").count() == 2
+    library = Tokenizer.from_file(tokenizer)
+    sized = chat.with_token_counts(df.select("conv_id", "turn", "role", "text"), tokenizer).collect()
+    assert len(sized) == len(rows) and all(r.n_tokens == chat.MARK_TOKENS + len(library.encode(r.text or "", add_special_tokens=False).ids) for r in sized)
 
 
 def test_topk_is_the_sql(spark, data):
