@@ -166,9 +166,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all their columns; rows without an id stay."""
+    """The rows of ``docs`` whose id is the smallest of their component, with all their columns; rows without an id stay. Repeated rows
+    (one id and one text) become one; rows that share an id and differ in text all stay, so that no text is lost."""
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

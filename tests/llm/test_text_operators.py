@@ -228,6 +228,12 @@ def test_components_of_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({c for _, _, c in want if c is not None})
 
 
+def test_texts_that_share_an_id_are_not_lost(spark):
+    rows = [(1, "one two three four"), (1, "one two three four"), (1, "quite another text here"), (2, "one two three four"), (3, None)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(kept, "doc_id", "text") == sorted([rows[0], rows[2], rows[4]], key=str)
+
+
 @pytest.mark.parametrize("cell", [2, 6, 48])
 def test_dense_cells_lose_no_link(spark, monkeypatch, cell):
     monkeypatch.setattr(simhash, "CELL", cell)
