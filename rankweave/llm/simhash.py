@@ -16,7 +16,7 @@ smallest id of a component. Repeated rows stay; further columns are left out; an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,10 +165,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return of_docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all their columns; rows without an id stay. Repeated rows
+def one_of_each(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component by ``near``, with all their columns; rows without an id stay. Repeated rows
     (one id and one text) become one; rows that share an id and differ in text all stay, so that no text is lost."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = near(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
