@@ -53,13 +53,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed long."""
+    """(doc_id, fp, text_hash): the fingerprint of every row as a signed long, and a hash of its text."""
 
     def work(batch: pa.RecordBatch) -> dict:
         prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-        return {"doc_id": batch.column(0), "fp": prints.view(np.int64)}
+        return {"doc_id": batch.column(0), "fp": prints.view(np.int64), "text_hash": batch.column(2)}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, "doc_id long, fp long", "text")
+    text = F.col("text").cast("string")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")), work, "doc_id long, fp long, text_hash long", "text")
 
 
 def segment_counts(fp: Column) -> Column:
@@ -152,25 +153,35 @@ def links_of_large_cells(prints: DataFrame) -> DataFrame:
     return near.join(least, "cell").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, fingerprint, component_id."""
+def placed(docs: DataFrame) -> DataFrame:
+    """The rows of ``fingerprints`` with the root and the component_id of their component."""
     of_docs = written(fingerprints(docs), "fingerprints")
     prints = written(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     met = written(compare(cells(prints)), "met")
     large = met.where("b is null").select(F.col("a").alias("fp")).distinct()
     roots = components(met.where("b is not null").select("a", "b").distinct().union(links_of_large_cells(large)))
+    return of_docs.join(named(prints, roots), "fp")
+
+
+def named(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of ``prints`` (fp, first_id): the smallest id of each component names it."""
     rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = written(rooted.join(smallest, "root").select("fp", "component_id"), "components")
-    return of_docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return written(rooted.join(smallest, "root").select("fp", "root", "component_id"), "components")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, fingerprint, component_id."""
+    return placed(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component by ``near``, with all their columns; rows without an id stay. Repeated rows
-    (one id and one text) become one; rows that share an id and differ in text all stay, so that no text is lost."""
-    kept = near(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+def one_of_each(docs: DataFrame, place: Callable[[DataFrame], DataFrame] = placed) -> DataFrame:
+    """One row of ``docs`` of each component by ``place``, with all its columns: that of the smallest id, and of the texts that share this
+    id in the component that of the least hash; rows without an id stay. Repeated rows (one id and one text) become one."""
+    least = place(docs).where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept")).select("kept.*").distinct()
+    same = (docs["doc_id"].cast("long") == least["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == least["text_hash"])
+    own = docs.where("doc_id is not null").join(least, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 from test_text_operators import rows_of
 
-from rankweave.llm import shingle_sets
+from rankweave.llm import shingle_sets, simhash
 
 
 def slow_set(text, size=5):
@@ -88,3 +88,11 @@ def test_the_stage_drops_copies_with_changed_words(spark):
     far = [w if i % 20 else "far" for i, w in enumerate(base)]
     docs = spark.createDataFrame([(i, " ".join(t), "en") for i, t in enumerate([base, near, far, near])], "doc_id long, text string, lang string")
     assert rows_of(corpus_pipeline.drop_near_copies(spark, docs, ""), "doc_id") == [(0,), (2,)]
+
+
+@pytest.mark.parametrize("place", [simhash.placed, shingle_sets.placed])
+def test_a_copy_that_shares_an_id_with_a_kept_text_goes(spark, place):
+    a, b, c = "one two three four", "quite another text here", "a third one of these"
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c.upper()), (None, c)]
+    kept = rows_of(simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), place), "doc_id", "text")
+    assert len(kept) == 4 and {(1, a), (2, b), (None, c)} < set(kept)
