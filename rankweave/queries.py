@@ -548,9 +548,9 @@ def capacity_search(spark, d):
     rows = S.vectors(spark, d)
     x = S.feature_values(rows).groupBy("fid").agg(F.sum(F.col("val") * F.col("val")).alias("score"))
     s = spectral.spectral_scores(rows).select("fid", "score")
-    return evaluate.capacity_scores(rows, fusion.rank_uniform(x), fusion.rank_uniform(s), SelectionParams(grid=GRID, mlknn_k=K))
+    return evaluate.capacity_scores(rows, fusion.rank_uniform(x), fusion.rank_uniform(s), SelectionParams(mlknn_k=K))
 
 
 @query()
 def pipeline_full(spark, d):
-    return rank_features(S.vectors(spark, d), "CFIFS", selection={"grid": GRID})[0]
+    return rank_features(S.vectors(spark, d), "CFIFS")[0]
