@@ -15,11 +15,13 @@ markup is read as browsers do; further columns are left out; an empty table give
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ WITNESSES = 4
 SUPPORT = 0.8
 COPY = 0.5
 ALIGNED_PAIRS = 4096
+WEIGHTS = 1 << 18
 BROADCAST_BYTES = 8 << 20
 PAGE_BATCH = 2 << 20
 
@@ -161,6 +164,8 @@ def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
                 tags = Counter(a[0][c] for c in a[1][i])
                 common = sum(min(n, tags[t]) for t, n in Counter(b[0][c] for c in b[1][j]).items()) if tags and b[1][j] else 0
                 w = 1 + common + (0.5 if a[2][i] == b[2][j] else 0)
+            if len(weights) >= WEIGHTS:
+                weights.clear()
             weights[i, j] = w
         return w
 
@@ -178,17 +183,11 @@ def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
 
 
 def align(xs: list[int], ys: list[int], weight) -> list[tuple[int, int]]:
-    """The order-keeping alignment of two lists of children that weighs most; very long lists are aligned from both ends."""
+    """The order-keeping alignment of two lists of children that weighs most; of long lists only some rows of the table are held at a time."""
     if not xs or not ys:
         return []
     if len(xs) * len(ys) > ALIGNED_PAIRS:
-        k, n = 0, min(len(xs), len(ys))
-        while k < n and weight(xs[k], ys[k]):
-            k += 1
-        m = 0
-        while m < n - k and weight(xs[-1 - m], ys[-1 - m]):
-            m += 1
-        return list(zip(xs[:k], ys[:k], strict=True)) + [(xs[-1 - t], ys[-1 - t]) for t in range(m)]
+        return _align_long(xs, ys, weight)
     best = [[0.0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     for i, x in enumerate(xs):
         row, above = best[i + 1], best[i]
@@ -208,6 +207,38 @@ def align(xs: list[int], ys: list[int], weight) -> list[tuple[int, int]]:
     return out
 
 
+def _align_long(xs: list[int], ys: list[int], weight) -> list[tuple[int, int]]:
+    """The alignment of ``align``, with the table's rows as arrays: one row of each block is kept, and a block's rows are made again on the way back."""
+    block = math.isqrt(len(xs)) + 1
+
+    def next_row(above: np.ndarray, x: int) -> np.ndarray:
+        w = np.fromiter((weight(x, y) for y in ys), float, len(ys))
+        row = above.copy()
+        row[1:] = np.maximum(above[1:], np.where(w > 0, above[:-1] + w, 0.0))
+        return np.maximum.accumulate(row)
+
+    row, kept = np.zeros(len(ys) + 1), []
+    for i, x in enumerate(xs):
+        if i % block == 0:
+            kept.append(row)
+        row = next_row(row, x)
+    out, j = [], len(ys)
+    for k in range(len(kept) - 1, -1, -1):
+        rows = [kept[k]]
+        for x in xs[k * block : (k + 1) * block]:
+            rows.append(next_row(rows[-1], x))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((xs[k * block + i], ys[j]))
+    return out
+
+
 @lru_cache(512)
 def _pattern(page: str) -> Tree:
     return shape(parse(page))
