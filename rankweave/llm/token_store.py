@@ -1,6 +1,7 @@
 """Token-id output: fixed-size id blocks, transposed into bit or byte planes, each plane compressed with zstandard, with a chunk index.
 
-The file format is a Parquet table of shards. A shard is a run of whole documents in ascending (doc_id, text) order; its ``payload``
+The file format is a Parquet table of shards. A shard is a run of whole documents in ascending order of doc_id (rows that share an id: of a hash of
+their text, then of the text; only ids and hashes are sampled for the ranges, so no text goes to the driver); its ``payload``
 holds the compressed planes of its blocks one after another, ``chunk_index`` says where each block starts, how many ids it holds and how
 long its planes are, and ``doc_ids`` with ``doc_tokens`` say which ids are whose. Spark's committer makes the files appear whole or not
 at all, so a lost executor leaves no half-written shard, and any store that Spark can write to will do.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm.shared import in_small_batches, shared_folder, table
@@ -93,7 +94,7 @@ class _Shard:
         return {"part": part, "shard": shard, "n_ids": self.n, "doc_ids": self.docs, "doc_tokens": self.sizes, "chunk_index": index, "payload": b"".join(payload)}
 
 
-def read_block(payload: bytes, entry: dict, kind: str) -> np.ndarray:
+def read_block(payload: bytes | memoryview, entry: dict, kind: str) -> np.ndarray:
     """One block of a shard by its entry of the chunk index: nothing else of the payload is decompressed."""
     planes, at = [], entry["at"]
     for n in entry["planes"]:
@@ -115,7 +116,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
 
         part, memo, shard, n = TaskContext.get().partitionId(), library_memo(tokenizer, joined=True, full=UNITS_KEPT), _Shard(), 0
         for batch in in_small_batches(batches, 1):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), memo.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), memo.ids(batch.column(1).to_pylist()), strict=True):
                 shard.add(doc_id, ids.tobytes() + end)
                 if shard.n >= SHARD_IDS:
                     yield pa.RecordBatch.from_pylist([shard.row(part, n, kind)], schema)
@@ -123,15 +124,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
         if shard.docs:
             yield pa.RecordBatch.from_pylist([shard.row(part, n, kind)], schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange(*_order()).sortWithinPartitions(*_order())
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    first = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    ranged = rows.repartitionByRange(*first).sortWithinPartitions(*first, "text").select("doc_id", "text")
     ranged.mapInArrow(encode, SHARDS).write.parquet(path)
 
 
-def _order() -> list[Column]:
-    return [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-
-
 def read_store(spark: SparkSession, path: str, kind: str = "byte") -> DataFrame:
     """Per document of the store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 - decoded from the files."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -142,15 +141,15 @@ def read_store(spark: SparkSession, path: str, kind: str = "byte") -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                ids = np.concatenate([read_block(row["payload"], x, kind) for x in row["chunk_index"]]) if row["chunk_index"] else np.zeros(0, "<u4")
-                raw, sizes = memoryview(ids.astype("<u4", copy=False).tobytes()), row["doc_tokens"]
-                ends = np.cumsum([0, *sizes])
+                part, shard, _, doc_ids, doc_tokens, index, payload = (c[i] for c in batch.columns)
+                planes = memoryview(payload.as_buffer())
+                blocks = [read_block(planes, x, kind) for x in index.as_py()]
+                raw = memoryview(np.concatenate([np.zeros(0, "<u4"), *blocks]).astype("<u4", copy=False)).cast("B")
+                ends = np.cumsum(np.append(0, doc_tokens.values.to_numpy()))
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                k = len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, f.type) for v, f in zip(([row["part"]] * k, [row["shard"]] * k, range(k), row["doc_ids"], ends[:-1], sizes, crcs), schema, strict=True)], schema=schema
-                )
+                k = len(crcs)
+                columns = (np.full(k, part.as_py()), np.full(k, shard.as_py()), np.arange(k), doc_ids.values, ends[:-1], doc_tokens.values, crcs)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) if not isinstance(v, pa.Array) else v.cast(f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
 
     shards = spark.read.schema(SHARDS).parquet(path)
     # starts by two levels of prefix sums: over the parts, and over the shards of each part
