@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.shared import written
+from rankweave.llm.shared import HOT_SHARE, looked_up, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """From links (a, b) to (node, root): the least node that can be reached from each node that has a link.
 
     Every round takes the least root among a node's neighbours and then the root of that root, so paths halve at least; each round is
-    written to the shared folder. Rounds end when no root changes.
+    written to the shared folder. Rounds end when no root changes. Nodes and roots that hold over one in ``HOT_SHARE`` of all rows (so fewer than
+    ``HOT_SHARE`` of them) are looked up by broadcast, so that no task gets all rows of one.
     """
-    both = written(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct(), "links")
+    some = links.where("a <> b")
+    both = written(some.select("a", "b").union(some.select("b", "a")).distinct(), "links")
     roots = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "roots")
+    least = max(1, both.count() // HOT_SHARE)
+    degrees = written(both.groupBy("b").agg(F.count("*").alias("n")), "degrees")
     while True:
-        near = both.join(roots, both.b == roots.node).groupBy("a").agg(F.min("root").alias("low"))
-        lower = roots.join(near, roots.node == near.a, "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("low", "root")).alias("root"))
-        of = lower.select(F.col("node").alias("via"), F.col("root").alias("end"))
-        new = written(lower.join(of, lower.root == of.via, "left").select("node", "was", F.coalesce("end", "root").alias("root")), "roots")
+        found = looked_up(both, degrees.join(roots.select(F.col("node").alias("b"), F.col("root").alias("near")), "b"), ["b"], least)
+        near = found.groupBy("a").agg(F.min("near").alias("low"))
+        lower = written(roots.join(near, roots.node == near.a, "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("low", "root")).alias("root")), "lower")
+        sizes = lower.groupBy("root").agg(F.count("*").alias("n"))
+        ends = sizes.join(lower.select(F.col("node").alias("root"), F.col("root").alias("end")), "root")
+        new = written(looked_up(lower, ends, ["root"], least).select("node", "was", F.col("end").alias("root")), "roots")
         roots = new.select("node", "root")
         if new.where("root <> was").isEmpty():
             return roots

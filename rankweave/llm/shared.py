@@ -10,16 +10,20 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
+HOT_SHARE = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset and all runs on one machine (tests)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
             spark.sparkContext.setCheckpointDir(folder)
             folder = spark.sparkContext.getCheckpointDir()
@@ -35,6 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], least: int, n: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``values``, which has one row for each key and in ``n`` how many of ``rows`` have it. Keys with more than ``least`` rows
+    are broadcast: with ``least`` a thousandth of the rows there are fewer than a thousand of them. The others are shuffled. Both sides are read twice."""
+    hot, calm = values.where(F.col(n) > least), values.where(F.col(n) <= least)
+    few = F.broadcast(hot.select(*keys))
+    met = rows.join(F.broadcast(hot), keys)
+    return met.unionByName(rows.join(few, keys, "left_anti").join(calm, keys, how))
+
+
 def idle() -> None:
     """At the end of a task: give memory that isn't used back to the system, as idle Python workers stay for a while."""
     gc.collect()

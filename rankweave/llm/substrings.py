@@ -1,12 +1,13 @@
 """Substring deduplication: seed and extend.
 
-Seeds are winnowed anchors: of every window of 50 consecutive words, the least hash among its 12-word grams. Documents are joined on anchors.
-The windows that share an anchor are consecutive, so an anchor extends to both sides as a run of windows, and two equal runs are one long match;
-equal runs are settled as a whole, by the smallest doc_id that holds the run. Where one anchor stands in runs that differ (the matches there end
-somewhere between), one copy of each run is extended window by window instead. Together the matched windows are the maximal repeats of at least
-50 words. A word is removed if it is covered by a window that also starts in a document with a smaller doc_id.
+Seeds are winnowed anchors: of every window of 50 consecutive words, the least hash among its 12-word grams. Documents are joined on anchors, each
+with the smallest doc_id that holds it. The windows that share an anchor are consecutive, so an anchor extends to both sides as a run of windows, and
+equal runs are one match; where one anchor stands in runs that differ (matches end somewhere between), one copy of each run is extended window by
+window. Matches that overlap or touch are merged into maximal repeats, (document, start, length) of at least 50 words, and these decide what goes:
+a word is removed if it is covered by a window that also starts in a document with a smaller doc_id.
 
-Rows that repeat are aggregated before they are shuffled, hot anchors spread by their runs and windows, and no pairs of documents arise.
+Rows that repeat are aggregated before they are shuffled; anchors, runs and windows that hold over one in ``HOT_SHARE`` of the rows are looked up by
+broadcast (there are fewer than ``HOT_SHARE`` of them), so that none of them meets in one task; and no pairs of documents arise.
 
 Words are runs of characters other than ASCII white space, unchanged. Null texts have no words; texts of fewer than 50 words lose nothing; rows
 with a null doc_id lose nothing and take nothing from others; rows that repeat a doc_id are each judged by their own text, and never lose words
@@ -16,7 +17,6 @@ to each other; further columns are left out of digests and kept by ``without_rep
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from rankweave.llm.shared import fresh, idle, in_small_batches, table, written
+from rankweave.llm.shared import HOT_SHARE, fresh, idle, in_small_batches, looked_up, table, written
 
 WINDOW = 50
 GRAM = 12
 WORDS_KEPT = 150_000
-SALTS = 16
 TEXT_BATCH = 4 << 20
-RUNS = "anchor long, run long, doc_id long, place long"
-WINDOWS = "anchor long, window long, doc_id long, place long"
+RUNS = "anchor long, run long, doc_id long, tag long, place long"
+WINDOWS = "window long, doc_id long, tag long, place long"
 
 
 class _WordHashes(dict):
@@ -95,13 +94,9 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.array(bounds)
 
 
-def tag_of(text: str) -> int:
-    """24 bits that tell apart texts with the same doc_id."""
-    return zlib.crc32(text.encode("utf-8")) & 0xFFFFFF
-
-
-def _packed(first: np.ndarray, count: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    return first.astype(np.int64) << 32 | count.astype(np.int64) << 24 | tags.astype(np.int64)
+def _packed(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """First window and number of windows in a long."""
+    return first.astype(np.int64) << 8 | count.astype(np.int64)
 
 
 def runs_of(texts: list[str | None]) -> tuple[np.ndarray, ...]:
@@ -124,88 +119,101 @@ def runs_of(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     return text[starts], starts - bounds[text[starts]], ends - starts, anchors[starts], content
 
 
-def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str | None], np.ndarray]:
-    texts = batch.column(1).to_pylist()
-    return batch.column(0).to_numpy(), texts, np.array([tag_of(t) if t else 0 for t in texts], np.int64)
+def tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, text) of the rows with an id; the tag tells apart texts that share one."""
+    text = F.col("text").cast("string")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
 def all_runs(docs: DataFrame) -> DataFrame:
-    """(anchor, run, doc_id, place): every run of every document; ``place`` packs first window, number of windows and the text's tag."""
+    """(anchor, run, doc_id, tag, place): every run of every document; ``place`` packs first window and number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_small_batches(batches, 1, TEXT_BATCH):
-            ids, texts, tags = _ids(batch)
-            text, first, count, anchor, content = runs_of(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (anchor.view(np.int64), content.view(np.int64), ids[text], _packed(first, count, tags[text]))], ["anchor", "run", "doc_id", "place"])
+        for batch in in_small_batches(batches, 2, TEXT_BATCH):
+            ids, tags = (batch.column(k).to_numpy() for k in (0, 1))
+            text, first, count, anchor, content = runs_of(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (anchor.view(np.int64), content.view(np.int64), ids[text], tags[text], _packed(first, count))], ["anchor", "run", "doc_id", "tag", "place"])
         _HASHES.clear()  # an idle worker is small
         idle()
 
-    return _named(docs).mapInArrow(run, RUNS)
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return tagged(docs).mapInArrow(run, RUNS)
 
 
 def windows_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(anchor, window, doc_id, place) of the windows of the runs in ``places`` (doc_id, places)."""
+    """(window, doc_id, tag, place): the windows of the runs in ``places`` (doc_id, tag, places), one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_small_batches(batches, 1, TEXT_BATCH):
-            ids, texts, tags = _ids(batch)
-            words, bounds = word_hashes(texts)
-            if len(words) < WINDOW:
-                continue
-            anchors, windows = sliding_min(gram_hashes(words, GRAM), WINDOW - GRAM + 1), gram_hashes(words, WINDOW)
+        for batch in in_small_batches(batches, 2, TEXT_BATCH):
+            ids, tags = (batch.column(k).to_numpy() for k in (0, 1))
+            words, bounds = word_hashes(batch.column(2).to_pylist())
+            windows = gram_hashes(words, WINDOW)
             out: list[np.ndarray] = []
-            for k, own in enumerate(batch.column(2)):
-                packed = own.values.to_numpy() if own.is_valid else np.zeros(0, np.int64)
-                packed = packed[(packed & 0xFFFFFF) == tags[k]]
-                first, count = packed >> 32, packed >> 24 & 0xFF
-                at = np.unique(np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())) if len(packed) else packed
-                at = at[(at >= 0) & (at + WINDOW <= bounds[k + 1] - bounds[k])]
-                if len(at):
-                    here = at + bounds[k]
-                    keys = np.stack([anchors[here].view(np.int64), windows[here].view(np.int64), np.full(len(at), ids[k]), _packed(at, np.ones(len(at)), np.full(len(at), tags[k]))])
-                    out.append(keys)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["anchor", "window", "doc_id", "place"])
+            for k, own in enumerate(batch.column(3)):
+                packed = own.values.to_numpy()
+                first, count = packed >> 8, packed & 0xFF
+                at = np.unique(np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()))
+                out.append(np.stack([windows[at + bounds[k]].view(np.int64), np.full(len(at), ids[k]), np.full(len(at), tags[k]), _packed(at, np.ones(len(at)))]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["window", "doc_id", "tag", "place"])
         _HASHES.clear()
         idle()
 
-    return _named(docs).join(places, "doc_id").mapInArrow(run, WINDOWS)
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, places): the runs and windows of each document that also start in a document with a smaller id."""
-    runs = all_runs(docs)
-    seeds = written(runs.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "seeds")
-    seeded = written(runs.join(seeds, "anchor"), "seeded")
-    # equal runs: one match each
-    salt = F.pmod(F.col("run"), F.lit(SALTS))
-    first = seeded.groupBy("anchor", "run").agg(F.min("doc_id").alias("first_id")).withColumn("salt", salt)
-    mixed = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("mixed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"))
-    marked = first.join(mixed, ["anchor", "salt"], "left").drop("salt")  # an anchor of very many runs is spread by the salt
-    judged = written(seeded.join(marked, ["anchor", "run"]).select("doc_id", "place", (F.col("first_id") < F.col("doc_id")).alias("repeated"), F.col("mixed").isNotNull().alias("mixed")), "judged")
-    whole = judged.where("repeated").select("doc_id", "place")
-    # runs that differ about one anchor: one copy of each, window by window
-    open_runs = judged.where("mixed and not repeated").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    return tagged(docs).join(places, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places").mapInArrow(run, WINDOWS)
+
+
+def matches(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, place): the runs and windows of each document that also start in a document with a smaller id."""
+    runs = written(all_runs(docs), "runs")
+    least = max(1, runs.count() // HOT_SHARE)
+    seeds = written(runs.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n"), "seeds")
+    seeded = written(looked_up(runs, seeds, ["anchor"], least).drop("n"), "seeded")
+    # equal runs: one match each; where an anchor's runs differ, they stay open
+    first = seeded.groupBy("anchor", "run").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    mixed = written(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "mixed")
+    marked = looked_up(first, mixed.withColumnRenamed("n", "runs"), ["anchor"], least, "runs", how="left").withColumn("mixed", F.col("runs").isNotNull()).drop("runs")
+    judged = written(looked_up(seeded, written(marked, "first-runs"), ["anchor", "run"], least).select("doc_id", "tag", "place", (F.col("first_id") < F.col("doc_id")).alias("repeated"), "mixed"), "judged")
+    whole = judged.where("repeated").select("doc_id", "tag", "place")
+    # one copy of each open run, window by window
+    open_runs = judged.where("mixed and not repeated").groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))  # at most the runs of one text
     windows = written(windows_at(docs, open_runs), "windows")
-    least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    single = windows.join(least, ["anchor", "window"]).where("low < doc_id").select("doc_id", "place")
-    return whole.union(single).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    shared = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").drop("high")
+    return whole.union(looked_up(windows, written(shared, "shared-windows"), ["window"], least).where("low < doc_id").select("doc_id", "tag", "place"))
+
+
+def merged(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the maximal stretches of words that the runs and windows cover."""
+    first = np.sort(places) >> 8
+    ends = np.maximum.accumulate(first + (np.sort(places) & 0xFF) + WINDOW - 1)
+    begins = np.concatenate([[True], first[1:] > ends[:-1]])
+    starts = first[begins]
+    return starts, ends[np.append(np.flatnonzero(begins)[1:] - 1, len(ends) - 1)] - starts
 
 
-def keep(text: str | None, places: np.ndarray | None) -> tuple[list[bytes], int]:
-    """The words that stay, and how many words there were."""
+def maximal_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, starts, lengths): the maximal repeats of each text, in words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged(own.values.to_numpy()) for own in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in spans], pa.list_(pa.int64())), pa.array([n for _, n in spans], pa.list_(pa.int64()))], ["doc_id", "tag", "starts", "lengths"])
+
+    grouped = matches(docs).groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))
+    return grouped.mapInArrow(run, "doc_id long, tag long, starts array<long>, lengths array<long>")
+
+
+def keep(text: str | None, starts: np.ndarray | None, lengths: np.ndarray | None) -> tuple[list[bytes], int]:
+    """The words outside the repeats, and how many words there were."""
     words = text.encode("utf-8").split() if text else []
-    if places is None or len(places) == 0 or not words:
+    if starts is None or not words:
         return words, len(words)
-    packed = np.asarray(places, np.int64)
-    packed = packed[(packed & 0xFFFFFF) == tag_of(text)]
-    first, last = packed >> 32, (packed >> 32) + (packed >> 24 & 0xFF) + WINDOW - 1
-    cover = np.cumsum(np.bincount(first, minlength=len(words) + 1)[: len(words) + 1] - np.bincount(last, minlength=len(words) + 1)[: len(words) + 1])
-    return [words[i] for i in np.flatnonzero(cover[:-1] == 0).tolist()], len(words)
+    kept, at = [], 0
+    for start, length in zip(starts.tolist(), lengths.tolist(), strict=True):
+        kept += words[at:start]
+        at = start + length
+    return kept + words[at:], len(words)
+
+
+def _array(x: pa.Scalar) -> np.ndarray | None:
+    return x.values.to_numpy() if x.is_valid else None
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -214,33 +222,35 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_small_batches(batches, 1, TEXT_BATCH):
             rows = []
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                kept, n = keep(text, places.values.to_numpy() if places.is_valid else None)
+            for text, starts, lengths in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                kept, n = keep(text, _array(starts), _array(lengths))
                 rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             n_words, n_removed, digest = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(repeats(docs), "doc_id", "left").select("doc_id", "text", "places").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    return rows.join(maximal_repeats(docs), ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "lengths").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 @F.arrow_udf(StringType())
-def _cut_text(texts: pa.Array, places: pa.Array) -> pa.Array:
-    def one(text: str | None, own: pa.Scalar) -> str | None:
-        kept, n = keep(text, own.values.to_numpy() if own.is_valid else None)
+def _cut_text(texts: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
+    def one(text: str | None, *spans: pa.Scalar) -> str | None:
+        kept, n = keep(text, *map(_array, spans))
         return text if len(kept) == n else b" ".join(kept).decode("utf-8")
 
-    return pa.array([one(t.as_py(), p) for t, p in zip(texts, places, strict=True)], pa.string())
+    return pa.array([one(t.as_py(), s, n) for t, s, n in zip(texts, starts, lengths, strict=True)], pa.string())
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeats cut out of their texts (words that stay are joined by one space; texts without repeats are unchanged) and
     n_chars, where it is a column, counted anew. Rows of which nothing is left go."""
-    key, at, new = (fresh(name, docs) for name in ("repeat_doc_id", "repeat_places", "repeat_text"))
-    found = repeats(docs).select(F.col("doc_id").alias(key), F.col("places").alias(at))
+    key, tag, starts, lengths, new = (fresh(name, docs) for name in ("repeat_doc_id", "repeat_tag", "repeat_starts", "repeat_lengths", "repeat_text"))
+    found = maximal_repeats(docs).toDF(key, tag, starts, lengths)
+    same = (F.col("doc_id") == F.col(key)) & (F.xxhash64(F.col("text").cast("string")) == F.col(tag))
     # the function counts as not deterministic, else it would run once for the filter and once for the column
-    cut = F.when(F.col(at).isNull(), F.col("text")).otherwise(_cut_text.asNondeterministic()(F.col("text"), F.col(at)))
-    stays = docs.join(found, F.col("doc_id") == F.col(key), "left").withColumn(new, cut).where(F.col("text").isNull() | (F.col("text") == F.col(new)) | (F.col(new) != ""))
+    cut = F.when(F.col(key).isNull(), F.col("text")).otherwise(_cut_text.asNondeterministic()(F.col("text"), F.col(starts), F.col(lengths)))
+    stays = docs.join(found, same, "left").withColumn(new, cut).where(F.col("text").isNull() | (F.col("text") == F.col(new)) | (F.col(new) != ""))
     n_chars = F.coalesce(F.length(new), F.lit(0)).cast("long")
     return stays.select(*[F.col(new).alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

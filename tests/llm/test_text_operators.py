@@ -92,7 +92,8 @@ def test_store(spark, odd_docs, no_docs, tmp_path, kind, monkeypatch):
     monkeypatch.setattr(token_store, "SHARD_IDS", 5000)
     token_store.write_store(odd_docs, str(tmp_path / "s"), BYTES, kind)
     at, want = 0, []
-    for i, t in sorted(((r.doc_id, r.text) for r in odd_docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
+    hashed = [(r.doc_id, r.hash, r.text) for r in odd_docs.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS hash").collect()]
+    for i, _, t in sorted(hashed, key=lambda x: (x[0] is not None, x[0] or 0, *x[1:])):
         ids = [*library(BYTES).encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
