@@ -5,9 +5,10 @@ most 2 bits have points at a Manhattan distance of at most 2 (the distance is a
 fingerprint goes to its own cell and to the cells next to it, and fingerprints that meet in a cell are compared exactly. Work is done on
 distinct fingerprints, so copies cost one row.
 
-A cell with more than ``CELL`` fingerprints is not compared pair by pair: its members go to the grid of 1-bit segments, where the Manhattan
-distance is the Hamming distance itself. There, fingerprints that share a cell are within 2 bits of each other, so each is linked to the
-least of its cell and no pairs arise. Nothing is dropped or capped.
+A cell with more than ``CELL`` fingerprints is split by the same method at a finer grid: its members go to the counts of 2-bit segments, and what
+is still too full there to the counts of 1-bit segments, where the Manhattan distance is the Hamming distance itself. In this last grid fingerprints
+that share a cell are within 2 bits of each other and a cell has 65 of them at most, so each is linked to the least of its cell. Nothing is dropped
+or capped: two fingerprints that meet in a full cell meet again in each finer grid.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased; shingles have 3 words, repeats count, fewer words are one shingle, and
 a text without words (null, empty) has fingerprint zero and is linked like any other. Rows with a null doc_id take part, but are never the
@@ -17,6 +18,7 @@ smallest id of a component. Repeated rows stay; further columns are left out; an
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.llm.components import components
-from rankweave.llm.shared import map_batches, table, written
+from rankweave.llm.shared import HOT_SHARE, fresh, looked_up, map_batches, table, written
 
 SHINGLE = 3
 SEED = 42
 DISTANCE = 2
 SEGMENT = 4
+FINER = (4, 2, 1)
 CELL = 48
 SHINGLES_AT_ONCE = 1 << 16
 
@@ -63,20 +66,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")), work, "doc_id long, fp long, text_hash long", "text")
 
 
-def segment_counts(fp: Column) -> Column:
-    """The counts of set bits in each 4-bit segment, as the nibbles of a long (bit operations only, so nothing overflows)."""
+def segment_counts(fp: Column, bits: int = SEGMENT) -> Column:
+    """The counts of set bits in each segment of 4, 2 or 1 bits, as fields of that many bits of a long (bit operations only, so nothing overflows)."""
+    if bits == 1:
+        return fp
     pairs, fours = F.lit(0x5555555555555555), F.lit(0x3333333333333333)
     shifted = F.shiftrightunsigned(fp, 1)
     two = fp.bitwiseXOR(shifted).bitwiseAND(pairs).bitwiseOR(F.shiftleft(fp.bitwiseAND(shifted).bitwiseAND(pairs), 1))
-    return two.bitwiseAND(fours) + F.shiftrightunsigned(two, 2).bitwiseAND(fours)
+    return two if bits == 2 else two.bitwiseAND(fours) + F.shiftrightunsigned(two, 2).bitwiseAND(fours)
 
 
-def cells(prints: DataFrame) -> DataFrame:
-    """(cell, fp): each distinct fingerprint in its cell and in those at Manhattan distance 1."""
-    at = F.col("counts")
-    count = [F.shiftrightunsigned(at, SEGMENT * i).bitwiseAND(F.lit(15)) for i in range(64 // SEGMENT)]
-    near = [F.when(c < SEGMENT, at + F.lit(1 << SEGMENT * i)) for i, c in enumerate(count)] + [F.when(c > 0, at - F.lit(1 << SEGMENT * i)) for i, c in enumerate(count)]
-    return prints.select("fp", segment_counts(F.col("fp")).alias("counts")).select(F.explode(F.array_compact(F.array(at, *near))).alias("cell"), "fp")
+def cells(prints: DataFrame, bits: int = SEGMENT) -> DataFrame:
+    """(cell, fp): each distinct fingerprint in its cell and in those at Manhattan distance 1, in the grid of segments of ``bits`` bits."""
+    at, near = F.col("counts"), []
+    for shift in range(0, 64, bits):
+        count = F.shiftrightunsigned(at, shift).bitwiseAND(F.lit((1 << bits) - 1))
+        for step in (1, -1):
+            # a count c becomes c + step: the bits in which the two differ are turned
+            turned = F.lit(None).cast("long")
+            for c in range(bits + 1):
+                if 0 <= c + step <= bits:
+                    turned = F.when(count == c, F.lit(_signed((c ^ c + step) << shift))).otherwise(turned)
+            near.append(at.bitwiseXOR(turned))
+    return prints.select("fp", segment_counts(F.col("fp"), bits).alias("counts")).select(F.explode(F.array_compact(F.array(at, *near))).alias("cell"), "fp")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 LINKS = "a long, b long"
@@ -145,29 +161,33 @@ def compare(grid: DataFrame, most: int = CELL) -> DataFrame:
     return grid.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, LINKS)
 
 
-def links_of_large_cells(prints: DataFrame) -> DataFrame:
-    """Links of the grid of 1-bit segments: each fingerprint to the least one in every cell that it shares."""
-    fp = F.col("fp")
-    near = prints.select("fp", F.explode(F.array(fp, *[fp.bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])).alias("cell"))
+def links(prints: DataFrame) -> DataFrame:
+    """(a, b): links between distinct fingerprints (fp) that join all that are within ``DISTANCE`` bits; full cells go to the next finer grid."""
+    found, left = [], prints
+    for bits in FINER[:-1]:
+        met = written(compare(cells(left, bits)), f"met-{bits}")
+        found.append(met.where("b is not null").select("a", "b"))
+        left = met.where("b is null").select(F.col("a").alias("fp")).distinct()
+    near = cells(left, FINER[-1])
     least = near.groupBy("cell").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1").select("cell", "least")
-    return near.join(least, "cell").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+    found.append(near.join(least, "cell").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def placed(docs: DataFrame) -> DataFrame:
     """The rows of ``fingerprints`` with the root and the component_id of their component."""
     of_docs = written(fingerprints(docs), "fingerprints")
-    prints = written(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    met = written(compare(cells(prints)), "met")
-    large = met.where("b is null").select(F.col("a").alias("fp")).distinct()
-    roots = components(met.where("b is not null").select("a", "b").distinct().union(links_of_large_cells(large)))
-    return of_docs.join(named(prints, roots), "fp")
+    prints = written(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "distinct-fingerprints")
+    return with_components(of_docs, prints, components(links(prints.select("fp"))))
 
 
-def named(prints: DataFrame, roots: DataFrame) -> DataFrame:
-    """(fp, root, component_id) of ``prints`` (fp, first_id): the smallest id of each component names it."""
-    rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return written(rooted.join(smallest, "root").select("fp", "root", "component_id"), "components")
+def with_components(of_docs: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """``of_docs`` with the root and the component_id (its smallest id) of each row's component; ``prints``: (fp, first_id, rows). Fingerprints of
+    very many rows and components of very many fingerprints are not gathered in one task."""
+    rooted = written(prints.join(roots, prints.fp == roots.node, "left").select("fp", "first_id", "rows", F.coalesce("root", "fp").alias("root")), "rooted")
+    smallest = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("prints")), "components")
+    every = written(looked_up(rooted, smallest, ["root"], max(1, rooted.count() // HOT_SHARE), "prints").select("fp", "root", "component_id", "rows"), "named")
+    return looked_up(of_docs, every, ["fp"], max(1, of_docs.count() // HOT_SHARE), "rows").drop("rows")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -179,8 +199,10 @@ def one_of_each(docs: DataFrame, place: Callable[[DataFrame], DataFrame] = place
     """One row of ``docs`` of each component by ``place``, with all its columns: that of the smallest id, and of the texts that share this
     id in the component that of the least hash; rows without an id stay. Repeated rows (one id and one text) become one."""
     least = place(docs).where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept")).select("kept.*").distinct()
-    same = (docs["doc_id"].cast("long") == least["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == least["text_hash"])
-    own = docs.where("doc_id is not null").join(least, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    key, mark, digest = (fresh(f"near_{c}", docs) for c in ("id", "hash", "digest"))
+    text = F.col("text").cast("string")
+    named_rows = docs.where("doc_id is not null").select("*", F.col("doc_id").cast("long").alias(key), F.xxhash64(text).alias(mark), F.md5(text).alias(digest))
+    own = named_rows.join(least.select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark)), [key, mark], "left_semi").dropDuplicates([key, mark, digest])
     return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

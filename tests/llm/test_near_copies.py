@@ -50,6 +50,7 @@ def random_docs(rnd):
         texts += [base, *[edited(rnd, base, rnd.randrange(1 + len(base) // 25 + 1)) for _ in range(4)]]
     base = [f"h{i}" for i in range(120)]
     texts += [edited(rnd, base, rnd.randrange(5)) for _ in range(40)]
+    texts += [[*base[:90], *[f"o{i}x{k}" for k in range(rnd.randrange(10, 60))]] for i in range(30)]  # a passage that many texts share
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, " "), (None, "w1 w2"), (902, texts and " ".join(texts[3]))]
     rnd.shuffle(rows)
     return rows
@@ -68,7 +69,11 @@ def test_sets_at_the_similarity_meet(n):
             more += 1
         b = np.append(a[gone:], np.array([rnd.getrandbits(64) for _ in range(more)], np.uint64))
         assert shingle_sets.similar(np.sort(a), np.sort(b), least)
-        assert gone + more == 0 or set(shingle_sets.signatures(np.sort(a), least).tolist()) & set(shingle_sets.signatures(np.sort(b), least).tolist())
+        sketches = [set(np.sort(x)[: shingle_sets.SKETCH].tolist()) for x in (a, b)]
+        assert len(sketches[0] & sketches[1]) >= min(shingle_sets.sure(least), -(-min(len(a), len(b)) * 4 // 5))
+        common = np.array([x for x in [*a.tolist(), *b.tolist()] if rnd.random() < 0.5], np.uint64)
+        first = [set(shingle_sets.first_shingles(np.sort(x), common, least).tolist()) for x in (a, b)]
+        assert first[0] & first[1]
 
 
 @pytest.mark.parametrize("cell", [2, 8])
