@@ -80,10 +80,10 @@ def params_of(kind: type, given):
 
 # The named variants as (alpha, instance weights, all stages).
 VARIANTS = {
-    "CFIFS": (0.35, True, True),
-    "CFIFS_EMB": (0.35, True, False),
-    "ACSF_REG": (0.0, True, False),
-    "ACSF_LOG": (1.0, True, False),
-    "ACSF_NOWT": (0.35, False, False),
-    "ACSF_SIMPLE": (0.0, False, False),
+    "full": (0.35, True, True),
+    "embedded": (0.35, True, False),
+    "regression": (0.0, True, False),
+    "logistic": (1.0, True, False),
+    "unweighted": (0.35, False, False),
+    "simple": (0.0, False, False),
 }

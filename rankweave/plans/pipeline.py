@@ -14,7 +14,7 @@ from rankweave.operators.spectral import spectral_scores
 from rankweave.plans.params import VARIANTS, EmbeddedParams, SelectionParams, SpectralParams, params_of
 
 
-def rank_features(samples: DataFrame, variant: str = "CFIFS", embedded: EmbeddedParams | dict | None = None, spectral: SpectralParams | dict | None = None, selection: SelectionParams | dict | None = None) -> tuple[DataFrame, dict]:
+def rank_features(samples: DataFrame, variant: str = "full", embedded: EmbeddedParams | dict | None = None, spectral: SpectralParams | dict | None = None, selection: SelectionParams | dict | None = None) -> tuple[DataFrame, dict]:
     """(rank, fid, score) by one of the named variants, and a dict of what was found."""
     if variant not in VARIANTS:
         raise ValueError(f"variant must be one of {sorted(VARIANTS)}")

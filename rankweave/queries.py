@@ -539,7 +539,7 @@ def _embedded(name: str, variant: str) -> None:
     query()(run)
 
 
-for _name, _variant in {"full": "CFIFS_EMB", "reg": "ACSF_REG", "log": "ACSF_LOG", "nowt": "ACSF_NOWT", "simple": "ACSF_SIMPLE"}.items():
+for _name, _variant in {"full": "embedded", "reg": "regression", "log": "logistic", "nowt": "unweighted", "simple": "simple"}.items():
     _embedded(_name, _variant)
 
 
@@ -553,4 +553,4 @@ def capacity_search(spark, d):
 
 @query()
 def pipeline_full(spark, d):
-    return rank_features(S.vectors(spark, d), "CFIFS")[0]
+    return rank_features(S.vectors(spark, d), "full")[0]

@@ -160,6 +160,6 @@ def test_ragged_samples_raise(spark):
 
 
 def test_variants(toy):
-    assert rank_features(toy[0], "ACSF_SIMPLE")[0].count() == 5
+    assert rank_features(toy[0], "simple")[0].count() == 5
     with pytest.raises(ValueError):
         rank_features(toy[0], "other")
