@@ -31,9 +31,10 @@ def fuse_grid(embedded: DataFrame, spectral: DataFrame, grid: tuple[float, ...])
     return pairs.select("mu_e", "mu_s", "fid", choquet(F.col("e"), F.col("s"), F.col("mu_e"), F.col("mu_s")).alias("score"))
 
 
-def ranking(scores: DataFrame) -> DataFrame:
-    """(rank, fid, score): best first, ties to the smaller feature; ranks and feature numbers count from 1."""
-    return scores.select(F.row_number().over(Window.orderBy(F.desc("score"), "fid")).alias("rank"), (F.col("fid") + 1).alias("fid"), "score")
+def ranking(scores: DataFrame, top_k: int | None = None) -> DataFrame:
+    """(rank, fid, score): best first (all, or ``top_k``), ties to the smaller feature; ranks and feature numbers count from 1."""
+    ranked = scores.select(F.row_number().over(Window.orderBy(F.desc("score"), "fid")).alias("rank"), (F.col("fid") + 1).alias("fid"), "score")
+    return ranked if top_k is None else ranked.where(F.col("rank") <= top_k)
 
 
 def n_selected(d: int, p_frac: float) -> int:
@@ -47,5 +48,5 @@ def top_features(scores: DataFrame, k: int) -> DataFrame:
 
 
 def best_capacities(grid_scores: DataFrame) -> DataFrame:
-    """One row (mu_e, mu_s, gm): the greatest gm, the first in grid order if tied; (0.5, 0.5, -1) if there is none above that."""
+    """One row (mu_e, mu_s, gm): the greatest gm, the first in grid order if tied; no row if there is none above -1 (the caller then takes 0.5, 0.5)."""
     return grid_scores.select("mu_e", "mu_s", "gm").where("gm > -1").orderBy(F.desc("gm"), "mu_e", "mu_s").limit(1)

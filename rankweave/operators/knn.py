@@ -7,7 +7,6 @@ numbers, and a pair of blocks is one matrix product in a task. Only the k best o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +18,12 @@ BLOCK = 2048
 FOUND = "grp string, id long, near long, sim double"
 
 
-def _blocks(rows: DataFrame, n: int, name: str) -> tuple[DataFrame, int]:
-    many = max(1, ceil(n / BLOCK))
-    block = F.pmod(F.xxhash64("id"), F.lit(many)).alias(name)
-    return rows.select("grp", block, "id", "features").groupBy("grp", name).agg(F.collect_list(F.struct("id", "features")).alias("held")).select(
-        "grp", name, F.col("held.id").alias(f"{name}_ids"), F.flatten("held.features").alias(f"{name}_values")
-    ), many
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Blocks of each group, with how many the group has, which follows from its own number of rows."""
+    many = rows.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias(f"{name}_many"))
+    dealt = rows.join(many, "grp").select("grp", f"{name}_many", F.pmod(F.xxhash64("id"), F.col(f"{name}_many")).alias(name), "id", "features")
+    held = dealt.groupBy("grp", f"{name}_many", name).agg(F.collect_list(F.struct("id", "features")).alias("held"))
+    return held.select("grp", f"{name}_many", name, F.col("held.id").alias(f"{name}_ids"), F.flatten("held.features").alias(f"{name}_values"))
 
 
 def unit_rows(values: np.ndarray) -> np.ndarray:
@@ -41,9 +40,9 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
 
     Both have (grp, id, features). Similarities are rounded to 10 places; ties go to the smaller id.
     """
-    c, many = _blocks(candidates, candidates.count(), "cb")
-    q, _ = _blocks(queries, queries.count(), "qb")
-    met = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(many - 1)).cast("array<long>"))).join(c, ["grp", "cb"])
+    c, q = _blocks(candidates, "cb"), _blocks(queries, "qb")
+    many = candidates.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("many"))
+    met = q.join(many, "grp").withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))).join(c, ["grp", "cb"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

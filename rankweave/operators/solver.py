@@ -24,8 +24,9 @@ PARTIALS = 64
 ROWS_AT_ONCE = 20_000
 
 
-def block_sums(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum over all rows (features, labels, s) of ``work`` on blocks of them; partial sums meet in a few tasks before the driver."""
+def block_sums(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], parts: int | None = None) -> np.ndarray:
+    """The sum over all rows (features, labels, s) of ``work`` on blocks of them; partial sums meet in fewer and fewer tasks before the driver.
+    ``parts``: how many partitions the rows have, where that is known."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -48,11 +49,17 @@ def block_sums(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
 
     sums = rows.mapInArrow(run, "v array<double>")
-    if rows.rdd.getNumPartitions() > PARTIALS:
-        sums = sums.repartition(PARTIALS // 8).mapInArrow(add, "v array<double>")
+    parts = parts or n_partitions(rows)
+    while parts > PARTIALS:
+        parts = -(-parts // PARTIALS)
+        sums = sums.repartition(parts).mapInArrow(add, "v array<double>")
     return np.sum([np.array(r["v"]) for r in sums.collect()], axis=0)
 
 
+def n_partitions(rows: DataFrame) -> int:
+    return rows.rdd.getNumPartitions()
+
+
 def prepared(samples: DataFrame, p: EmbeddedParams) -> DataFrame:
     """(features, labels, s)."""
     if not p.use_instance_weights:
@@ -61,9 +68,9 @@ def prepared(samples: DataFrame, p: EmbeddedParams) -> DataFrame:
     return samples.select("features", "labels", pattern(F.col("labels")).alias("pattern")).join(w, "pattern").select("features", "labels", "s")
 
 
-def gram(rows: DataFrame, d: int) -> np.ndarray:
+def gram(rows: DataFrame, d: int, parts: int | None = None) -> np.ndarray:
     """Features by features, weighted."""
-    return block_sums(rows, lambda x, y, s: ((x * s[:, None]).T @ x).ravel()).reshape(d, d)
+    return block_sums(rows, lambda x, y, s: ((x * s[:, None]).T @ x).ravel(), parts).reshape(d, d)
 
 
 def greatest_eigenvalue(g: np.ndarray, n_iter: int = 25, seed: int = 0) -> float:
@@ -148,9 +155,10 @@ def fit_embedded(samples: DataFrame, params: EmbeddedParams | dict | None = None
     n, d, n_labels = sizes(samples)
     rows = prepared(samples, p).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        parts = n_partitions(rows)
         v, lw = embedding(samples, p.rank, p.label_gamma, n, n_labels)
         r = v.shape[1]
-        g = gram(rows, d)
+        g = gram(rows, d, parts)
         s_sum = float(rows.agg(F.sum("s")).first()[0])
         eig = greatest_eigenvalue(g, p.power_iter, p.seed)
         step_w = 0.9 / max(((1 - p.alpha) + p.alpha / 4) * eig + 2 * p.rho, 1e-12)
@@ -161,13 +169,13 @@ def fit_embedded(samples: DataFrame, params: EmbeddedParams | dict | None = None
         z, z_bias, t = w.copy(), bias.copy(), 1.0
         losses, it = [], 0
         if p.alpha == 0:  # all sums follow from the Gram matrix
-            c = block_sums(rows, lambda x, y, s: (x.T @ (s[:, None] * (((y > 0) * lw) @ v))).ravel()).reshape(d, r)
-            squares = float(block_sums(rows, lambda x, y, s: np.array([(s[:, None] * (((y > 0) * lw) @ v) ** 2).sum()]))[0])
+            c = block_sums(rows, lambda x, y, s: (x.T @ (s[:, None] * (((y > 0) * lw) @ v))).ravel(), parts).reshape(d, r)
+            squares = float(block_sums(rows, lambda x, y, s: np.array([(s[:, None] * (((y > 0) * lw) @ v) ** 2).sum()]), parts)[0])
 
         def sums(z: np.ndarray, z_bias: np.ndarray, w: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if p.alpha == 0:
                 return g @ z - c, np.zeros(n_labels), np.array([np.sum(w * (g @ w)) - 2 * np.sum(w * c) + squares, 0.0])
-            out = block_sums(rows, gradient_sums(problem, z, z_bias, w, bias))
+            out = block_sums(rows, gradient_sums(problem, z, z_bias, w, bias), parts)
             return out[: d * r].reshape(d, r), out[d * r : d * r + n_labels], out[-2:]
 
         grad, e_sum, _ = sums(z, z_bias, w, bias)
@@ -186,5 +194,6 @@ def fit_embedded(samples: DataFrame, params: EmbeddedParams | dict | None = None
         rows.unpersist()
     scores = np.linalg.norm(w, axis=1)
     frame = samples.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(scores)], "fid int, score double")
-    facts = {"n": n, "d": d, "L": n_labels, "rank": r, "alpha": p.alpha, "xtx_eig": eig, "step_w": step_w, "step_b": step_b, "iterations": it + 1, "objectives": losses, "scores": scores, "weights": w, "bias": bias, "V": v}
+    facts = {"score_minmax": (float(scores.min()), float(scores.max())), "beta": p.beta, "rho": p.rho, "label_gamma": p.label_gamma, "instance_weights": p.inst if p.use_instance_weights else None, "objective_start": losses[0], "objective_end": losses[-1]}
+    facts |= {"n": n, "d": d, "L": n_labels, "rank": r, "alpha": p.alpha, "xtx_eig": eig, "step_w": step_w, "step_b": step_b, "iterations": it + 1, "objectives": losses, "scores": scores, "weights": w, "bias": bias, "V": v}
     return ranking(frame), facts

@@ -39,8 +39,12 @@ def pattern_weights(samples: DataFrame, gamma: float = 2.0, kappa: float = 1.5,
     pats = pattern_counts(samples)
     long = pats.select("pattern", "n", F.posexplode("labels").alias("lid", "y"))
     raw = long.join(rarity_prior(samples, gamma), "lid").groupBy("pattern", "n").agg(F.least(1 + kappa * F.sum(F.col("y") * F.col("prior")), F.lit(s_max)).alias("raw"))
-    mean = F.sum(F.col("raw") * F.col("n")).over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy())
-    return raw.select("pattern", "n", (F.col("raw") / (mean + EPS)).alias("s"))
+    return beside(raw, raw.agg((F.sum(F.col("raw") * F.col("n")) / F.sum("n")).alias("mean"))).select("pattern", "n", (F.col("raw") / (F.col("mean") + EPS)).alias("s"))
+
+
+def beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``one``, which has one row (an aggregate), so that no task orders or holds all rows."""
+    return rows.withColumn("one", F.lit(1)).join(F.broadcast(one.withColumn("one", F.lit(1))), "one").drop("one")
 
 
 def instance_weights(samples: DataFrame, gamma: float = 2.0, kappa: float = 1.5, s_max: float = 3.0) -> DataFrame:
@@ -55,9 +59,9 @@ def spectral_pattern_weights(samples: DataFrame, gamma: float) -> DataFrame:
     long = pats.select("pattern", "n", F.posexplode("labels").alias("lid", "y"))
     mean = long.groupBy("lid").agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("freq"))
     raw = long.join(mean, "lid").groupBy("pattern", "n").agg(F.pow(F.sum(F.col("y") / F.greatest("freq", F.lit(1e-10))), F.lit(gamma)).alias("raw"))
-    total = F.sum(F.col("raw") * F.col("n")).over(Window.partitionBy())
-    checked = F.when(total > 0, total).otherwise(F.raise_error(F.lit("instance weights need a positive label")).cast("double"))
-    return raw.select("pattern", "n", (F.col("raw") / (checked / F.sum("n").over(Window.partitionBy()))).alias("w"))
+    total = raw.agg(F.sum(F.col("raw") * F.col("n")).alias("total"), F.sum("n").alias("rows"))
+    checked = F.when(F.col("total") > 0, F.col("total")).otherwise(F.raise_error(F.lit("instance weights need a positive label")).cast("double"))
+    return beside(raw, total).select("pattern", "n", (F.col("raw") / (checked / F.col("rows"))).alias("w"))
 
 
 def label_gram(samples: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-GRID = (0.0, 0.5, 1.0)
+GRID = SelectionParams().grid
 K = 10
 
 
@@ -297,7 +297,7 @@ def _rank_sql(c: str) -> str:
 
 
 _RANKED = f"rk AS (SELECT fid, {_rank_sql('e')} AS e, {_rank_sql('s')} AS s FROM ev)"
-_GRIDDED = "gr AS (SELECT mu_e, mu_s, fid, CASE WHEN e >= s THEN s + (e - s) * mu_e ELSE e + (s - e) * mu_s END AS score FROM rk, (SELECT unnest([0.0, 0.5, 1.0]::DOUBLE[]) AS mu_e), (SELECT unnest([0.0, 0.5, 1.0]::DOUBLE[]) AS mu_s))"
+_GRIDDED = f"gr AS (SELECT mu_e, mu_s, fid, CASE WHEN e >= s THEN s + (e - s) * mu_e ELSE e + (s - e) * mu_s END AS score FROM rk, (SELECT unnest({list(GRID)}::DOUBLE[]) AS mu_e), (SELECT unnest({list(GRID)}::DOUBLE[]) AS mu_s))"
 
 
 def _sources(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -523,11 +523,75 @@ def fista_one_step(spark, d):
     return _matrix(spark, solver.shrink_rows(-_STEP * _at_zero(spark, d)[0], _STEP * _BETA, 2.220446049250313e-16), "w")
 
 
-@query()
+def _start(d: int) -> list[float]:
+    """The seeded start of the power iteration, of length 1."""
+    import numpy as np
+
+    v = np.random.default_rng(0).standard_normal(d)
+    return (v / (np.linalg.norm(v) + 1e-12)).tolist()
+
+
+def eigenvalue_sql(d: int, steps: int = 25) -> tuple[str, ...]:
+    """``eg``: the greatest eigenvalue of the weighted Gram matrix of x, by steps of the power iteration one after another."""
+    g = "gg AS MATERIALIZED (SELECT i, list(g ORDER BY j) AS g FROM (SELECT a.fid AS i, b.fid AS j, sum(a.val * b.val * s) AS g FROM x a JOIN x b USING (id) JOIN wt USING (id) GROUP BY 1, 2) GROUP BY i)"
+    by = "SELECT list(list_dot_product(g, v) ORDER BY i) AS u, any_value(v) AS v FROM gg, "
+    each = [f"p{k + 1} AS MATERIALIZED (SELECT list_transform(u, lambda z: z / sqrt(list_dot_product(u, u))) AS v FROM ({by} p{k}))" for k in range(steps)]
+    return g, f"p0 AS (SELECT {_start(d)}::DOUBLE[] AS v)", *each, f"eg AS MATERIALIZED (SELECT list_dot_product(v, u) AS eigenvalue FROM ({by} p{steps}))"
+
+
+@query(over(BASKETS, LONG, FREQ, PRIOR, WEIGHTS, *eigenvalue_sql(10), then=f"SELECT {q6('eigenvalue')} FROM eg"))
 def power_eigmax(spark, d):
     rows = S.order_baskets(spark, d)
     g = solver.gram(solver.prepared(rows, EmbeddedParams()), 10)
-    return spark.createDataFrame([(solver.greatest_eigenvalue(g),)], "eigenvalue double")
+    return spark.createDataFrame([(solver.greatest_eigenvalue(g),)], "eigenvalue double").select(r6("eigenvalue"))
+
+
+STEPS = 3
+
+
+def steps_sql(alpha: float, weighted: bool) -> tuple[str, ...]:
+    """``wn``: the weights after some steps of the solver from zero. The lengths of the weights' rows don't depend on the orthogonal embedding of
+    the labels, so each label is its own target here."""
+    p = EmbeddedParams(alpha=alpha)
+    weights_of = WEIGHTS if weighted else "wt AS (SELECT id, 1.0 AS s FROM f)"
+    out = [
+        TEXTS, LONG, FREQ, PRIOR, weights_of, *eigenvalue_sql(6),
+        f"st AS MATERIALIZED (SELECT 0.9 / greatest({1 - alpha + alpha / 4} * eigenvalue + {2 * p.rho}, 1e-12) AS sw, 0.9 / ({alpha / 4} * (SELECT sum(s) FROM wt) + 1e-12) AS sb FROM eg)",
+        "w0 AS MATERIALIZED (SELECT fid, lid, 0.0::DOUBLE AS w, 0.0::DOUBLE AS z FROM (SELECT DISTINCT fid FROM x), (SELECT DISTINCT lid FROM y))",
+        "b0 AS MATERIALIZED (SELECT DISTINCT lid, 0.0::DOUBLE AS b, 0.0::DOUBLE AS zb FROM y)",
+    ]
+    t = 1.0
+    for k in range(STEPS):
+        t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        c = (last - 1) / t
+        out += [
+            f"l{k} AS MATERIALIZED (SELECT x.id, q.lid, any_value(s) * (sum(val * z) - any_value(y.y) / (1 + 1e-12)) AS r, any_value(s) * (1 / (1 + exp(-(sum(val * z) + any_value(zb)))) - any_value(y.y)) AS e"
+            f" FROM x JOIN w{k} q USING (fid) JOIN y ON y.id = x.id AND y.lid = q.lid JOIN wt ON wt.id = x.id JOIN b{k} bb ON bb.lid = q.lid GROUP BY x.id, q.lid)",
+            f"g{k} AS MATERIALIZED (SELECT fid, lid, sum(val * ({1 - alpha} * r + {alpha} * e)) AS g FROM x JOIN l{k} USING (id) GROUP BY fid, lid)",
+            f"v{k} AS MATERIALIZED (SELECT fid, lid, w, z - sw * (g + {2 * p.rho} * z) AS v FROM w{k} JOIN g{k} USING (fid, lid), st)",
+            f"n{k} AS MATERIALIZED (SELECT fid, sqrt(sum(v * v)) AS size FROM v{k} GROUP BY fid)",
+            f"o{k} AS MATERIALIZED (SELECT fid, lid, w AS was, v * greatest(0, 1 - sw * {p.beta} / (size + 2.220446049250313e-16)) AS w FROM v{k} JOIN n{k} USING (fid), st)",
+            f"w{k + 1} AS MATERIALIZED (SELECT fid, lid, w, w + {c} * (w - was) AS z FROM o{k})",
+            f"c{k} AS MATERIALIZED (SELECT lid, b AS was, zb - sb * {alpha} * (SELECT sum(e) FROM l{k} WHERE l{k}.lid = b{k}.lid) AS b FROM b{k}, st)",
+            f"b{k + 1} AS MATERIALIZED (SELECT lid, b, b + {c} * (b - was) AS zb FROM c{k})",
+        ]
+    return *out, f"sc AS (SELECT fid, sqrt(sum(w * w)) AS score FROM w{STEPS} GROUP BY fid)"
+
+
+def _steps(variant: str) -> None:
+    alpha, weighted, _ = VARIANTS[variant]
+
+    def run(spark, d):
+        import numpy as np
+
+        return solver.fit_embedded(S.text_rows(spark, d), EmbeddedParams(alpha=alpha, use_instance_weights=weighted, max_iter=STEPS), np.zeros((6, 2)))[0].select("rank", "fid", r6("score"))
+
+    run.__name__ = f"embedded_steps_{variant}"
+    query(over(*steps_sql(alpha, weighted), then=f"SELECT CAST(row_number() OVER (ORDER BY sc.score DESC, fid) AS INTEGER) AS rank, fid + 1 AS fid, {q6('score')} FROM sc"))(run)
+
+
+for _variant in ("embedded", "regression", "logistic", "unweighted", "simple"):
+    _steps(_variant)
 
 
 def _embedded(name: str, variant: str) -> None:
@@ -543,12 +607,33 @@ for _name, _variant in {"full": "embedded", "reg": "regression", "log": "logisti
     _embedded(_name, _variant)
 
 
-@query()
+_SUBSETS = (
+    *graph_sql(),
+    "ev AS (SELECT x.fid, sum(val * val) AS e, any_value(score) AS s FROM x JOIN bl USING (fid) GROUP BY x.fid)", _RANKED, _GRIDDED,
+    f"ch AS MATERIALIZED (SELECT mu_e, mu_s, list(fid ORDER BY fid) AS sel FROM (SELECT *, row_number() OVER (PARTITION BY mu_e, mu_s ORDER BY score DESC, fid) AS r FROM gr) WHERE r <= {fusion.n_selected(64, 0.2)} GROUP BY 1, 2)",
+    "sb AS MATERIALIZED (SELECT DISTINCT sel, array_to_string(sel, ',') AS subset FROM ch)",
+    "u AS MATERIALIZED (SELECT subset, id, list_transform(v, lambda z: z / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM (SELECT subset, id, list_transform(sel, lambda i: features[i + 1]) AS v FROM f, sb))",
+    FOLD,
+    f"""nn AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subset, fold, id ORDER BY sim DESC, near) AS rank FROM
+  (SELECT a.subset, t.fold, a.id, b.id AS near, round(list_dot_product(a.v, b.v), 10) AS sim FROM (SELECT DISTINCT fold FROM fd) t, u a JOIN u b USING (subset) JOIN fd ON fd.id = b.id WHERE a.id <> b.id AND fd.fold <> t.fold)) WHERE rank <= {K})""",
+    "ct AS MATERIALIZED (SELECT nn.subset, nn.fold, nn.id, lid, CAST(sum(y.y) AS INTEGER) AS c FROM nn JOIN y ON y.id = nn.near GROUP BY 1, 2, 3, 4)",
+    "tr AS (SELECT t.fold, y.id, lid, y.y FROM (SELECT DISTINCT fold FROM fd) t, y JOIN fd ON fd.id = y.id WHERE fd.fold <> t.fold)",
+    "mp AS (SELECT fold, lid, sum(y) AS pos, count(*) AS n, (1 + sum(y)) / (2.0 + count(*)) AS p1 FROM tr GROUP BY 1, 2)",
+    "hs AS (SELECT subset, fold, lid, c, sum(tr.y) AS t, sum(1 - tr.y) AS f FROM ct JOIN tr USING (fold, id, lid) GROUP BY 1, 2, 3, 4)",
+    f"mc AS (SELECT subset, fold, lid, k.c, (1 + coalesce(t, 0)) / ({K + 1}.0 + pos) AS p1, (1 + coalesce(hs.f, 0)) / ({K + 1}.0 + n - pos) AS p0 FROM mp CROSS JOIN (SELECT subset FROM sb) CROSS JOIN (SELECT CAST(unnest(range({K + 1})) AS INTEGER) AS c) k LEFT JOIN hs USING (subset, fold, lid, c))",
+    "pd AS (SELECT subset, ct.fold, ct.id, lid, CAST(mp.p1 * mc.p1 >= 0.5 * (mp.p1 * mc.p1 + (1 - mp.p1) * mc.p0) AS INTEGER) AS pred, y.y FROM (SELECT ct.* FROM ct JOIN fd ON fd.id = ct.id AND fd.fold = ct.fold) ct JOIN mc USING (subset, fold, lid, c) JOIN mp USING (fold, lid) JOIN y USING (id, lid))",
+    MICRO.replace("SELECT fold", "SELECT subset, fold").replace("BY fold", "BY subset, fold"),
+    MACRO.replace("SELECT fold, lid", "SELECT subset, fold, lid").replace("SELECT fold, coalesce", "SELECT subset, fold, coalesce").replace("GROUP BY 1, 2)", "GROUP BY 1, 2, 3)").replace("BY fold", "BY subset, fold"),
+    "gm AS (SELECT subset, sqrt(greatest(avg(micro), 0) * greatest(avg(macro), 0)) AS gm FROM mi JOIN ma USING (subset, fold) GROUP BY subset)",
+)
+
+
+@query(over(*_SUBSETS, then=f"SELECT mu_e, mu_s, {q6('gm')} FROM ch JOIN sb USING (sel) JOIN gm USING (subset)"))
 def capacity_search(spark, d):
     rows = S.vectors(spark, d)
     x = S.feature_values(rows).groupBy("fid").agg(F.sum(F.col("val") * F.col("val")).alias("score"))
     s = spectral.spectral_scores(rows).select("fid", "score")
-    return evaluate.capacity_scores(rows, fusion.rank_uniform(x), fusion.rank_uniform(s), SelectionParams(mlknn_k=K))
+    return evaluate.capacity_scores(rows, fusion.rank_uniform(x), fusion.rank_uniform(s), SelectionParams(mlknn_k=K)).select("mu_e", "mu_s", r6("gm"))
 
 
 @query()

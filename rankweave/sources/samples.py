@@ -29,9 +29,11 @@ def sizes(samples: DataFrame) -> tuple[int, int, int]:
     return r["n"], r["most_features"], r["most_labels"]
 
 
-def min_max(samples: DataFrame) -> DataFrame:
-    """Features scaled to [0, 1]; one aggregate row of bounds goes through the driver. A constant feature becomes 0."""
-    d = len(samples.select("features").first()[0])
+def min_max(samples: DataFrame, d: int | None = None) -> DataFrame:
+    """Features scaled to [0, 1]; one aggregate row of bounds goes through the driver. A constant feature becomes 0. ``d``: how many features there
+    are; where it is known, the samples are read once less."""
+    if d is None:
+        d = len(samples.select("features").first()[0])
     low_high = samples.agg(*[F.min(F.col("features")[i]).alias(f"l{i}") for i in range(d)], *[F.max(F.col("features")[i]).alias(f"h{i}") for i in range(d)]).first()
     one = [(F.col("features")[i] - low_high[f"l{i}"]) / (low_high[f"h{i}"] - low_high[f"l{i}"]) if low_high[f"h{i}"] > low_high[f"l{i}"] else F.lit(0.0) for i in range(d)]
     return samples.withColumn("features", F.array(*one))
@@ -60,7 +62,7 @@ def order_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg("l_tax").alias("f8"), F.count("*").alias("f9"),
         *[F.max((F.col(c) == v).cast("int")).alias(f"y{k}") for k, (c, v) in enumerate([("l_returnflag", "A"), ("l_returnflag", "N"), ("l_returnflag", "R"), ("l_linestatus", "O"), ("l_linestatus", "F")])],
     )
-    return min_max(assemble(g, "l_orderkey", [F.col(f"f{i}") for i in range(10)], [F.col(f"y{i}") for i in range(5)]))
+    return min_max(assemble(g, "l_orderkey", [F.col(f"f{i}") for i in range(10)], [F.col(f"y{i}") for i in range(5)]), 10)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +81,4 @@ def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     features = [F.col("n_chars"), count(" "), count("0123456789"), count("\n"), count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(".,;:!?")]
-    return min_max(assemble(joined, "doc_id", features, [F.col("quality"), F.col("toxic")]))
+    return min_max(assemble(joined, "doc_id", features, [F.col("quality"), F.col("toxic")]), len(features))
