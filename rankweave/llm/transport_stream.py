@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm.shared import map_batches, table
+from rankweave.llm.shared import map_batches, table, written
 
 # Fixed values of ISO/IEC 13818-1.
 PACKET, SYNC, PAT_PID = 188, 0x47, 0
@@ -61,7 +61,7 @@ def payload_of(text: str | None) -> bytes:
     return raw + b" " * (-len(raw) % ALIGN if raw else ALIGN)
 
 
-def _section(table_id: int, number: int, body: bytes) -> bytes:
+def _new_section(table_id: int, number: int, body: bytes) -> bytes:
     size = 5 + len(body) + 4
     head = bytes([table_id, 0xB0 | size >> 8, size & 0xFF, number >> 8, number & 0xFF, 0xC1, 0, 0])
     return head + body + table_crc(head + body).to_bytes(4, "big")
@@ -74,8 +74,8 @@ def _table_packet(pid: int, counter: int, section: bytes) -> bytes:
 
 @lru_cache(32)
 def _tables(counter: int) -> bytes:
-    pat = _section(0x00, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
-    pmt = _section(0x02, PROGRAM, (0xE000 | MEDIA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE_DATA_TYPE]) + (0xE000 | MEDIA_PID).to_bytes(2, "big") + b"\xf0\x00")
+    pat = _new_section(0x00, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
+    pmt = _new_section(0x02, PROGRAM, (0xE000 | MEDIA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE_DATA_TYPE]) + (0xE000 | MEDIA_PID).to_bytes(2, "big") + b"\xf0\x00")
     return _table_packet(PAT_PID, counter, pat) + _table_packet(PMT_PID, counter, pmt)
 
 
@@ -134,52 +134,88 @@ class Stream:
     discontinuities: int = 0
     duplicates: int = 0
     lost_sync: int = 0
-    units: list[tuple[int | None, bool, bytes]] = field(default_factory=list)
+    damaged_packets: int = 0
+    bad_units: int = 0
+    units: list[tuple[int | None, bool, bytes, bool]] = field(default_factory=list)
 
     @property
     def payload(self) -> bytes:
         return b"".join(u[2] for u in self.units)
 
 
-def _section_in(data: bytes, found: Stream) -> bytes | None:
-    start = 1 + data[0]
-    if start + 3 > len(data):
-        found.bad_tables += 1
-        return None
-    size = 3 + ((data[start + 1] & 0x0F) << 8 | data[start + 2])
-    section = data[start : start + size]
-    if len(section) != size or size < 12 or table_crc(section[:-4]) != int.from_bytes(section[-4:], "big"):
+def _section(section: bytes, found: Stream) -> bytes | None:
+    """A complete section with a right CRC; otherwise it is counted as bad."""
+    if len(section) < 12 or table_crc(section[:-4]) != int.from_bytes(section[-4:], "big"):
         found.bad_tables += 1
         return None
     return section
 
 
+def _sections_of(body: bytes, start: bool, pid: int, open_sections: dict[int, bytes], found: Stream) -> bytes | None:
+    """Gather a section, which may be longer than a packet; gives it when it is complete."""
+    if start:
+        if open_sections.pop(pid, None) is not None:
+            found.bad_tables += 1
+        open_sections[pid] = body[1 + body[0] :]
+    elif pid in open_sections:
+        open_sections[pid] += body
+    held = open_sections.get(pid)
+    if held is None or len(held) < 3 or len(held) < (size := 3 + ((held[1] & 0x0F) << 8 | held[2])):
+        return None
+    del open_sections[pid]
+    return _section(held[:size], found)
+
+
 def _unit(found: Stream, parts: list[bytes], access: bool) -> None:
+    """An elementary packet as a unit: timestamp, random access, bytes, and whether all of it arrived."""
     pes = b"".join(parts)
     if len(pes) < 9 or pes[:3] != b"\0\0\1":
+        found.bad_units += 1
         return
-    size, has_time, skip = int.from_bytes(pes[4:6], "big"), pes[7] & 0x80, 9 + pes[8]
+    size, skip = int.from_bytes(pes[4:6], "big"), 9 + pes[8]
+    has_time = pes[7] & 0x80 and pes[8] >= 5 and len(pes) >= 14
     end = 6 + size if size else len(pes)
-    found.units.append((_ticks(pes[9:14]) if has_time else None, access, pes[skip:end]))
+    whole = len(pes) >= max(end, skip)
+    found.bad_units += not whole
+    found.units.append((_ticks(pes[9:14]) if has_time else None, access, pes[skip:end], whole))
+
+
+def _next_sync(data: bytes, at: int) -> int:
+    """The next place where packets begin: a sync byte with another one a packet later, or with less than a packet after it."""
+    n = len(data)
+    while (at := data.find(bytes([SYNC]), at)) >= 0:
+        if at + PACKET >= n or data[at + PACKET] == SYNC:
+            return at
+        at += 1
+    return n
 
 
 def parse_stream(data: bytes) -> Stream:
-    """Parse a transport stream; never raises on damaged streams, but counts what is wrong."""
+    """Parse a transport stream; never raises on damaged streams, but counts what is wrong: lost sync, packets with the error bit (left out), jumps
+    of continuity counters where no discontinuity is announced, sections that are cut or have a wrong CRC, units that are no elementary packets or
+    of which a part is missing (the latter are kept, but not marked whole)."""
     found, last, at, n = Stream(), {}, 0, len(data)
     open_parts: dict[int, list] = {}
     opened_access: dict[int, bool] = {}
+    open_sections: dict[int, bytes] = {}
     while at + PACKET <= n:
         if data[at] != SYNC:
             found.lost_sync += 1
-            at = nxt if (nxt := data.find(bytes([SYNC]), at + 1)) >= 0 else n
+            at = _next_sync(data, at + 1)
             continue
         b1, b3 = data[at + 1], data[at + 3]
-        pid, start, kind, counter = (b1 & 0x1F) << 8 | data[at + 2], b1 & 0x40, b3 >> 4 & 3, b3 & 15
+        pid, start, kind, counter = (b1 & 0x1F) << 8 | data[at + 2], bool(b1 & 0x40), b3 >> 4 & 3, b3 & 15
         found.packets += 1
+        if b1 & 0x80:
+            found.damaged_packets += 1
+            at += PACKET
+            continue
         pos, access = at + 4, False
         if kind & 2:
             size = data[pos]
             access = bool(size and data[pos + 1] & 0x40)
+            if size and data[pos + 1] & 0x80:
+                last.pop(pid, None)
             pos += 1 + size
         body = data[pos : at + PACKET] if kind & 1 else b""
         at += PACKET
@@ -193,10 +229,10 @@ def parse_stream(data: bytes) -> Stream:
         if not body:
             continue
         if pid == PAT_PID:
-            if start and (s := _section_in(body, found)):
+            if s := _sections_of(body, start, pid, open_sections, found):
                 found.programs.update((int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF, int.from_bytes(s[i : i + 2], "big")) for i in range(8, len(s) - 4, 4))
         elif pid in found.programs:
-            if start and (s := _section_in(body, found)):
+            if s := _sections_of(body, start, pid, open_sections, found):
                 i = 12 + (int.from_bytes(s[10:12], "big") & 0x0FFF)
                 while i < len(s) - 4:
                     found.streams[int.from_bytes(s[i + 1 : i + 3], "big") & 0x1FFF] = s[i]
@@ -210,6 +246,7 @@ def parse_stream(data: bytes) -> Stream:
                 open_parts[pid].append(body)
     for pid, parts in open_parts.items():
         _unit(found, parts, opened_access[pid])
+    found.bad_tables += len(open_sections)
     return found
 
 
@@ -238,16 +275,15 @@ def read_media(media: DataFrame) -> DataFrame:
         for doc_id, n_bytes, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             s = parse_stream(data)
             payload, at, points = s.payload, 0, []
-            for ticks, access, unit in s.units:
+            for ticks, access, unit, _ in s.units:
                 if access:
                     points.append({"ticks": ticks, "at": at})
                 at += len(unit)
             times = [u[0] for u in s.units if u[0] is not None] or [None]
-            spaces, letters = payload.count(b" "), sum(payload.count(bytes([b])) for b in b"aeiou")
             row = {
                 "doc_id": doc_id, "n_bytes": n_bytes, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]),
                 "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(),
-                "feature": f"packets={s.packets};units={len(s.units)};random_access={len(points)};ticks={times[0]}-{times[-1]};types={','.join(map(str, sorted(s.streams.values())))};spaces={spaces};vowels={letters}",
+                "feature": f"packets={s.packets};units={len(s.units)};random_access={len(points)};ticks={times[0]}-{times[-1]};types={','.join(map(str, sorted(s.streams.values())))};longest={max((len(u[2]) for u in s.units), default=0)};whole={sum(u[3] for u in s.units)}",
                 "packets": s.packets, "discontinuities": s.discontinuities, "bad_tables": s.bad_tables, "random_access_points": points, "first_ticks": times[0], "last_ticks": times[-1],
             }
             for k, v in row.items():
@@ -259,4 +295,4 @@ def read_media(media: DataFrame) -> DataFrame:
 
 def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as a transport stream and read it back."""
-    return read_media(store_media(table(spark, sf_dir, "documents")))
+    return read_media(written(store_media(table(spark, sf_dir, "documents")), "media"))
