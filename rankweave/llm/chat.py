@@ -28,7 +28,6 @@ from rankweave.llm.units import library_memo
 
 BUDGET = 2048
 HISTORY = 256
-MARK_TOKENS = 8
 TARGET_ROLE = "assistant"
 SIZED = "conv_id long, turn long, role string, text string, n_tokens long"
 WINDOWS = "conv_id long, window long, n_repeated int, over_budget boolean, n_tokens long, formatted string, targets array<struct<start:int,end:int>>"
@@ -99,12 +98,14 @@ def windows(turns: Iterable[tuple[tuple[str, str], int]], budget: int, history:
 
 
 def with_token_counts(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """``rows`` (conv_id, turn, role, text) with the tokens of each turn, its marks included."""
+    """``rows`` (conv_id, turn, role, text) with the tokens of each turn as it is written: marks and escapes included. A written turn ends with a line
+    break and begins with ``<``, which the tokenizer never joins, so the tokens of a window are the sum of its turns'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = library_memo(tokenizer, joined=True)
         for batch in in_small_batches(batches, 3):
-            sizes = [len(x) + MARK_TOKENS for x in memo.ids([t or "" for t in batch.column(3).to_pylist()])]
+            turns = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            sizes = list(map(len, memo.ids([write_turns([(r or "", t or "")], 0)[0] for r, t in turns])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], [*batch.schema.names, "n_tokens"])
 
     return rows.mapInArrow(run, SIZED)
