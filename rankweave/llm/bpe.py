@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.llm.shared import map_batches, table
-from rankweave.llm.units import UnitMemo
+from rankweave.llm.units import LONG, UnitMemo
 
 # Fixed value: the published pattern of byte-level BPE that splits a text into words before any merge.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -120,7 +120,8 @@ class SegmentTreeBpe:
             got = np.array(self.merge([self.byte_ids[b] for b in word.encode()]), "<u4").tobytes()
             if len(self.words) >= WORDS_KEPT:
                 self.words.clear()
-            self.words[word] = got
+            if len(word) <= LONG:
+                self.words[word] = got
         return got
 
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:

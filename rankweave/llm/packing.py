@@ -1,7 +1,7 @@
 """Packing of documents into training windows by multiway Karmarkar-Karp differencing.
 
 Every partition of the input is packed by itself, as a stream. Documents of a window or more give up whole windows first; what remains is
-cut into pieces of at most ``PIECE`` tokens and gathered into blocks of ``WINDOWS`` windows, less a small reserve for each window. In a block,
+cut into pieces of at most ``PIECE`` tokens (neighbours of an eighth of that together count as one) and gathered into blocks of ``WINDOWS`` windows, less a small reserve for each window. In a block,
 partial partitions whose imbalances oppose each other are merged, largest difference first, until one partition into near-equal windows is
 left; if a window then exceeds its capacity, the count of windows rises by one and the block is partitioned again. At the end of a partition,
 what is too little for a window goes into sequences whose lengths are powers of two, which need no padding.
@@ -57,6 +57,19 @@ def windows_of(sizes: Sequence[int], capacity: int, k: int) -> list[list[int]]:
         k += 1
 
 
+def bundles(pieces: list[tuple], most: int) -> list[list[tuple]]:
+    """Neighbouring pieces together as long as they have ``most`` tokens at most, so that a block of tiny documents has few items to partition."""
+    out, room = [], 0
+    for p in pieces:
+        if out and p[2] <= room:
+            out[-1].append(p)
+            room -= p[2]
+        else:
+            out.append([p])
+            room = most - p[2]
+    return out
+
+
 def pack(docs: Iterable[tuple], capacity: int = WINDOW, piece: int = PIECE, windows: int = WINDOWS, reserve: int = RESERVE) -> Iterator[list[tuple]]:
     """From (key, number of tokens) to sequences of (key, start, length, tokens), in a stream."""
     full = (capacity - reserve) * windows
@@ -64,8 +77,9 @@ def pack(docs: Iterable[tuple], capacity: int = WINDOW, piece: int = PIECE, wind
     held = 0
 
     def flush(k: int) -> Iterator[list[tuple]]:
-        for s in windows_of([p[2] for p in block], capacity, k):
-            yield [block[i] for i in s]
+        held_together = bundles(block, piece // 8)
+        for s in windows_of([sum(p[2] for p in b) for b in held_together], capacity, k):
+            yield [p for i in s for p in held_together[i]]
 
     for key, n in docs:
         start = 0

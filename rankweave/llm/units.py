@@ -2,7 +2,8 @@
 
 A byte-level tokenizer never joins a space to what stands before it, so a text may be cut before each single space that follows a
 character other than white space. A tokenizer that drops white space may be cut at every space. Words repeat, so each Python worker
-keeps the ids of the units it has met; when the memo is full it forgets rare ones, which costs time and never changes a result.
+keeps the ids of the units it has met; when the memo is full (by number or by characters, as texts without spaces are long units) it forgets rare
+ones, which costs time and never changes a result.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ import numpy as np
 CUT = re.compile(r"(?<=\S)(?= )")
 FULL = 700_000
 ODD_FULL = 30_000
+CHARS = 16 << 20
+ODD_CHARS = 4 << 20
+LONG = 64
 STOPS = ".,"
 LATIN_END = "\u0250"
 
@@ -28,9 +32,11 @@ class _Places(dict):
     def __init__(self) -> None:
         super().__init__()
         self.new: list[str] = []
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
         place = self[word] = len(self)
+        self.chars += len(word)
         self.new.append(word)
         return place
 
@@ -55,6 +61,7 @@ class UnitMemo:
         self.encode, self.joined, self.full = encode, joined, full
         self.places = _Places()
         self.odd: dict[str, np.ndarray] = {}
+        self.odd_chars = 0
         self._empty()
 
     def _empty(self) -> None:
@@ -67,13 +74,15 @@ class UnitMemo:
         return not self.joined or bool(word) and not word[-1].isspace()
 
     def _forget(self) -> None:
-        """Keep words that were met again, and half of their counts."""
-        words, kept = list(self.places), np.flatnonzero(self.used > 2)
+        """Keep words that were met again, and half of their counts; no long ones."""
+        words = list(self.places)
+        kept = np.flatnonzero((self.used > 2) & (np.fromiter(map(len, words), np.int64, len(words)) <= LONG))
         if len(kept) > self.full // 2:
             kept = kept[self.used[kept] > np.median(self.used[kept])]
         table, ends = ragged(self.table, self.starts[kept], self.sizes[kept])
         self.places = _Places()
         self.places.update((words[i], k) for k, i in enumerate(kept.tolist()))
+        self.places.chars = sum(map(len, self.places))
         self.sizes, self.used, self.unsafe = self.sizes[kept], self.used[kept] // 2, self.unsafe[kept]
         self.starts = (ends - self.sizes).astype(np.int32)
         self.table, self.filled = table, len(table)
@@ -82,6 +91,7 @@ class UnitMemo:
         """At the end of a task: keep only words that were met again, so that an idle worker is small."""
         self._forget()
         self.odd.clear()
+        self.odd_chars = 0
 
     def _learn(self) -> None:
         """Encode the words that wait. Letters and a stop after them are never merged, so a word with a stop is its parts."""
@@ -126,9 +136,11 @@ class UnitMemo:
     def _others(self, units: list[str]) -> list[np.ndarray]:
         """Ids of units that aren't words after a space."""
         new = [u for u in dict.fromkeys(units) if u not in self.odd]
-        if len(self.odd) + len(new) > ODD_FULL:
+        if len(self.odd) + len(new) > ODD_FULL or self.odd_chars > ODD_CHARS:
             self.odd.clear()
+            self.odd_chars = 0
             new = list(dict.fromkeys(units))
+        self.odd_chars += sum(map(len, new))
         if new:
             ids, sizes = self.encode(new)
             self.odd.update(zip(new, np.split(ids, np.cumsum(sizes)[:-1]), strict=True))
@@ -136,7 +148,7 @@ class UnitMemo:
 
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Of each text, its ids."""
-        if len(self.places) > self.full:
+        if len(self.places) > self.full or self.places.chars > CHARS:
             self._forget()
         cut = [t.split(" ") for t in texts]
         heads = [c.pop(0) for c in cut] if self.joined else []  # a text's first word has no space before it
