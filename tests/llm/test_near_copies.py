@@ -26,7 +26,7 @@ def slow_near(rows, similarity=Fraction(4, 5)):
 
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if (a == b or len(a & b) >= similarity * len(a | b)) and (x := find(i)) != (y := find(j)):
+            if (a == b or min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b)) and (x := find(i)) != (y := find(j)):
                 root[max(x, y)] = min(x, y)
     smallest = {}
     for i, (doc_id, _) in enumerate(rows):

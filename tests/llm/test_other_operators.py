@@ -49,7 +49,10 @@ def test_chat_rows(spark):
     assert chat.format_conversations(df, tokenizer).where("conv_id = 3").count() == 2
     library = Tokenizer.from_file(tokenizer)
     sized = chat.with_token_counts(df.select("conv_id", "turn", "role", "text"), tokenizer).collect()
-    assert len(sized) == len(rows) and all(r.n_tokens == chat.MARK_TOKENS + len(library.encode(r.text or "", add_special_tokens=False).ids) for r in sized)
+    assert len(sized) == len(rows) and all(r.n_tokens == len(library.encode(chat.write_turns([(r.role or "", r.text or "")], 0)[0], add_special_tokens=False).ids) for r in sized)
+    code = spark.createDataFrame([(7, i, r, "if (a < b) { x = '\\n' << 3; } " * 20) for i, r in enumerate(["system", *["user", "assistant"] * 9])], "conv_id long, turn long, role string, text string")
+    shown = chat.format_conversations(code, tokenizer).collect()
+    assert len(shown) > 1 and all(r.n_tokens == len(library.encode(r.formatted, add_special_tokens=False).ids) <= chat.BUDGET and not r.over_budget for r in shown)
 
 
 def test_topk_is_the_sql(spark, data):
@@ -134,15 +137,15 @@ def test_pages_of_the_table(spark, data):
 
 def test_pipeline(spark, data):
     import corpus_pipeline
-    from test_text_operators import slow_components, slow_cut, slow_print
+    from test_near_copies import slow_near
+    from test_text_operators import slow_cut
 
     from rankweave.llm import toxicity
 
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
     scores = {r.doc_id: r.predicted for r in toxicity.score_documents(docs, toxicity.train(docs, labels)).collect()}
     rows = sorted((r.doc_id, r.text) for r in docs.collect() if not scores[r.doc_id])
-    prints = [slow_print(t) for _, t in rows]
-    rows = [r for r, c in zip(rows, slow_components([i for i, _ in rows], prints), strict=True) if r[0] == c]
+    rows = [r for r, c in zip(rows, slow_near(rows), strict=True) if r[0] == c]
     left = {i: n - gone for i, n, gone, _ in slow_cut(rows)}
     pieces = corpus_pipeline.run(spark, data).collect()
     assert {p.doc_id for p in pieces} == {i for i, n in left.items() if n}

@@ -169,6 +169,35 @@ def test_damaged_streams_are_noticed():
     assert transport_stream.parse_stream(b"").payload == b""
 
 
+def test_no_damage_raises():
+    data = transport_stream.to_stream(transport_stream.payload_of("x" * 9_000))
+    rnd = random.Random(8)
+    for _ in range(400):
+        broken = bytearray(data)
+        for _ in range(rnd.choice([1, 3, 40])):
+            broken[rnd.randrange(len(broken))] ^= 1 << rnd.randrange(8)
+        transport_stream.parse_stream(bytes(broken[rnd.randrange(300) : len(broken) - rnd.randrange(300)]))
+    lost = transport_stream.parse_stream(data[: 188 * 10] + data[188 * 11 :])
+    assert lost.bad_units == 1 and [u[3] for u in lost.units].count(False) == 1
+    short = bytes([0x47, 0x41, 0, 0x30, 170]) + b"\0" * 170 + b"\0\0\1\xbd\0\0\x80\x80\5\x21\0\1\0"
+    assert transport_stream.parse_stream(data[: 188 * 2] + short + data[188 * 2 :]).packets == len(data) // 188 + 1
+
+
+def test_many_tiny_documents_and_texts_without_spaces(monkeypatch):
+    monkeypatch.setattr("rankweave.llm.units.CHARS", 1 << 18)
+    monkeypatch.setattr("rankweave.llm.units.ODD_CHARS", 1 << 17)
+    began = __import__("time").monotonic()
+    seqs = list(packing.pack((i, 1) for i in range(200_000)))
+    assert sum(p[2] for s in seqs for p in s) == 200_000 and __import__("time").monotonic() - began < 30
+    memo = UnitMemo(library_memo(BYTES, True).encode, joined=True)
+    rnd = random.Random(9)
+    for _ in range(12):
+        texts = ["".join(rnd.choice("ab你好") for _ in range(2_000)) for _ in range(20)]
+        got = memo.ids([f"{t} {t[::-1]}" for t in texts])
+        assert memo.places.chars < (1 << 18) + 40_000 and memo.odd_chars < (1 << 17) + 80_000
+    assert got[1].tolist() == library(BYTES).encode(f"{texts[1]} {texts[1][::-1]}", add_special_tokens=False).ids
+
+
 def test_media_rows(odd_docs, no_docs):
     got = transport_stream.read_media(transport_stream.store_media(odd_docs)).collect()
     want = {}
