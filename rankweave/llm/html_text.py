@@ -1,12 +1,15 @@
 """HTML extraction by wrapper induction.
 
 The pages of a host share a template. Some pages of each host are its patterns (chosen by a hash of the id); the DOM tree of every page of the
-host is aligned with them by simple tree matching. A pattern node whose text is the same in nearly all aligned pages is template, one whose
-text varies is a content slot; the counts come from all pages of the host, summed in each task before they are shuffled. Pages that share most
-of a pattern's text are copies of it and don't count, so an article that a host repeats isn't taken for template.
+host is aligned with them by simple tree matching. Pages whose containers don't align with a pattern's have another layout and say nothing about
+it; pages that share most of its main text are copies and don't count, so an article that a host repeats isn't taken for template. A pattern's
+node that aligns in nearly all pages is a template node; if its text is the same in nearly all of them, it is constant, else it is a slot. The
+counts come from all pages of the host, summed in each task before they are shuffled.
 
-A page's text is that of its article (``article``, else ``main``, else ``body``) without template nodes and without elements whose tag, role,
-class or id marks them as menu, header, footer, sidebar, notice, advert, form, script, style or reader comments.
+Content slots are the template's ``article``, else ``main`` elements, else the lowest container that holds all main text of all pages; slots whose
+text is mostly links are menus. A page's text is that of its nodes in content slots, without constant nodes, slots of links, and elements whose
+tag, role, class or id marks them as menu, header, footer, sidebar, notice, advert, form, script, style or reader comments. Pages of hosts with too
+few pages, and pages of a layout that no pattern has, are judged by the same marks in their own tree alone (``article``, else ``main``, else ``body``).
 
 Null html counts as empty and gives an empty text; a page without a host is judged by its own tree alone; repeated rows stay; unclosed and cut
 markup is read as browsers do; further columns are left out; an empty table gives no rows.
@@ -17,11 +20,10 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence, Set
+from dataclasses import dataclass
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +35,9 @@ PATTERNS = 2
 WITNESSES = 4
 SUPPORT = 0.8
 COPY = 0.5
-ALIGNED_PAIRS = 4096
-WEIGHTS = 1 << 18
+LIKE = 0.7
+LINKS = 0.6
+PARTS = 100
 BROADCAST_BYTES = 8 << 20
 PAGE_BATCH = 2 << 20
 
@@ -53,6 +56,10 @@ SKIPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination paywall popup promo promoted promotion recommended related respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 HEADERS = frozenset({"header", "topbar"})
+PLAIN_NAMES = frozenset(
+    "and area article banners bar block blocks bottom box btn button buttons card col column container content cta entry foot form global head icon icons inline inner item items left link links list main module outer page panel post posts primary right row secondary section sections site slot sticky the thread top unit wrap wrapper".split()
+)
+CONTAINERS = frozenset("html body div section article main nav header footer aside form center".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^"'>]+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -141,92 +148,162 @@ def nodes_of(root: Node) -> list[Node]:
     return out
 
 
-Tree = tuple[list[str], list[list[int]], list[str]]
+@dataclass
+class Tree:
+    """A page's nodes in page order: tags, children, own texts; whether a node lies in an element beside the main text; characters of main text in
+    each subtree, and how many of them stand in links; characters of all text in each subtree."""
+
+    nodes: list[Node]
+    tags: list[str]
+    children: list[list[int]]
+    texts: list[str]
+    beside: list[bool]
+    chars: list[int]
+    linked: list[int]
+    whole: list[int]
 
 
 def shape(root: Node) -> Tree:
-    """Tags, children and own texts of a tree by place; scripts and styles are left without text."""
+    """The tree of a parsed page; scripts and styles are left without text."""
     nodes = nodes_of(root)
-    return [x.tag for x in nodes], [[c.place for c in x.children()] for x in nodes], ["" if x.tag in ("script", "style") else own_text(x) for x in nodes]
+    n = len(nodes)
+    texts = ["" if x.tag in ("script", "style") else own_text(x) for x in nodes]
+    children = [[c.place for c in x.children()] for x in nodes]
+    beside, inside, link = [False] * n, [False] * n, [False] * n
+    for i, x in enumerate(nodes):
+        link[i] |= x.tag == "a"
+        inside[i] |= x.tag in ("article", "main")
+        for c in children[i]:
+            inside[c], link[c] = inside[i], link[i]
+            beside[c] = beside[i] or is_beside(nodes[c], inside[i] or nodes[c].tag in ("article", "main"))
+    whole = list(map(len, texts))
+    chars = [0 if beside[i] else whole[i] for i in range(n)]
+    linked = [chars[i] if link[i] else 0 for i in range(n)]
+    for i in range(n - 1, -1, -1):
+        for c in children[i]:
+            chars[i] += chars[c]
+            linked[i] += linked[c]
+            whole[i] += whole[c]
+    return Tree(nodes, [x.tag for x in nodes], children, texts, beside, chars, linked, whole)
+
+
+def _telling(tree: Tree, common: set[str]) -> list[bool]:
+    """The nodes that can be template, hold template or be a slot: those with a text that both pages have, containers with a telling part of the
+    page's text, and what lies above either."""
+    kept = [False] * len(tree.tags)
+    least = tree.whole[0] / PARTS
+    for i in range(len(kept) - 1, -1, -1):
+        kept[i] = tree.texts[i] in common or tree.tags[i] in CONTAINERS and tree.whole[i] >= least or any(kept[c] for c in tree.children[i])
+    kept[0] = True
+    return kept
 
 
 def match(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """Simple tree matching of two trees with like roots: pairs of places. Equal texts decide between alignments of equal size."""
+    """Simple tree matching of two trees with like roots: pairs of places. A pair of nodes with one tag weighs 1, half more if they have a text in
+    common, and what the best order-keeping alignment of their children weighs. Like subtrees are weighed once, whatever their number."""
+    common = set(a.texts) & set(b.texts) - {""}
+    ids: dict[tuple, int] = {}
+    tags: list[str] = []
+    texts: list[str] = []
+    parts: list[tuple[int, ...]] = []
+    size: list[float] = []
+
+    def shapes(tree: Tree) -> tuple[list[int], list[list[int]]]:
+        kept = _telling(tree, common)
+        below = [[c for c in cs if kept[c]] if kept[i] else [] for i, cs in enumerate(tree.children)]
+        of = [-1] * len(kept)
+        for i in range(len(kept) - 1, -1, -1):
+            if kept[i]:
+                text = tree.texts[i] if tree.texts[i] in common else ""
+                key = (tree.tags[i], text, tuple(of[c] for c in below[i]))
+                if (k := ids.get(key)) is None:
+                    k = ids[key] = len(tags)
+                    tags.append(key[0])
+                    texts.append(text)
+                    parts.append(key[2])
+                    size.append(1 + 0.5 * bool(text) + sum(size[c] for c in key[2]))
+                of[i] = k
+        return of, below
+
+    a_ids, a_below = shapes(a)
+    b_ids, b_below = shapes(b)
+    known: dict[tuple[int, int], float] = {}
+
+    def weight(u: int, v: int) -> float:
+        return size[u] if u == v else 0.0 if tags[u] != tags[v] else known[u, v]
+
+    def weigh(u: int, v: int) -> None:
+        """Make ``known`` hold the weight of two subtrees and of what lies below them."""
+        waiting = [(u, v)]
+        while waiting:
+            u, v = waiting[-1]
+            if u == v or tags[u] != tags[v] or (u, v) in known:
+                waiting.pop()
+                continue
+            head, tail = like_ends(parts[u], parts[v])
+            xs, ys = parts[u][head : len(parts[u]) - tail], parts[v][head : len(parts[v]) - tail]
+            missing = [(x, y) for x in set(xs) for y in set(ys) if x != y and tags[x] == tags[y] and (x, y) not in known]
+            if missing:
+                waiting += missing
+                continue
+            row = [0.0] * (len(ys) + 1)
+            for x in xs:
+                row = next_row(row, [weight(x, y) for y in ys])
+            ends = sum(size[x] for x in parts[u][:head]) + sum(size[x] for x in parts[u][len(parts[u]) - tail :])
+            known[u, v] = 1 + 0.5 * (texts[u] == texts[v] != "") + row[-1] + ends
+            waiting.pop()
+
+    weigh(a_ids[0], b_ids[0])
     pairs, waiting = [], [(0, 0)]
-    weights: dict[tuple[int, int], float] = {}
-
-    def shallow(i: int, j: int) -> float:
-        """A bound of what matching the two nodes brings: themselves, their children's tags in common, and equal texts."""
-        if (w := weights.get((i, j))) is None:
-            if a[0][i] != b[0][j]:
-                w = 0.0
-            else:
-                tags = Counter(a[0][c] for c in a[1][i])
-                common = sum(min(n, tags[t]) for t, n in Counter(b[0][c] for c in b[1][j]).items()) if tags and b[1][j] else 0
-                w = 1 + common + (0.5 if a[2][i] == b[2][j] else 0)
-            if len(weights) >= WEIGHTS:
-                weights.clear()
-            weights[i, j] = w
-        return w
-
-    def telling(own: list[int], x: Tree, others: list[int], y: Tree) -> list[int]:
-        """Children that can be template or hold template: leaves whose text stands on one side only are slots, however they are aligned."""
-        texts = {y[2][c] for c in others}
-        return [c for c in own if x[1][c] or x[2][c] and x[2][c] in texts]
-
     while waiting:
         i, j = waiting.pop()
         pairs.append((i, j))
-        if a[1][i] and b[1][j]:
-            waiting += align(telling(a[1][i], a, b[1][j], b), telling(b[1][j], b, a[1][i], a), shallow)
+        xs, ys = a_below[i], b_below[j]
+        us, vs = [a_ids[x] for x in xs], [b_ids[y] for y in ys]
+        head, tail = like_ends(us, vs)
+        waiting += zip(xs[:head], ys[:head], strict=True)
+        waiting += zip(xs[len(xs) - tail :], ys[len(ys) - tail :], strict=True)
+        waiting += [(xs[head + p], ys[head + q]) for p, q in align(us[head : len(us) - tail], vs[head : len(vs) - tail], weight)]
     return pairs
 
 
-def align(xs: list[int], ys: list[int], weight) -> list[tuple[int, int]]:
-    """The order-keeping alignment of two lists of children that weighs most; of long lists only some rows of the table are held at a time."""
-    if not xs or not ys:
-        return []
-    if len(xs) * len(ys) > ALIGNED_PAIRS:
-        return _align_long(xs, ys, weight)
-    best = [[0.0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i, x in enumerate(xs):
-        row, above = best[i + 1], best[i]
-        for j, y in enumerate(ys):
-            w = weight(x, y)
-            here = above[j] + w if w else 0.0
-            row[j + 1] = max(here, above[j + 1], row[j])
-    out, i, j = [], len(xs), len(ys)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((xs[i], ys[j]))
-    return out
+def like_ends(us: Sequence[int], vs: Sequence[int]) -> tuple[int, int]:
+    """How many shapes two lists have alike at the start, and of the rest at the end. To align them costs nothing: no shape weighs more beside another than beside its like."""
+    least = min(len(us), len(vs))
+    head = 0
+    while head < least and us[head] == vs[head]:
+        head += 1
+    tail = 0
+    while tail < least - head and us[-1 - tail] == vs[-1 - tail]:
+        tail += 1
+    return head, tail
 
 
-def _align_long(xs: list[int], ys: list[int], weight) -> list[tuple[int, int]]:
-    """The alignment of ``align``, with the table's rows as arrays: one row of each block is kept, and a block's rows are made again on the way back."""
-    block = math.isqrt(len(xs)) + 1
+def next_row(above: list[float], weights: list[float]) -> list[float]:
+    """The next row of an alignment's table."""
+    row, best = [0.0], 0.0
+    for j, w in enumerate(weights):
+        best = max(best, above[j + 1], above[j] + w if w else 0.0)
+        row.append(best)
+    return row
 
-    def next_row(above: np.ndarray, x: int) -> np.ndarray:
-        w = np.fromiter((weight(x, y) for y in ys), float, len(ys))
-        row = above.copy()
-        row[1:] = np.maximum(above[1:], np.where(w > 0, above[:-1] + w, 0.0))
-        return np.maximum.accumulate(row)
 
-    row, kept = np.zeros(len(ys) + 1), []
+def align(xs: Sequence[int], ys: Sequence[int], weight: Callable[[int, int], float]) -> list[tuple[int, int]]:
+    """The order-keeping alignment of two lists that weighs most, as pairs of positions. One row of each block of the table is kept, and a block's
+    rows are made again on the way back."""
+    if not xs or not ys:
+        return []
+    block = math.isqrt(len(xs)) + 1
+    row, kept = [0.0] * (len(ys) + 1), []
     for i, x in enumerate(xs):
         if i % block == 0:
             kept.append(row)
-        row = next_row(row, x)
+        row = next_row(row, [weight(x, y) for y in ys])
     out, j = [], len(ys)
     for k in range(len(kept) - 1, -1, -1):
         rows = [kept[k]]
         for x in xs[k * block : (k + 1) * block]:
-            rows.append(next_row(rows[-1], x))
+            rows.append(next_row(rows[-1], [weight(x, y) for y in ys]))
         i = len(rows) - 1
         while i and j:
             if rows[i][j] == rows[i - 1][j]:
@@ -235,7 +312,7 @@ def _align_long(xs: list[int], ys: list[int], weight) -> list[tuple[int, int]]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                out.append((xs[k * block + i], ys[j]))
+                out.append((k * block + i, j))
     return out
 
 
@@ -244,11 +321,23 @@ def _pattern(page: str) -> Tree:
     return shape(parse(page))
 
 
-def constant_nodes(page: Tree, pattern: Tree) -> list[int] | None:
-    """Places of the pattern whose texts a page has alike; None if the page is a copy of it."""
-    same = [j for i, j in match(page, pattern) if page[2][i] and page[2][i] == pattern[2][j]]
-    whole = sum(map(len, pattern[2]))
-    return None if whole and sum(len(pattern[2][j]) for j in same) > COPY * whole else same
+def aligned(page: Tree, pattern: Tree) -> list[tuple[int, int]] | None:
+    """The aligned nodes of a page and a pattern; None if the page has another layout: containers that don't align."""
+    pairs = match(page, pattern)
+
+    def telling(tree: Tree) -> int:
+        return sum(t in CONTAINERS and w * PARTS >= tree.whole[0] for t, w in zip(tree.tags, tree.whole, strict=True))
+
+    both = telling(page) + telling(pattern)
+    held = sum(page.tags[i] in CONTAINERS and page.whole[i] * PARTS >= page.whole[0] and pattern.whole[j] * PARTS >= pattern.whole[0] for i, j in pairs)
+    return pairs if 2 * held >= LIKE * both else None
+
+
+def constant_nodes(page: Tree, pattern: Tree, pairs: list[tuple[int, int]]) -> set[int] | None:
+    """Places of the pattern whose texts a page has alike; None if the page is a copy of it by its main text."""
+    same = {j for i, j in pairs if page.texts[i] and page.texts[i] == pattern.texts[j]}
+    main = pattern.chars[0]
+    return None if main and sum(len(pattern.texts[j]) for j in same if not pattern.beside[j]) > COPY * main else same
 
 
 def host_of(url):
@@ -267,43 +356,66 @@ def _beside(pages: DataFrame, side: DataFrame, n_bytes: int) -> DataFrame:
     return pages.join(F.broadcast(side) if n_bytes <= BROADCAST_BYTES else side, "host", "left")
 
 
+SEEN = "pattern int, node int, n long, same long, chars long, linked long"
+
+
 def witness_counts(pages: DataFrame) -> DataFrame:
-    """(host, pattern, node, n): how many pages have a pattern's node alike; node -1: how many pages there are beside copies."""
+    """(host, pattern, node, n, same, chars, linked): how many pages have a node aligned with a pattern's node, how many have its text alike, and the
+    characters of main text, and of links, that they hold there. Node 0 stands for the page: all pages of the pattern's layout beside copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[tuple, list[int]] = {}
         for batch in in_small_batches(batches, 1, PAGE_BATCH):
             for host, page, patterns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not patterns or not page:
                     continue
                 tree = shape(parse(page))
                 for k, pattern in enumerate(patterns):
-                    same = constant_nodes(tree, _pattern(pattern))
-                    if same is not None:
-                        counts.update((host, k, j) for j in [-1, *same])
+                    other = _pattern(pattern)
+                    pairs = aligned(tree, other)
+                    same = None if pairs is None else constant_nodes(tree, other, pairs)
+                    if same is None:
+                        continue
+                    for i, j in pairs:
+                        if j == 0 or j in same or tree.tags[i] in CONTAINERS:
+                            sums = counts.setdefault((host, k, j), [0, 0, 0, 0])
+                            for f, value in enumerate((1, j in same, tree.chars[i], tree.linked[i])):
+                                sums[f] += value
             if len(counts) > 100_000:
                 yield _count_rows(counts)
-                counts = Counter()
+                counts = {}
         if counts:
             yield _count_rows(counts)
 
-    return pages.select("host", "html", "patterns").mapInArrow(run, "host string, pattern int, node int, n long").groupBy("host", "pattern", "node").agg(F.sum("n").alias("n"))
+    seen = pages.select("host", "html", "patterns").mapInArrow(run, f"host string, {SEEN}")
+    return seen.groupBy("host", "pattern", "node").agg(*(F.sum(c).alias(c) for c in ("n", "same", "chars", "linked")))
 
 
-def _count_rows(counts: Counter) -> pa.RecordBatch:
+def _count_rows(counts: dict[tuple, list[int]]) -> pa.RecordBatch:
     hosts, patterns, nodes = zip(*counts, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(patterns, pa.int32()), pa.array(nodes, pa.int32()), pa.array(list(counts.values()), pa.int64())], ["host", "pattern", "node", "n"])
+    sums = [pa.array(c, pa.int64()) for c in zip(*counts.values(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(patterns, pa.int32()), pa.array(nodes, pa.int32()), *sums], ["host", "pattern", "node", "n", "same", "chars", "linked"])
 
 
 def wrappers_of(counts: DataFrame) -> DataFrame:
-    """(host, template): the template nodes (pattern, node) of each host."""
-    pages = counts.where(f"node = -1 and n >= {WITNESSES}").select("host", "pattern", F.col("n").alias("pages"))
-    fixed = counts.where("node >= 0").join(pages, ["host", "pattern"]).where(F.col("n") >= SUPPORT * F.col("pages"))
-    return fixed.groupBy("host").agg(F.collect_list(F.struct("pattern", "node")).alias("template"))
-
-
-def _names(value: str) -> set[str]:
-    return set(re.split(r"[\s_:-]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
+    """(host, template): the template nodes of each host as (pattern, node, fixed, holds, links): whether the text is constant, whether the node
+    holds all main text of all pages, and whether its text is mostly links."""
+    pages = counts.where(f"node = 0 and n >= {WITNESSES}").select("host", "pattern", F.col("n").alias("pages"), F.col("chars").alias("all_chars"))
+    nodes = counts.join(pages, ["host", "pattern"]).where(F.col("n") >= SUPPORT * F.col("pages"))
+    fixed = F.col("same") >= SUPPORT * F.col("pages")
+    holds = F.col("chars") >= F.col("all_chars")
+    links = (F.col("chars") > 0) & (F.col("linked") > LINKS * F.col("chars"))
+    return nodes.groupBy("host").agg(F.collect_list(F.struct("pattern", "node", fixed.alias("fixed"), holds.alias("holds"), links.alias("links"))).alias("template"))
+
+
+def names_of(value: str) -> set[str]:
+    """The names in a class or id that mark what an element is: of each word all parts, unless one of them is a word of its own (``share-price``)."""
+    out: set[str] = set()
+    for word in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+        parts = {p for p in re.split(r"[_:\-\d]+", word) if len(p) > 1}
+        if parts <= SKIPPED_NAMES | HEADERS | PLAIN_NAMES:
+            out |= parts
+    return out
 
 
 def is_beside(node: Node, in_article: bool) -> bool:
@@ -317,7 +429,7 @@ def is_beside(node: Node, in_article: bool) -> bool:
         return True
     if node.tag in ("html", "body", "main") or node.tag == "article" and "comment" not in f"{a.get('class', '')} {a.get('id', '')}".lower():
         return False
-    names = _names(f"{a.get('class', '')} {a.get('id', '')}")
+    names = names_of(f"{a.get('class', '')} {a.get('id', '')}")
     return bool(names & SKIPPED_NAMES) or not in_article and bool(names & HEADERS)
 
 
@@ -337,8 +449,8 @@ def articles(root: Node) -> list[Node]:
     return found["article"] or found["main"] or found["body"] or [root]
 
 
-def blocks(node: Node, template: set[int], in_article: bool) -> list[str]:
-    """The texts of an element's blocks in page order."""
+def blocks(node: Node, template: set[int], in_article: bool, skipped: Set[int] = frozenset()) -> list[str]:
+    """The texts of an element's blocks in page order, without the own text of ``template`` nodes and without ``skipped`` nodes."""
     out: list[str] = []
     line: list[str] = []
 
@@ -356,7 +468,7 @@ def blocks(node: Node, template: set[int], in_article: bool) -> list[str]:
             line.append(part)
         elif part is None:
             end()
-        elif part is not node and is_beside(part, in_article):
+        elif part is not node and (part.place in skipped or is_beside(part, in_article)):
             line.append(" ")
         else:
             own = [p for p in part.parts if isinstance(p, Node)] if part.place in template else part.parts
@@ -370,27 +482,83 @@ def blocks(node: Node, template: set[int], in_article: bool) -> list[str]:
     return out
 
 
-def extract(page: str | None, patterns: list[str] | None = None, template: list[dict] | None = None) -> str:
-    """The main text of a page; ``template``: the template nodes of its host's ``patterns``."""
+@dataclass
+class Wrapper:
+    """What a pattern of a host tells: nodes of constant text, slots of main text, slots of links."""
+
+    fixed: set[int]
+    content: list[int]
+    links: set[int]
+
+
+def wrapper(pattern: Tree, template: list[dict]) -> Wrapper:
+    """The content slots are the template's articles, else its main elements, else the lowest node that holds all main text of all pages."""
+    found = sorted(t["node"] for t in template)
+    content: list[int] = []
+    for tag in ("article", "main"):
+        content = content or [j for j in found if pattern.tags[j] == tag and not pattern.beside[j]]
+    content = content or [j for j in sorted(t["node"] for t in template if t["holds"]) if pattern.tags[j] in CONTAINERS][-1:]
+    return Wrapper({t["node"] for t in template if t["fixed"]}, content, {t["node"] for t in template if t["links"] and t["node"] not in content and not t["holds"]})
+
+
+def slots(tree: Tree, pattern: Tree, of: Wrapper) -> tuple[list[int], set[int], set[int]] | None:
+    """The page's nodes in content slots, of constant text, and in slots of links; None if the page hasn't the pattern's layout or its slots."""
+    pairs = aligned(tree, pattern)
+    if pairs is None:
+        return None
+    chosen = set(of.content)
+    content = {i for i, j in pairs if j in chosen and not tree.beside[i]}
+    if not content:
+        return None
+    tags = {tree.tags[i] for i in content}
+    if tags & {"article", "main"}:
+        # a slot can be filled more than once: its like beside it belongs to it
+        for below in tree.children:
+            if content.intersection(below):
+                content.update(c for c in below if tree.tags[c] in tags and not tree.beside[c])
+        if {a.place for a in articles(tree.nodes[0])} - content:
+            return None
+    fixed = {i for i, j in pairs if j in of.fixed and tree.texts[i] == pattern.texts[j]}
+    return _topmost(tree, content), fixed, {i for i, j in pairs if j in of.links}
+
+
+def _topmost(tree: Tree, places: set[int]) -> list[int]:
+    """Of these nodes, those that lie in none of the others."""
+    out, waiting = [], [0]
+    while waiting:
+        i = waiting.pop()
+        if i in places:
+            out.append(i)
+        else:
+            waiting += reversed(tree.children[i])
+    return out
+
+
+def main_text(page: str | None, patterns: list[str] | None = None, template: list[dict] | None = None) -> tuple[str, bool]:
+    """The main text of a page, and whether a wrapper of its host gave it; ``template``: the template nodes of its host's ``patterns``."""
     if not page:
-        return ""
+        return "", False
     root = parse(page)
-    fixed: set[int] = set()
     if patterns and template:
         tree = shape(root)
-        for k, pattern in enumerate(patterns):
-            nodes = {t["node"] for t in template if t["pattern"] == k}
-            if nodes:
-                other = _pattern(pattern)
-                fixed |= {i for i, j in match(tree, other) if j in nodes and tree[2][i] == other[2][j]}
-    elif patterns is None:
+        for k, html_of in enumerate(patterns):
+            of = [t for t in template if t["pattern"] == k]
+            pattern = _pattern(html_of)
+            if of and (found := slots(tree, pattern, wrapper(pattern, of))):
+                content, fixed, links = found
+                return "\n\n".join(t for i in content for t in blocks(tree.nodes[i], fixed, tree.tags[i] in ("article", "main"), links)), True
+    else:
         nodes_of(root)
-    found = articles(root)
-    return "\n\n".join(t for a in found for t in blocks(a, fixed, a.tag in ("article", "main")))
+    return "\n\n".join(t for a in articles(root) for t in blocks(a, set(), a.tag in ("article", "main"))), False
+
+
+def extract(page: str | None, patterns: list[str] | None = None, template: list[dict] | None = None) -> str:
+    """The main text of a page."""
+    return main_text(page, patterns, template)[0]
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
+    """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars, and whether a wrapper gave the text (by_wrapper)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     patterns = written(patterns_of(rows), "patterns")
     n_bytes = patterns.select(F.sum(F.aggregate("patterns", F.lit(0).cast("long"), lambda s, p: s + F.octet_length(p)))).first()[0] or 0
@@ -400,11 +568,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_small_batches(batches, 2, PAGE_BATCH):
-            page_id, url, *rest = (c for c in batch.columns)
-            texts = [extract(*r) for r in zip(*(c.to_pylist() for c in rest), strict=True)]
-            yield pa.RecordBatch.from_arrays([page_id, url, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            page_id, url, *rest = batch.columns
+            found = [main_text(*r) for r in zip(*(c.to_pylist() for c in rest), strict=True)]
+            texts = [t for t, _ in found]
+            yield pa.RecordBatch.from_arrays([page_id, url, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array([w for _, w in found])], ["page_id", "url", "text", "n_chars", "by_wrapper"])
 
-    return _beside(rows, wrapped, n_bytes).select("page_id", "url", "html", "patterns", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return _beside(rows, wrapped, n_bytes).select("page_id", "url", "html", "patterns", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long, by_wrapper boolean")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
