@@ -2,10 +2,11 @@
 
 Vectors become integers. In each block of vectors a component has two posting lists, one by how far it lies above the block's least value and
 one by how far it lies below the greatest, so every impact is a distance of at least 0 and a query meets exactly one of the two lists of each
-component. Impacts are quantised to levels and postings are kept in segments by level. A query batch processes the segments by descending
-impact; it keeps for every vector the sum of the quantised impacts seen and the query weight they cover, which bound the vector's score from
-both sides. It stops only on proof, when few vectors have an upper bound that reaches the k-th lower bound; these possible members are scored
-exactly. Each block gives its exact top k, and the top k of those is the answer.
+component. Impacts are quantised to levels; a list's postings lie in segments by level. A batch of queries processes the segments of all lists
+by descending level; it keeps for every vector the sum of the levels seen and the query weight they cover, which bound the vector's score from
+both sides. A query's floor is a score that k others are known to reach: the k-th of the first block at the start, raised by the exact scores
+of the vectors that are ahead. A batch stops only on proof, when few vectors have an upper bound that reaches the floor; these possible members
+are scored exactly. Each block gives those of its exact top k that reach the floor, and the top k of all is the answer.
 
 Vectors that are null or hold null or non-finite components take no part. Vectors are compared with those of equal length. A query's own row is
 the row with its id; repeated rows are candidates of their own, repeated queries are asked once. Ties go to the smaller id. Scores beyond 2**53
@@ -29,78 +30,104 @@ from rankweave.llm.shared import table, written
 K = 20
 EVERY = 20
 SCALE = 64
-BLOCK = 4096
+BLOCK = 8192
 QUERIES = 512
 AT_ONCE = 128
 LEVELS = 128
-SEGMENTS = 6
-FEW = 0.02
+FEW = 0.05
+FIRST = 0.4
+CHECK = 0.05
+PAIRS = 1 << 16
+NONE = -(1 << 62)
 
 FOUND = "query_id long, query_key long, vec_id long, score long"
 
 
 @dataclass
 class Block:
-    """Impact-ordered postings of some vectors. ``segments``: from the highest impacts on, each with the least level it holds and a matrix of
-    levels plus one (0: no posting in this segment) by vector and list: first the lists of distances above, then those below."""
+    """Impact-ordered postings of some vectors. List d holds how far component d lies above the block's least value, list d plus the number of
+    dimensions how far it lies below the greatest. ``postings``: per list the vectors' places, from the highest level down; ``ends``: per list
+    and level, where the postings of higher levels and of this one end; ``levels``: the level of each vector in each list."""
 
     ids: np.ndarray
     vectors: np.ndarray
     low: np.ndarray
     high: np.ndarray
     step: int
-    segments: list[tuple[int, np.ndarray]]
+    top: int
+    postings: np.ndarray
+    ends: np.ndarray
+    levels: np.ndarray
 
 
 def build(ids: np.ndarray, vectors: np.ndarray) -> Block:
     low, high = vectors.min(axis=0), vectors.max(axis=0)
     step = max(1, ceil((int((high - low).max(initial=0)) + 1) / LEVELS))
-    levels = np.concatenate([vectors - low, high - vectors], axis=1) // step
-    # segments hold about as many postings each
-    cuts = np.unique(np.quantile(levels, np.linspace(0, 1, SEGMENTS + 1)[1:-1]).astype(int)) if levels.size else np.zeros(0, int)
-    edges = sorted({0, *cuts.tolist()}, reverse=True)
-    segments, top = [], LEVELS + 1
-    for edge in edges:
-        inside = (levels >= edge) & (levels < top)
-        segments.append((edge, np.where(inside, levels + 1, 0).astype(np.float32)))
-        top = edge
-    return Block(ids, vectors, low, high, step, segments)
-
-
-def search(block: Block, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each query (its place): ids and exact scores of the block's top k."""
-    n = len(block.ids)
+    levels = (np.concatenate([vectors - low, high - vectors], axis=1) // step).T
+    top = int(levels.max(initial=0))
+    postings = np.argsort(-levels, axis=1, kind="stable").astype(np.int32)
+    # counts of levels from the highest down
+    ends = np.stack([np.bincount(top - x, minlength=top + 1).cumsum() for x in levels]) if len(levels) else np.zeros((0, top + 1), int)
+    return Block(ids, vectors, low, high, step, top, postings, ends, levels.astype(np.int16))
+
+
+def _exact(block: Block, queries: np.ndarray, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Scores of pairs of a query and a vector."""
+    out = np.empty(len(q), np.int64)
+    for at in range(0, len(q), PAIRS):
+        some = slice(at, at + PAIRS)
+        out[some] = np.einsum("pd,pd->p", queries[q[some]], block.vectors[rows[some]])
+    return out
+
+
+def search(block: Block, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], float]:
+    """Of each query: ids and exact scores of those of the block's top k that reach the query's floor, a score that k others are known to reach;
+    and the share of the postings that were processed."""
+    n, m = len(block.ids), len(queries)
     weights = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1)
     whole = weights.sum(axis=1)
+    # a score is this much more than the sum of its distances
+    base = np.maximum(queries, 0) @ block.low - np.maximum(-queries, 0) @ block.high
     exact = np.float32 if whole.max(initial=0) * (LEVELS + 1) < 1 << 24 else np.float64
-    weights = weights.astype(exact)
+    floors = np.full(m, NONE) if floors is None else floors.copy()
     own = query_ids[:, None] == block.ids[None, :]
-    summed, seen = np.zeros((len(queries), n), exact), np.zeros((len(queries), n), exact)
-    candidates = np.ones((len(queries), n), bool)
-    for i, (least, segment) in enumerate(block.segments):
-        here = (segment > 0).astype(exact)
-        covered = weights @ here.T
-        summed += weights @ segment.astype(exact).T - covered  # segments hold levels plus one
-        seen += covered
-        if i + 1 < len(block.segments) and 2 * (i + 1) < len(block.segments):
+    sums = np.zeros((n, m), exact)
+    lists = [(d, w.astype(exact)) for d, w in enumerate(weights.T) if w.any()]
+    total = n * len(lists)
+    done, checked = 0, 0.0
+    candidates = ~own
+    for level in range(block.top, 0, -1):
+        at = block.top - level
+        for d, w in lists:
+            start, end = block.ends[d, at - 1] if at else 0, block.ends[d, at]
+            if end > start:
+                sums[block.postings[d, start:end]] += w * exact(level)
+                done += end - start
+        if level > 1 and (done < (checked + CHECK) * total or done < FIRST * total):
             continue
-        # what isn't seen has a level below ``least``
-        lower = summed * block.step
-        upper = lower + seen * (block.step - 1) + (whole[:, None] - seen) * max(0, least * block.step - 1)
-        lower[own] = -np.inf
-        upper[own] = -np.inf
-        if n > k:
-            candidates = upper >= np.partition(lower, n - k, axis=1)[:, n - k][:, None]
+        checked = done / total
+        seen = weights.astype(exact) @ (block.levels >= level).astype(exact)
+        lower = sums.T.astype(np.float64) * block.step + base[:, None]
+        # what isn't seen has a level below this one
+        upper = lower + seen * (block.step - 1.0) + (whole[:, None] - seen) * (level * block.step - 1.0)
+        if n > 2 * k:
+            # the vectors that are ahead, scored exactly, raise the floor
+            ahead = np.argpartition(np.where(own, -np.inf, lower), n - 2 * k, axis=1)[:, n - 2 * k :]
+            q = np.repeat(np.arange(m), 2 * k)
+            scores = np.where(own[q, ahead.ravel()], NONE, _exact(block, queries, q, ahead.ravel())).reshape(m, 2 * k)
+            floors = np.maximum(floors, np.partition(scores, k, axis=1)[:, k])
+        candidates = (upper >= floors[:, None]) & ~own
         if candidates.mean() <= FEW:
             break
-    candidates &= ~own
-    rows = np.flatnonzero(candidates.any(axis=0))
-    scores = (queries.astype(np.float64) @ block.vectors[rows].astype(np.float64).T).astype(np.int64)
-    for q in range(len(queries)):
-        at = np.flatnonzero(candidates[q, rows])
-        score, ids = scores[q, at], block.ids[rows[at]]
-        best = np.lexsort((ids, -score))[:k]
-        yield q, ids[best], score[best]
+    q, rows = np.nonzero(candidates)
+    scores = _exact(block, queries, q, rows)
+    reach = scores >= floors[q]
+    q, ids, scores = q[reach], block.ids[rows[reach]], scores[reach]
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    starts = np.searchsorted(q, np.arange(m + 1))
+    found = [(ids[a:b][:k], scores[a:b][:k]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    return found, done / total if total else 0.0
 
 
 def integer_vector(embedding: Column, scale: int = SCALE) -> Column:
@@ -111,40 +138,54 @@ def integer_vector(embedding: Column, scale: int = SCALE) -> Column:
 
 
 def _blocks(rows: DataFrame, size: int, n: int, name: str) -> DataFrame:
-    """Blocks of about ``size`` rows, dealt in turn; their ids, keys and components in two arrays."""
+    """Blocks of about ``size`` rows, dealt in turn; their ids, keys, floors and components in arrays."""
     many = max(1, ceil(n / size))
     dealt = rows.withColumn(name, F.pmod(F.monotonically_increasing_id(), F.lit(many)))
-    gathered = dealt.groupBy(name, "size").agg(F.collect_list(F.struct("vec_id", "key", "vector")).alias("held"))
-    return gathered.select(name, "size", F.col("held.vec_id").alias(f"{name}_ids"), F.col("held.key").alias(f"{name}_keys"), F.flatten("held.vector").alias(f"{name}_values"))
+    gathered = dealt.groupBy(name, "size").agg(F.collect_list(F.struct("vec_id", "key", "floor", "vector")).alias("held"))
+    return gathered.select(name, "size", *(F.col(f"held.{c}").alias(f"{name}_{c}s") for c in ("vec_id", "key", "floor")), F.flatten("held.vector").alias(f"{name}_values"))
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, vector of longs) that ``queries`` chooses, the k best others."""
-    fit = written(
-        vectors.where("vector is not null and vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "vector", F.size("vector").alias("size"), F.xxhash64("vector").alias("key")), "vectors"
-    )
-    asked = fit.where(queries).dropDuplicates(["vec_id", "key"])
-    n, n_asked = fit.count(), asked.count()
-    index = _blocks(fit, BLOCK, n, "block").drop("block_keys")
-    batches = _blocks(asked, QUERIES, n_asked, "batch").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, ceil(n / BLOCK)) - 1)).cast("array<long>")))
+def _found(index: DataFrame, asked: DataFrame, n_asked: int, numbers: Column, k: int) -> DataFrame:
+    """(query_id, query_key, vec_id, score): what the queries find in the blocks of these numbers."""
+    batches = _blocks(asked, QUERIES, n_asked, "batch").withColumn("block", F.explode(numbers.cast("array<long>")))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = place = None
         for part in parts:
             for i in range(part.num_rows):
-                number, size, ids, values, query_ids, keys, query_values = (part.column(c)[i] for c in range(7))
+                number, size, ids, values, query_ids, keys, floors, query_values = (part.column(c)[i] for c in range(8))
                 if place != (number.as_py(), size.as_py()):
                     place = (number.as_py(), size.as_py())
                     block = build(ids.values.to_numpy(), values.values.to_numpy().reshape(len(ids), place[1]))
                 asks = query_values.values.to_numpy().reshape(len(query_ids), place[1])
-                q_ids, q_keys = query_ids.values.to_numpy(), keys.values.to_numpy()
+                q_ids, q_keys, q_floors = (x.values.to_numpy() for x in (query_ids, keys, floors))
                 for at in range(0, len(asks), AT_ONCE):
                     some = slice(at, at + AT_ONCE)
-                    out = [(np.full(len(v), q_ids[at + q]), np.full(len(v), q_keys[at + q]), v, s) for q, v, s in search(block, q_ids[some], asks[some], k)]
+                    found, _ = search(block, q_ids[some], asks[some], k, q_floors[some])
+                    out = [(np.full(len(v), q_ids[at + q]), np.full(len(v), q_keys[at + q]), v, s) for q, (v, s) in enumerate(found)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["query_id", "query_key", "vec_id", "score"])
 
-    met = index.join(batches, ["block", "size"]).select("block", "size", "block_ids", "block_values", "batch_ids", "batch_keys", "batch_values")
-    found = met.mapInArrow(run, FOUND)
+    met = index.join(batches, ["block", "size"])
+    return met.select("block", "size", "block_vec_ids", "block_values", "batch_vec_ids", "batch_keys", "batch_floors", "batch_values").mapInArrow(run, FOUND)
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, vector of longs) that ``queries`` chooses, the k best others."""
+    fit = written(
+        vectors.where("vector is not null and vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "vector", F.size("vector").alias("size"), F.xxhash64("vector").alias("key"), F.lit(NONE).alias("floor")), "vectors"
+    )
+    asked = fit.where(queries).dropDuplicates(["vec_id", "key"])
+    n, n_asked = fit.count(), asked.count()
+    many = max(1, ceil(n / BLOCK))
+    index = _blocks(fit, BLOCK, n, "block")
+    found = _found(index, asked, n_asked, F.array(F.lit(0)), k)
+    if many > 1:
+        # the k-th score of the first block is the floor of the search in all others
+        index = written(index, "index")
+        first = written(_found(index, asked, n_asked, F.array(F.lit(0)), k), "first-block")
+        floors = first.groupBy(F.col("query_id").alias("vec_id"), F.col("query_key").alias("key")).agg(F.when(F.count("*") >= k, F.min("score")).alias("reached"))
+        begun = asked.join(floors, ["vec_id", "key"], "left").withColumn("floor", F.coalesce("reached", "floor")).drop("reached")
+        found = first.unionByName(_found(index, begun, n_asked, F.sequence(F.lit(1), F.lit(many - 1)), k))
     rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -68,13 +68,31 @@ def test_topk_of_a_block(copies, scale):
     v = rng.integers(-scale, scale + 1, (2000, 16)).astype(np.int64)
     v[100 : 100 + copies] = v[99]
     block, asked = topk.build(np.arange(2000), v), np.arange(0, 2000, 97)
-    for q, ids, scores in topk.search(block, asked, v[asked], 20):
+    for q, (ids, scores) in enumerate(topk.search(block, asked, v[asked], 20)[0]):
         s = v @ v[asked[q]]
         s[asked[q]] = -(1 << 60)
         best = np.lexsort((np.arange(2000), -s))[:20]
         assert (ids == best).all() and (scores == s[best]).all()
 
 
+def test_topk_stops_early_and_floors_leave_out_only_what_is_below(data):
+    held = duckdb.sql(f"SELECT embedding FROM '{data.replace('sf0.01', 'sf0.1')}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    v = np.floor(64 * np.array([x for x, in held])).astype(np.int64)
+    block, asked = topk.build(np.arange(len(v)), v), np.arange(0, len(v), 20)
+    found, share = topk.search(block, asked, v[asked], 20)
+    assert share < 0.85
+    floors = np.array([scores[9] for _, scores in found])
+    above, share_above = topk.search(block, asked, v[asked], 20, floors)
+    assert share_above <= share
+    for (ids, scores), (some, least), floor in zip(found, above, floors, strict=True):
+        assert some.tolist() == ids[scores >= floor].tolist() and least.tolist() == scores[scores >= floor].tolist()
+
+
+def test_topk_over_several_blocks(spark, data, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 150)
+    test_topk_is_the_sql(spark, data)
+
+
 def test_topk_of_odd_rows(spark):
     rows = [(0, [1.0, 0.5]), (20, [1.0, None]), (40, None), (1, [float("nan"), 1.0]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [1.0]), (4, [float("inf"), 0.0]), (None, [1.0, 1.0]), (60, []), (80, [-1.0, 0.25])]
     df = spark.createDataFrame([(*r, 1, "s") for r in rows], "vec_id long, embedding array<float>, score int, vector string")
