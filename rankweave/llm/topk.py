@@ -145,9 +145,11 @@ def _blocks(rows: DataFrame, size: int, n: int, name: str) -> DataFrame:
     return gathered.select(name, "size", *(F.col(f"held.{c}").alias(f"{name}_{c}s") for c in ("vec_id", "key", "floor")), F.flatten("held.vector").alias(f"{name}_values"))
 
 
-def _found(index: DataFrame, asked: DataFrame, n_asked: int, numbers: Column, k: int) -> DataFrame:
-    """(query_id, query_key, vec_id, score): what the queries find in the blocks of these numbers."""
-    batches = _blocks(asked, QUERIES, n_asked, "batch").withColumn("block", F.explode(numbers.cast("array<long>")))
+def _found(index: DataFrame, asked: DataFrame, n_asked: int, numbers: Column, shares: int, k: int) -> DataFrame:
+    """(query_id, query_key, vec_id, score): what the queries find in the blocks of these numbers. The batches that meet a block are dealt over
+    as many ``shares``, each with a copy of the block, so that few blocks don't mean few tasks."""
+    batches = _blocks(asked, QUERIES, n_asked, "batch").withColumn("block", F.explode(numbers.cast("array<long>"))).withColumn("share", F.pmod("batch", F.lit(shares)))
+    index = index.withColumn("number", numbers.cast("array<long>")).where(F.array_contains("number", F.col("block"))).drop("number").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<long>")))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = place = None
@@ -165,7 +167,7 @@ def _found(index: DataFrame, asked: DataFrame, n_asked: int, numbers: Column, k:
                     out = [(np.full(len(v), q_ids[at + q]), np.full(len(v), q_keys[at + q]), v, s) for q, (v, s) in enumerate(found)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["query_id", "query_key", "vec_id", "score"])
 
-    met = index.join(batches, ["block", "size"])
+    met = index.join(batches, ["block", "size", "share"])
     return met.select("block", "size", "block_vec_ids", "block_values", "batch_vec_ids", "batch_keys", "batch_floors", "batch_values").mapInArrow(run, FOUND)
 
 
@@ -178,14 +180,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     n, n_asked = fit.count(), asked.count()
     many = max(1, ceil(n / BLOCK))
     index = _blocks(fit, BLOCK, n, "block")
-    found = _found(index, asked, n_asked, F.array(F.lit(0)), k)
+    n_batches = max(1, ceil(n_asked / QUERIES))
+    found = _found(index, asked, n_asked, F.array(F.lit(0)), n_batches, k)
     if many > 1:
         # the k-th score of the first block is the floor of the search in all others
         index = written(index, "index")
-        first = written(_found(index, asked, n_asked, F.array(F.lit(0)), k), "first-block")
+        first = written(_found(index, asked, n_asked, F.array(F.lit(0)), n_batches, k), "first-block")
         floors = first.groupBy(F.col("query_id").alias("vec_id"), F.col("query_key").alias("key")).agg(F.when(F.count("*") >= k, F.min("score")).alias("reached"))
         begun = asked.join(floors, ["vec_id", "key"], "left").withColumn("floor", F.coalesce("reached", "floor")).drop("reached")
-        found = first.unionByName(_found(index, begun, n_asked, F.sequence(F.lit(1), F.lit(many - 1)), k))
+        found = first.unionByName(_found(index, begun, n_asked, F.sequence(F.lit(1), F.lit(many - 1)), 1, k))
     rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
