@@ -39,6 +39,7 @@ LIKE = 0.7
 LINKS = 0.6
 PARTS = 100
 BROADCAST_BYTES = 8 << 20
+NODE_BYTES = 64
 PAGE_BATCH = 2 << 20
 
 # Element names of HTML by what they are.
@@ -561,10 +562,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars, and whether a wrapper gave the text (by_wrapper)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     patterns = written(patterns_of(rows), "patterns")
-    n_bytes = patterns.select(F.sum(F.aggregate("patterns", F.lit(0).cast("long"), lambda s, p: s + F.octet_length(p)))).first()[0] or 0
+    held = F.aggregate("patterns", F.lit(0).cast("long"), lambda s, p: s + F.octet_length(p))
+    n_bytes = patterns.select(F.sum(held)).first()[0] or 0
     counts = written(witness_counts(_beside(rows, patterns, n_bytes)), "witness-counts")
     wrappers = patterns.join(wrappers_of(counts), "host")
     wrapped = written(wrappers, "wrappers")
+    n_wrapped = wrapped.select(F.sum(held + NODE_BYTES * F.size("template"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_small_batches(batches, 2, PAGE_BATCH):
@@ -573,7 +576,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [t for t, _ in found]
             yield pa.RecordBatch.from_arrays([page_id, url, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array([w for _, w in found])], ["page_id", "url", "text", "n_chars", "by_wrapper"])
 
-    return _beside(rows, wrapped, n_bytes).select("page_id", "url", "html", "patterns", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long, by_wrapper boolean")
+    return _beside(rows, wrapped, n_wrapped).select("page_id", "url", "html", "patterns", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long, by_wrapper boolean")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
