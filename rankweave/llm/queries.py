@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import bpe, chat, html_text, packing, simhash, substrings, token_store, topk, toxicity, transport_stream
+from rankweave.llm import bpe, chat, html_text, merkle, packing, simhash, substrings, token_store, topk, toxicity, transport_stream
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": html_text.op8_html,
     "op9_token_store": token_store.op9_token_store,
     "op10_bpe": bpe.op10_bpe,
+    "op13_merkle": merkle.op13_merkle,
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {"op5_topk": topk.SQL}
+SQL: dict[str, str] = {"op5_topk": topk.SQL, "op13_merkle": merkle.SQL}
