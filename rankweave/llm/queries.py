@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import bpe, chat, html_text, merkle, packing, phrases, simhash, substrings, token_store, topk, toxicity, transport_stream
+from rankweave.llm import bpe, chat, html_text, merkle, ngram_join, packing, phrases, simhash, substrings, token_store, topk, toxicity, transport_stream
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +26,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": html_text.op8_html,
     "op9_token_store": token_store.op9_token_store,
     "op10_bpe": bpe.op10_bpe,
+    "op11_jaccard_join": ngram_join.op11_jaccard_join,
     "op12_phrases": phrases.op12_phrases,
     "op13_merkle": merkle.op13_merkle,
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {"op5_topk": topk.SQL, "op12_phrases": phrases.SQL, "op13_merkle": merkle.SQL}
+SQL: dict[str, str] = {"op5_topk": topk.SQL, "op11_jaccard_join": ngram_join.SQL, "op12_phrases": phrases.SQL, "op13_merkle": merkle.SQL}
