@@ -7,11 +7,11 @@ Candidates are multiplied out in blocks of columns: overlaps add up block by blo
 
 The order of columns keeps lists short. Columns that many rows have among their least hashes come last, in an order that is the same for all rows. Rows that still meet in
 long lists are ordered again by how many of these rows have a column, so that a row's own columns come first. Lists that are long even then hold rows nearly all of whose
-columns are common: groups of near copies. There no pairs are made. One row of a list is its pivot p, and each row x is taken as its difference from p, of size D(x). With
-g(x) = D(x) - (1 - s) / (1 + s) * n(x), rows x and y reach the similarity if and only if g(x) + g(y) is at most twice what their differences share. The row y of least g
-is linked with all x for which g(x) + g(y) <= 0; any two rows with g(x) + g(z) <= 0 are joined through it. All others that reach the similarity share something in their differences:
-differences are sparse, and are joined by the same rules (long lists get pivots of their own). So a group costs as many rows as it has members, no link between
-different sets that decides a component is lost, and nothing is dropped or capped; whatever the hash order or the choice of pivots, the components are the same.
+columns are common: groups of near copies. There no pairs are made. Such rows are taken as their differences from a template p, the columns that most of some of the rows
+have; D(x) is the size of a row's difference. With g(x) = D(x) - (1 - s) / (1 + s) * n(x), rows x and y reach the similarity if and only if g(x) + g(y) is at most twice what
+their differences share, whatever p is. The row y of least g is linked with all x for which g(x) + g(y) <= 0; any two rows with g(x) + g(z) <= 0 are joined through it. All others
+that reach the similarity share something in their differences: these are sparse, and are joined by the same rules (long lists get templates of their own). So a group
+costs as many rows as it has members, no link that decides a component is lost, and nothing is dropped or capped; whatever the order or the templates, components are the same.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased. A text of fewer words than an n-gram is one n-gram; texts without words (null, empty) are the empty set.
 Rows with a null doc_id take part, but are never the smallest id of a component; rows that repeat an id are told apart by their texts; further
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rankweave.llm.components import components
 from rankweave.llm.shared import HOT_SHARE, idle, in_small_batches, looked_up, map_batches, table, written
@@ -41,7 +42,8 @@ CELL = 16
 COMMON = 18
 #: Column blocks of the product.
 BLOCKS = 8
-#: Rows of a pivot that one copy of it meets.
+#: A template comes from at most so many of its rows; which ones changes the path only. One copy of it meets so many rows.
+SAMPLE = 31
 SPREAD = 1024
 WORDS_KEPT = 150_000
 ELEMENTS = 1 << 21
@@ -263,7 +265,7 @@ def met(filed: DataFrame, s: Fraction) -> DataFrame:
 
 
 def sized(filed: DataFrame) -> DataFrame:
-    """``filed`` with how many rows each list has (rows) and its pivot, the set with the smallest share; lists of very many rows aren't gathered."""
+    """``filed`` with how many rows each list has (rows) and its pivot, the set with the smallest share, which names the rows that get one template; lists of very many rows aren't gathered."""
     lists = filed.groupBy("sig").agg(F.count("*").alias("rows"), F.min(F.struct("share", "key")).alias("least")).select("sig", "rows", F.col("least.key").alias("pivot"))
     return looked_up(filed, lists.where("rows > 1"), ["sig"], max(1, filed.count() // HOT_SHARE), "rows")
 
@@ -281,9 +283,33 @@ def verified(pairs: DataFrame, held: DataFrame, s: Fraction) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long")
 
 
+def templates(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(pivot, of): the columns that more than half of ``SAMPLE`` of a pivot's rows (pivot, key) have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, sets = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if sets:
+                columns, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([pivot], pa.int64()), pa.array([columns[2 * n > len(sets)].tobytes()], pa.binary())], ["pivot", "of"])
+
+        for batch in batches:
+            for at, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if at != pivot:
+                    yield from done()
+                    pivot, sets = at, []
+                sets.append(np.frombuffer(own, np.uint64))
+        yield from done()
+
+    place = F.row_number().over(Window.partitionBy("pivot").orderBy(F.xxhash64("key", "pivot"), "key"))
+    some = rows.select("pivot", "key").withColumn("place", place).where(F.col("place") <= SAMPLE)
+    return some.join(held, "key").select("pivot", "own").repartition("pivot").sortWithinPartitions("pivot").mapInArrow(run, "pivot long, of binary")
+
+
 def differences(lists: DataFrame, held: DataFrame, s: Fraction) -> DataFrame:
-    """(pivot, key, n, g, difference) of the rows (key, pivot, rows) of long lists: each set's difference from its pivot, and g as whole
-    numbers (times the denominator and numerator of s together). Pivots of many rows are met in as many copies as that takes."""
+    """(pivot, key, n, g, difference) of the rows (key, pivot, rows) of long lists: each set's difference from the template of its pivot, and g as whole
+    numbers (times the denominator and numerator of s together). Templates of many rows are met in as many copies as that takes."""
     up, down = s.numerator, s.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,28 +323,37 @@ def differences(lists: DataFrame, held: DataFrame, s: Fraction) -> DataFrame:
         idle()
 
     rows = lists.groupBy("pivot", "key").agg(F.max("rows").alias("rows")).withColumn("copies", F.ceil(F.col("rows") / SPREAD))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("copies")))
-    pivots = rows.groupBy("pivot").agg(F.max("copies").alias("copies")).join(held.select(F.col("key").alias("pivot"), F.col("own").alias("of")), "pivot")
+    rows = written(rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("copies"))), "members")
+    pivots = rows.groupBy("pivot").agg(F.max("copies").alias("copies")).join(templates(rows, held), "pivot")
     pivots = pivots.select("pivot", "of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
     met = rows.join(held, "key").join(pivots, ["pivot", "salt"])
     return met.select("pivot", "key", "own", "of").mapInArrow(run, "pivot long, key long, n long, g long, difference binary")
 
 
-def by_difference(far: DataFrame, s: Fraction) -> DataFrame:
-    """Rows of (pivot, key, n, g, low, difference) by what sets don't have in common with their pivot: those of a pivot that may share enough of it
-    meet. ``low`` is the least g of the pivot's rows. ``share`` puts sets first that no star holds."""
-    whole = 2 * (s.denominator + s.numerator)
+def by_difference(of: DataFrame, s: Fraction) -> DataFrame:
+    """Rows (sig, key, n, share) of (pivot, key, n, g, low, difference) by what sets don't have in common with their template. ``low`` is the least g of
+    the pivot's rows; ``share`` is 0 for far sets, which no star holds, and only pairs with such a set are asked for.
+
+    A pair must share at least half of the sum of its g, and no more than the smaller difference has. So there is a least number ``least`` of columns that a set
+    shares with any partner, and the ``least - 1`` most frequent columns of its difference may be left out: others are shared, too."""
+    up, down = s.numerator, s.denominator
+    whole = 2 * (down + up)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_small_batches(batches, 5, 8 * ELEMENTS):
             for pivot, key, n, g, low, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), strict=True):
                 apart = np.frombuffer(raw.as_buffer(), np.uint64)
-                least = max(1, -(-(g + low) // whole))
+                far = g + low > 0
+                partner = max(low if far else 1 - low, g - -(-2 * (down - up) * down * n // up))
+                least = max(1, -(-(g + partner) // whole))
                 if least <= len(apart):
-                    sigs = mixed(apart[: len(apart) - least + 1] ^ mixed(np.array([pivot], np.int64).view(np.uint64), 3), 4)
-                    yield _batch({"sig": sigs.view(np.int64), "key": np.full(len(sigs), key, np.int64), "n": np.full(len(sigs), n, np.int64), "share": np.full(len(sigs), 1.0 if g + low <= 0 else 0.0), "common": np.full(len(sigs), True)})
+                    k = len(apart)
+                    sigs = mixed(apart ^ mixed(np.array([pivot], np.int64).view(np.uint64), 3), 4)
+                    yield _batch({"sig": sigs.view(np.int64), "group": np.full(k, pivot, np.int64), "key": np.full(k, key, np.int64), "n": np.full(k, n, np.int64), "share": np.full(k, 0.0 if far else 1.0), "least": np.full(k, least, np.int64)})
 
-    return far.select("pivot", "key", "n", "g", "low", "difference").mapInArrow(run, FILED)
+    filed = written(of.select("pivot", "key", "n", "g", "low", "difference").mapInArrow(run, "sig long, group long, key long, n long, share double, least long"), "by-difference")
+    place = F.row_number().over(Window.partitionBy("group", "key").orderBy(F.desc("rows"), "sig"))
+    return written(sized(filed).withColumn("place", place).where(F.col("place") >= F.col("least")).select("sig", "key", "n", "share"), "rarest")
 
 
 def without_pairs(lists: DataFrame, held: DataFrame, s: Fraction) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -331,11 +366,9 @@ def without_pairs(lists: DataFrame, held: DataFrame, s: Fraction) -> tuple[list[
         of = written(looked_up(apart, stars, ["pivot"], max(1, apart.count() // HOT_SHARE), "rows"), "stars")
         links.append(of.where("g + low <= 0 and key <> star").select(F.col("key").alias("a"), F.col("star").alias("b")))
         # rows of a pivot that all hang on its star need nothing more
-        filed = written(by_difference(of.where("high + low > 0"), s), "by-difference")
-        rest = written(sized(filed), "lists")
-        # a list needs work if one of its sets hangs on no star: that is then the pivot
-        some = rest.where("share = 0").select("sig").distinct()
-        rest = rest.join(some, "sig", "left_semi")
+        rest = written(sized(by_difference(of.where("high + low > 0"), s)), "lists")
+        # nor does a list whose sets all do
+        rest = rest.join(rest.where("share = 0").select("sig").distinct(), "sig", "left_semi")
         pairs.append(written(met(rest.where(F.col("rows") <= CELL), s), "met-apart").where("b is not null"))
         lists = rest.where(F.col("rows") > CELL)
     return links, pairs
