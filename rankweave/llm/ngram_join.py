@@ -38,8 +38,8 @@ from rankweave.llm.simhash import with_components
 SIZE, SIMILARITY = 3, 0.9
 #: Lists of at most so many rows make pairs.
 CELL = 16
-#: At most 2 ** this columns are known to all tasks as common (2 MB).
-COMMON = 18
+#: At most so many columns are known to all tasks as common (32 MB); where more are, the most frequent ones.
+COMMON = 1 << 22
 #: Column blocks of the product.
 BLOCKS = 8
 #: A template comes from at most so many of its rows; which ones changes the path only. One copy of it meets so many rows.
@@ -331,27 +331,30 @@ def differences(lists: DataFrame, held: DataFrame, s: Fraction) -> DataFrame:
 
 
 def by_difference(of: DataFrame, s: Fraction) -> DataFrame:
-    """Rows (sig, key, n, share) of (pivot, key, n, g, low, difference) by what sets don't have in common with their template. ``low`` is the least g of
+    """Rows (sig, key, n, share) of (pivot, key, n, g, low, apart, difference) by what sets don't have in common with their template. ``low`` is the least g of
     the pivot's rows; ``share`` is 0 for far sets, which no star holds, and only pairs with such a set are asked for.
 
     A pair must share at least half of the sum of its g, and no more than the smaller difference has. So there is a least number ``least`` of columns that a set
-    shares with any partner, and the ``least - 1`` most frequent columns of its difference may be left out: others are shared, too."""
+    shares with any partner, and the ``least - 1`` last columns of its difference in any order may be left out: others are shared, too. The most frequent
+    columns come last; but where sets have less than half in common with their template (``apart``), their order is that of the hashes, as then few columns are left."""
     up, down = s.numerator, s.denominator
     whole = 2 * (down + up)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_small_batches(batches, 5, 8 * ELEMENTS):
-            for pivot, key, n, g, low, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), strict=True):
+        for batch in in_small_batches(batches, 6, 8 * ELEMENTS):
+            for pivot, key, n, g, low, mixture, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), batch.column(6), strict=True):
                 apart = np.frombuffer(raw.as_buffer(), np.uint64)
                 far = g + low > 0
                 partner = max(low if far else 1 - low, g - -(-2 * (down - up) * down * n // up))
                 least = max(1, -(-(g + partner) // whole))
                 if least <= len(apart):
+                    if mixture:
+                        apart, least = apart[: len(apart) - least + 1], 1
                     k = len(apart)
                     sigs = mixed(apart ^ mixed(np.array([pivot], np.int64).view(np.uint64), 3), 4)
                     yield _batch({"sig": sigs.view(np.int64), "group": np.full(k, pivot, np.int64), "key": np.full(k, key, np.int64), "n": np.full(k, n, np.int64), "share": np.full(k, 0.0 if far else 1.0), "least": np.full(k, least, np.int64)})
 
-    filed = written(of.select("pivot", "key", "n", "g", "low", "difference").mapInArrow(run, "sig long, group long, key long, n long, share double, least long"), "by-difference")
+    filed = written(of.select("pivot", "key", "n", "g", "low", "apart", "difference").mapInArrow(run, "sig long, group long, key long, n long, share double, least long"), "by-difference")
     place = F.row_number().over(Window.partitionBy("group", "key").orderBy(F.desc("rows"), "sig"))
     return written(sized(filed).withColumn("place", place).where(F.col("place") >= F.col("least")).select("sig", "key", "n", "share"), "rarest")
 
@@ -361,8 +364,8 @@ def without_pairs(lists: DataFrame, held: DataFrame, s: Fraction) -> tuple[list[
     links, pairs = [], []
     while not lists.isEmpty():
         apart = written(differences(lists, held, s), "differences")
-        stars = apart.groupBy("pivot").agg(F.min(F.struct("g", "key")).alias("least"), F.max("g").alias("high"), F.count("*").alias("rows"))
-        stars = stars.select("pivot", F.col("least.g").alias("low"), F.col("least.key").alias("star"), "high", "rows")
+        stars = apart.groupBy("pivot").agg(F.min(F.struct("g", "key")).alias("least"), F.max("g").alias("high"), (F.sum(F.octet_length("difference")) > 4 * F.sum("n")).alias("apart"), F.count("*").alias("rows"))
+        stars = stars.select("pivot", F.col("least.g").alias("low"), F.col("least.key").alias("star"), "high", "apart", "rows")
         of = written(looked_up(apart, stars, ["pivot"], max(1, apart.count() // HOT_SHARE), "rows"), "stars")
         links.append(of.where("g + low <= 0 and key <> star").select(F.col("key").alias("a"), F.col("star").alias("b")))
         # rows of a pivot that all hang on its star need nothing more
@@ -374,13 +377,19 @@ def without_pairs(lists: DataFrame, held: DataFrame, s: Fraction) -> tuple[list[
     return links, pairs
 
 
+def common_columns(sets: DataFrame) -> np.ndarray:
+    """The columns that more than ``CELL`` sets have among their least hashes, sorted; if there are too many, those with more than a power of 2."""
+    each = sets.select(F.explode("least").alias("sig")).groupBy("sig").agg(F.count("*").alias("rows")).where(F.col("rows") > CELL)
+    each = written(each.select("sig", "rows", F.floor(F.log2("rows")).alias("power")), "common")
+    over, most = {r["power"]: r["n"] for r in each.groupBy("power").agg(F.count("*").alias("n")).collect()}, 0
+    while sum(n for power, n in over.items() if power >= most) > COMMON:
+        most += 1
+    return np.sort(each.where(F.col("power") >= most).select("sig").toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def links(sets: DataFrame, texts_of, size: int, s: Fraction) -> DataFrame:
     """(a, b): links between distinct sets (key, n, least) that join all that similar pairs join; ``texts_of`` gives (key, text) for some keys."""
-    each = sets.select(F.explode("least").alias("sig")).groupBy("sig").agg(F.count("*").alias("rows"))
-    total = sets.agg(F.sum(F.size("least"))).first()[0] or 0
-    # so at most 2 ** COMMON columns are common
-    common = each.where(F.col("rows") > max(CELL, total >> COMMON)).select("sig").toArrow().column(0).to_numpy()
-    common = np.sort(common.view(np.uint64))
+    common = common_columns(sets)
     first = filed_by_least(sets, common, s)
     odd = written(first.where("common"), "common-columns")
     whole = written(filed_whole(texts_of(odd.where("sig is null").select("key").distinct()), common, size, s), "filed-whole")
