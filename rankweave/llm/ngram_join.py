@@ -3,7 +3,8 @@
 A text is the set of its word n-grams (64-bit hashes), a row of the matrix; equal sets are one row. What is asked for are the entries of the product of the
 matrix with its transpose that reach a bound: of two rows of n and m n-grams that reach the similarity s, at least s / (1 + s) * (n + m) are shared, and the sizes differ
 by a factor of s at most. So in any order of the columns two such rows share one of the first n - s * n + 1 of each: only these columns make candidates.
-Candidates are multiplied out in blocks of columns: overlaps add up block by block, and a pair goes when what it has and what is left can't reach its bound.
+Of the candidates, those whose parities of column counts in 512 groups of columns differ in more places than two such rows may differ in columns go at once. The rest is
+multiplied out in blocks of columns: overlaps add up block by block, and a pair goes when what it has and what is left can't reach its bound.
 
 The order of columns keeps lists short. Columns that many rows have among their least hashes come last, in an order that is the same for all rows. Rows that still meet in
 long lists are ordered again by how many of these rows have a column, so that a row's own columns come first. Lists that are long even then hold rows nearly all of whose
@@ -40,6 +41,8 @@ SIZE, SIMILARITY = 3, 0.9
 CELL = 16
 #: At most so many columns are known to all tasks as common (32 MB); where more are, the most frequent ones.
 COMMON = 1 << 22
+#: 64-bit words of a row's parities.
+WORDS = 8
 #: Column blocks of the product.
 BLOCKS = 8
 #: A template comes from at most so many of its rows; which ones changes the path only. One copy of it meets so many rows.
@@ -90,6 +93,12 @@ def set_key(own: np.ndarray) -> int:
     return int(mixed(mixed(own, 1).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)), 2).view(np.int64)[0])
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """For each group of columns whether a row has an odd number of them, as bits of ``WORDS`` numbers. Rows differ in as many columns as parities at least."""
+    groups = np.bincount((own % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(groups.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def firsts(n: int, s: Fraction) -> int:
     """How many columns of a row of ``n`` make candidates."""
     return n - -(-n * s.numerator // s.denominator) + 1 if n else 0
@@ -307,6 +316,14 @@ def templates(rows: DataFrame, held: DataFrame) -> DataFrame:
     return some.join(held, "key").select("pivot", "own").repartition("pivot").sortWithinPartitions("pivot").mapInArrow(run, "pivot long, of binary")
 
 
+def possible(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sizes and parities, of sets (key, n, parity), allow the similarity."""
+    left, right = (sets.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(WORDS)])
+    up, down = s.numerator, s.denominator
+    return pairs.join(left, "a").join(right, "b").where(apart * (down + up) <= (F.col("n_a") + F.col("n_b")) * (down - up)).select("a", "b")
+
+
 def differences(lists: DataFrame, held: DataFrame, s: Fraction) -> DataFrame:
     """(pivot, key, n, g, difference) of the rows (key, pivot, rows) of long lists: each set's difference from the template of its pivot, and g as whole
     numbers (times the denominator and numerator of s together). Templates of many rows are met in as many copies as that takes."""
@@ -388,7 +405,7 @@ def common_columns(sets: DataFrame) -> np.ndarray:
 
 
 def links(sets: DataFrame, texts_of, size: int, s: Fraction) -> DataFrame:
-    """(a, b): links between distinct sets (key, n, least) that join all that similar pairs join; ``texts_of`` gives (key, text) for some keys."""
+    """(a, b): links between distinct sets (key, n, least, parity) that join all that similar pairs join; ``texts_of`` gives (key, text) for some keys."""
     common = common_columns(sets)
     first = filed_by_least(sets, common, s)
     odd = written(first.where("common"), "common-columns")
@@ -403,17 +420,19 @@ def links(sets: DataFrame, texts_of, size: int, s: Fraction) -> DataFrame:
     lists = written(sized(again.where("common")), "lists")
     small = again.where("not common").select("sig", "key", "n").union(lists.where(F.col("rows") <= CELL).select("sig", "key", "n"))
     there = written(met(small, s), "met-again")
-    pairs = here.where("b is not null").union(there.where("b is not null")).distinct()
-    pairs = written(pairs, "pairs")
+    pairs = here.where("b is not null").union(there.where("b is not null"))
     large = written(lists.where(F.col("rows") > CELL), "long-lists")
 
     def work(batch: pa.RecordBatch) -> dict:
         return {"key": batch.column(0), "own": [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()]}
 
-    used = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(large.select("key")).distinct()
-    held = written(map_batches(texts_of(used), work, "key long, own binary", "text"), "sets")
-    stars, more = without_pairs(large, held, s)
+    def whole_sets(keys: DataFrame, name: str) -> DataFrame:
+        return written(map_batches(texts_of(keys.distinct()), work, "key long, own binary", "text"), name)
+
+    stars, more = without_pairs(large, whole_sets(large.select("key"), "sets-of-lists"), s)
     pairs = reduce(DataFrame.union, [pairs, *more]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(possible(pairs, sets, s), "pairs")
+    held = whole_sets(pairs.select(F.col("a").alias("key")).union(pairs.select("b")), "sets-of-pairs")
     return reduce(DataFrame.union, [verified(pairs, held, s), *stars])
 
 
@@ -428,13 +447,14 @@ def placed(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) ->
         return {
             "doc_id": batch.column(0), "fp": [set_key(x) for x in sets], "text_hash": batch.column(2), "n": [len(x) for x in sets],
             "least": pa.ListArray.from_arrays(np.cumsum([0, *map(len, least)]).astype(np.int32), np.concatenate(least).view(np.int64)),
+            "parity": pa.ListArray.from_arrays(np.arange(0, WORDS * len(sets) + 1, WORDS, dtype=np.int32), np.concatenate([parities(x) for x in sets])),
         }
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    of_docs = written(map_batches(rows, work, "doc_id long, fp long, text_hash long, n long, least array<long>", "text"), "set-names")
+    of_docs = written(map_batches(rows, work, "doc_id long, fp long, text_hash long, n long, least array<long>, parity array<long>", "text"), "set-names")
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
-    sets = written(of_docs.groupBy("fp").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), one), "distinct-sets")
+    sets = written(of_docs.groupBy("fp").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("parity").alias("parity"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), one), "distinct-sets")
 
     def texts_of(keys: DataFrame) -> DataFrame:
         """(key, text) of one row of each set."""
@@ -442,7 +462,7 @@ def placed(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) ->
         found = rows.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["id", "text_hash"])
         return found.groupBy("key").agg(F.first("text").alias("text"))
 
-    roots = components(written(links(sets.select(F.col("fp").alias("key"), "n", "least").where("n > 0"), texts_of, size, s), "set-links"))
+    roots = components(written(links(sets.select(F.col("fp").alias("key"), "n", "least", "parity").where("n > 0"), texts_of, size, s), "set-links"))
     out = with_components(of_docs.select("doc_id", "fp", "text_hash", "n"), sets.select("fp", "first_id", "rows"), roots)
     return out
 
