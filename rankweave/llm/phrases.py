@@ -4,9 +4,9 @@ Texts are cut into pieces at punctuation and line ends. Identical pieces become
 than ``PIECE`` words are cut into overlapping rows, each of which owns the phrases that begin in its first ``PIECE`` words; so a row is bounded and no
 phrase is lost or counted twice.
 
-Phrases are counted twice over: first those of one and two words, then those of three and four, of which only those are made whose pairs of words may all be frequent
-(a phrase is no more frequent than its parts). For this a filter of the frequent pairs is sent to the tasks: hash bits of a bounded size, which may
-let others pass but never stops a frequent one, so all counts stay exact. Tasks add up the phrases of their pieces before they leave them; the sums go to hash buckets, and
+Phrases are counted by size: words, then pairs of words that may all be frequent, then phrases of three and four words whose pairs may all be frequent
+(a phrase is no more frequent than its parts). For this a filter of the frequent words or pairs is sent to the tasks: hash bits of a bounded size, which may
+let others pass but never stop a frequent one, so all counts stay exact. Tasks add up the phrases of their pieces before they leave them; the sums go to hash buckets, and
 each bucket is counted by duckdb with bounded memory, out of core where it needs to be, in a scratch folder that ends with the task. Phrases are
 counted as strings with their language, not by hashes.
 
@@ -23,6 +23,7 @@ import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ PIECE = 256
 #: Words and distinct pieces that a task adds up before it hands them on.
 WORDS_AT_ONCE = 1 << 20
 PIECES_AT_ONCE = 1 << 16
-#: The filter of frequent pairs has so many bits for each, and at most 2 ** this.
+#: A filter of frequent phrases has so many bits for each, and at most 2 ** this.
 FILTER_BITS, FILTER_MOST = 16, 27
 BUCKET_MB = 256
 SALTS = 64
@@ -98,27 +99,42 @@ def _word_hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
 
 
-def _pair_places(lang: np.ndarray, first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    """The places of two words of a language in a filter of 2 ** bits bits."""
-    return _mixed(_mixed(_mixed(lang) ^ first) + second) & np.uint64((1 << bits) - 1)
+def _places(lang: np.ndarray, words: list[np.ndarray], bits: int) -> np.ndarray:
+    """The places of one or more words of a language, as hashes, in a filter of 2 ** bits bits."""
+    x = _mixed(lang)
+    for word in words:
+        x = _mixed(x ^ word) + np.uint64(1)
+    return _mixed(x) & np.uint64((1 << bits) - 1)
 
 
-def _filter(pairs: DataFrame) -> tuple[np.ndarray, int]:
-    """Hash bits of (lang, gram) of two words each, and the logarithm of their number; 16 MB at most."""
-    bits = min(FILTER_MOST, max(16, (FILTER_BITS * pairs.count()).bit_length()))
+@dataclass(frozen=True)
+class Filter:
+    """Hash bits of phrases of ``size`` words."""
+
+    size: int
+    bits: int
+    held: np.ndarray
+
+    def has(self, lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+        at = _places(lang, words, self.bits)
+        return self.held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+
+
+def filter_of(counts: DataFrame, size: int) -> Filter:
+    """Of phrases (lang, gram) of ``size`` words each; 16 MB at most."""
+    bits = min(FILTER_MOST, max(16, (FILTER_BITS * counts.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                words = pc.list_flatten(pc.split_pattern(batch.column(1), " "))
-                both = _word_hashes(words)
-                at = _pair_places(_word_hashes(batch.column(0)), both[::2], both[1::2], bits)
+                words = _word_hashes(pc.list_flatten(pc.split_pattern(batch.column(1), " ")))
+                at = _places(_word_hashes(batch.column(0)), [words[k::size] for k in range(size)], bits)
                 yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bit"])
 
-    held = pairs.select("lang", "gram").mapInArrow(run, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    held = counts.select("lang", "gram").mapInArrow(run, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << bits - 6, np.uint64)
     out[held.column(0).to_numpy()] = held.column(1).to_numpy().view(np.uint64)
-    return out, bits
+    return Filter(size, bits, out)
 
 
 def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +145,8 @@ def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[starts], np.add.reduceat(n[order], starts)
 
 
-def phrase_counts(lang: pa.Array, words: pa.Array, own: np.ndarray, n: np.ndarray, sizes: tuple[int, ...], passes: tuple[np.ndarray, int] | None = None) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, size, n): the phrases of some pieces, added up. With ``passes``, those with a pair of words that isn't in this filter are left out."""
+def phrase_counts(lang: pa.Array, words: pa.Array, own: np.ndarray, n: np.ndarray, sizes: tuple[int, ...], passes: Filter | None = None) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, size, n): the phrases of some pieces, added up. With ``passes``, those with a part of its size that isn't in this filter are left out."""
     lists = pc.split_pattern(words, " ")
     lengths = pc.list_value_length(lists).to_numpy()
     if not len(lengths):
@@ -140,20 +156,18 @@ def phrase_counts(lang: pa.Array, words: pa.Array, own: np.ndarray, n: np.ndarra
     place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     left, owned, n = np.repeat(lengths, lengths) - place, place < np.repeat(own, lengths), np.repeat(n, lengths)
     if passes is not None:
-        bits, size = passes
         hashes, of_lang = _word_hashes(flat.dictionary), _word_hashes(langs.dictionary)
-        pair = np.zeros(len(codes), bool)
-        at = np.flatnonzero(left >= 2)
-        spot = _pair_places(of_lang[lang_codes[at]], hashes[codes[at]], hashes[codes[at + 1]], size)
-        pair[at] = bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1) == 1
+        fine = np.zeros(len(codes), bool)
+        at = np.flatnonzero(left >= passes.size)
+        fine[at] = passes.has(of_lang[lang_codes[at]], [hashes[codes[at + k]] for k in range(passes.size)])
     vocabulary = len(flat.dictionary)
     #: A number for the phrase of the last size that begins at each word; equal for equal phrases.
     same = lang_codes * vocabulary + codes
     for size in range(1, max(sizes) + 1):
         at = np.flatnonzero(owned & (left >= size))
         if passes is not None:
-            for k in range(size - 1):
-                at = at[pair[at + k]]
+            for k in range(size - passes.size + 1):
+                at = at[fine[at + k]]
         if size > 1:
             # phrases are numbered anew at each size, so that the numbers of the next size stay below 2 ** 63
             dense = np.unique(same, return_inverse=True)[1]
@@ -167,7 +181,7 @@ def phrase_counts(lang: pa.Array, words: pa.Array, own: np.ndarray, n: np.ndarra
         yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang_codes[at])), gram, pa.array(np.full(len(at), size, np.int32)), pa.array(sums)], ["lang", "gram", "size", "n"])
 
 
-def phrases(pieces: DataFrame, sizes: tuple[int, ...], passes: tuple[np.ndarray, int] | None = None) -> DataFrame:
+def phrases(pieces: DataFrame, sizes: tuple[int, ...], passes: Filter | None = None) -> DataFrame:
     """(lang, gram, size, n): phrases of ``pieces``, added up by task as far as they fit."""
     shared = pieces.sparkSession.sparkContext.broadcast(passes) if passes is not None else None
 
@@ -263,10 +277,10 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST) -> Dat
     """The ``first`` collocations of each language: lang, rank, phrase, a, l, r, n, score."""
     pieces = written(distinct_pieces(docs), "pieces")
     totals = pieces.groupBy("lang").agg(F.sum(F.col("own").cast("long") * F.col("n")).alias("n"))
-    short = written(frequent(phrases(pieces, (1, 2)), least), "short-phrases")
-    passes = _filter(short.where("size = 2"))
-    long = written(frequent(phrases(pieces, (3, 4), passes), least), "long-phrases")
-    counts = short.unionByName(long)
+    words = written(frequent(phrases(pieces, (1,)), least), "frequent-words")
+    pairs = written(frequent(phrases(pieces, (2,), filter_of(words, 1)), least), "frequent-pairs")
+    longer = written(frequent(phrases(pieces, (3, 4), filter_of(pairs, 2)), least), "longer-phrases")
+    counts = words.unionByName(pairs).unionByName(longer)
     kept = outside_longer(with_scores(counts), counts)
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     # the first of each part of a language, then the first of these

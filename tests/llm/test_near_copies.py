@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 from test_text_operators import rows_of
 
-from rankweave.llm import shingle_sets, simhash
+from rankweave.llm import ngram_join, simhash
 
 
 def slow_set(text, size=5):
@@ -57,9 +57,9 @@ def random_docs(rnd):
 
 
 @pytest.mark.parametrize("n", [5, 6, 9, 20, 77, 300])
-def test_sets_at_the_similarity_meet(n):
+def test_sets_at_the_similarity_share_a_first_column(n):
     rnd = random.Random(n)
-    np = shingle_sets.np
+    np = ngram_join.np
     least = Fraction(4, 5)
     for _ in range(300):
         a = np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64)
@@ -68,19 +68,16 @@ def test_sets_at_the_similarity_meet(n):
         while n - gone >= least * (n + more + 1):
             more += 1
         b = np.append(a[gone:], np.array([rnd.getrandbits(64) for _ in range(more)], np.uint64))
-        assert shingle_sets.similar(np.sort(a), np.sort(b), least)
-        sketches = [set(np.sort(x)[: shingle_sets.SKETCH].tolist()) for x in (a, b)]
-        assert len(sketches[0] & sketches[1]) >= min(shingle_sets.sure(least), -(-min(len(a), len(b)) * 4 // 5))
-        common = np.array([x for x in [*a.tolist(), *b.tolist()] if rnd.random() < 0.5], np.uint64)
-        first = [set(shingle_sets.first_shingles(np.sort(x), common, least).tolist()) for x in (a, b)]
+        assert ngram_join.overlaps([np.sort(a)], [np.sort(b)], least).all()
+        common = np.sort(np.array([x for x in [*a.tolist(), *b.tolist()] if rnd.random() < 0.5], np.uint64))
+        first = [set(ngram_join.in_order(np.sort(x), np.isin(np.sort(x), common), least)[0].tolist()) for x in (a, b)]
         assert first[0] & first[1]
 
 
-@pytest.mark.parametrize("cell", [2, 8])
-def test_near_copies_are_those_of_all_pairs(spark, monkeypatch, cell):
-    monkeypatch.setattr(shingle_sets, "CELL", cell)
-    rows = random_docs(random.Random(cell))
-    got = rows_of(shingle_sets.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "doc_id", "component_id")
+def test_near_copies_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    rows = random_docs(random.Random(8))
+    got = rows_of(ngram_join.placed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 0.8), "doc_id", "component_id")
     assert got == sorted(zip((i for i, _ in rows), slow_near(rows), strict=True), key=str)
 
 
@@ -95,7 +92,7 @@ def test_the_stage_drops_copies_with_changed_words(spark):
     assert rows_of(corpus_pipeline.drop_near_copies(spark, docs, ""), "doc_id") == [(0,), (2,)]
 
 
-@pytest.mark.parametrize("place", [simhash.placed, shingle_sets.placed])
+@pytest.mark.parametrize("place", [simhash.placed, ngram_join.placed])
 def test_a_copy_that_shares_an_id_with_a_kept_text_goes(spark, place):
     a, b, c = "one two three four", "quite another text here", "a third one of these"
     rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c.upper()), (None, c)]
