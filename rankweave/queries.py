@@ -541,9 +541,12 @@ def eigenvalue_sql(d: int, steps: int = 25) -> tuple[str, ...]:
 
 @query(over(BASKETS, LONG, FREQ, PRIOR, WEIGHTS, *eigenvalue_sql(10), then=f"SELECT {q6('eigenvalue')} FROM eg"))
 def power_eigmax(spark, d):
-    rows = S.order_baskets(spark, d)
-    g = solver.gram(solver.prepared(rows, EmbeddedParams()), 10)
-    return spark.createDataFrame([(solver.greatest_eigenvalue(g),)], "eigenvalue double").select(r6("eigenvalue"))
+    from rankweave.operators.sharded import row_blocks
+
+    rows = row_blocks(solver.prepared(S.order_baskets(spark, d), EmbeddedParams())).persist()
+    found = solver.matrix_free_eigenvalue(rows, 10)
+    rows.unpersist()
+    return spark.createDataFrame([(found,)], "eigenvalue double").select(r6("eigenvalue"))
 
 
 STEPS = 3
@@ -578,20 +581,22 @@ def steps_sql(alpha: float, weighted: bool) -> tuple[str, ...]:
     return *out, f"sc AS (SELECT fid, sqrt(sum(w * w)) AS score FROM w{STEPS} GROUP BY fid)"
 
 
-def _steps(variant: str) -> None:
+def _steps(variant: str, block: int | None = None) -> None:
     alpha, weighted, _ = VARIANTS[variant]
 
     def run(spark, d):
         import numpy as np
 
-        return solver.fit_embedded(S.text_rows(spark, d), EmbeddedParams(alpha=alpha, use_instance_weights=weighted, max_iter=STEPS), np.zeros((6, 2)))[0].select("rank", "fid", r6("score"))
+        return solver.fit_embedded(S.text_rows(spark, d), EmbeddedParams(alpha=alpha, use_instance_weights=weighted, max_iter=STEPS), np.zeros((6, 2)), block)[0].select("rank", "fid", r6("score"))
 
-    run.__name__ = f"embedded_steps_{variant}"
+    run.__name__ = f"embedded_steps_{variant}" + ("_in_blocks" if block else "")
     query(over(*steps_sql(alpha, weighted), then=f"SELECT CAST(row_number() OVER (ORDER BY sc.score DESC, fid) AS INTEGER) AS rank, fid + 1 AS fid, {q6('score')} FROM sc"))(run)
 
 
 for _variant in ("embedded", "regression", "logistic", "unweighted", "simple"):
     _steps(_variant)
+for _variant in ("embedded", "simple"):
+    _steps(_variant, 4)
 
 
 def _embedded(name: str, variant: str) -> None:
