@@ -3,7 +3,7 @@
 A text is the set of its word n-grams (64-bit hashes), a row of the matrix; equal sets are one row. What is asked for are the entries of the product of the
 matrix with its transpose that reach a bound: of two rows of n and m n-grams that reach the similarity s, at least s / (1 + s) * (n + m) are shared, and the sizes differ
 by a factor of s at most. So in any order of the columns two such rows share one of the first n - s * n + 1 of each: only these columns make candidates.
-Of the candidates, those whose parities of column counts in 512 groups of columns differ in more places than two such rows may differ in columns go at once. The rest is
+Of the candidates, those whose parities of column counts in groups of columns differ in more places than two such rows may differ in columns go at once. The rest is
 multiplied out in blocks of columns: overlaps add up block by block, and a pair goes when what it has and what is left can't reach its bound.
 
 The order of columns keeps lists short. Columns that many rows have among their least hashes come last, in an order that is the same for all rows. Rows that still meet in
@@ -41,8 +41,8 @@ SIZE, SIMILARITY = 3, 0.9
 CELL = 16
 #: At most so many columns are known to all tasks as common (32 MB); where more are, the most frequent ones.
 COMMON = 1 << 22
-#: 64-bit words of a row's parities.
-WORDS = 8
+#: Groups of columns of a short row's parities.
+GROUPS = 512
 #: Column blocks of the product.
 BLOCKS = 8
 #: A template comes from at most so many of its rows; which ones changes the path only. One copy of it meets so many rows.
@@ -94,9 +94,21 @@ def set_key(own: np.ndarray) -> int:
 
 
 def parities(own: np.ndarray) -> np.ndarray:
-    """For each group of columns whether a row has an odd number of them, as bits of ``WORDS`` numbers. Rows differ in as many columns as parities at least."""
-    groups = np.bincount((own % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
-    return np.packbits(groups.astype(np.uint8), bitorder="little").view(np.int64)
+    """For each of some groups of columns whether a row has an odd number of them, as packed bits. Rows differ in as many columns as parities at least.
+    Longer rows have more groups, always a power of 2."""
+    groups = GROUPS << max(0, (len(own) - 1) // GROUPS).bit_length()
+    odd = np.bincount((own % np.uint64(groups)).astype(np.int64), minlength=groups) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def least_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """How many columns two rows differ in at least, by their parities; groups of the longer one are folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        half = len(a) // 2
+        a = a[:half] ^ a[half:]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def firsts(n: int, s: Fraction) -> int:
@@ -318,10 +330,16 @@ def templates(rows: DataFrame, held: DataFrame) -> DataFrame:
 
 def possible(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
     """The pairs (a, b) whose sizes and parities, of sets (key, n, parity), allow the similarity."""
-    left, right = (sets.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab")
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(WORDS)])
     up, down = s.numerator, s.denominator
-    return pairs.join(left, "a").join(right, "b").where(apart * (down + up) <= (F.col("n_a") + F.col("n_b")) * (down - up)).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = [least_apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(apart, np.int64) * (down + up) <= n * (down - up)))
+
+    left, right = (sets.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
 
 
 def differences(lists: DataFrame, held: DataFrame, s: Fraction) -> DataFrame:
@@ -447,18 +465,19 @@ def placed(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) ->
         return {
             "doc_id": batch.column(0), "fp": [set_key(x) for x in sets], "text_hash": batch.column(2), "n": [len(x) for x in sets],
             "least": pa.ListArray.from_arrays(np.cumsum([0, *map(len, least)]).astype(np.int32), np.concatenate(least).view(np.int64)),
-            "parity": pa.ListArray.from_arrays(np.arange(0, WORDS * len(sets) + 1, WORDS, dtype=np.int32), np.concatenate([parities(x) for x in sets])),
+            "parity": [parities(x).tobytes() for x in sets],
         }
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    of_docs = written(map_batches(rows, work, "doc_id long, fp long, text_hash long, n long, least array<long>, parity array<long>", "text"), "set-names")
+    of_docs = written(map_batches(rows, work, "doc_id long, fp long, text_hash long, n long, least array<long>, parity binary", "text"), "set-names")
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
     sets = written(of_docs.groupBy("fp").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("parity").alias("parity"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), one), "distinct-sets")
 
     def texts_of(keys: DataFrame) -> DataFrame:
         """(key, text) of one row of each set."""
-        wanted = sets.select(F.col("fp").alias("key"), F.coalesce("one.doc_id", F.lit(-1)).alias("id"), "one.text_hash").join(keys, "key", "left_semi")
+        # a table of its own, so that its size is known and texts needn't move where it is small
+        wanted = written(sets.select(F.col("fp").alias("key"), F.coalesce("one.doc_id", F.lit(-1)).alias("id"), "one.text_hash").join(keys, "key", "left_semi"), "wanted")
         found = rows.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["id", "text_hash"])
         return found.groupBy("key").agg(F.first("text").alias("text"))
 

@@ -161,20 +161,21 @@ def phrase_counts(lang: pa.Array, words: pa.Array, own: np.ndarray, n: np.ndarra
         at = np.flatnonzero(left >= passes.size)
         fine[at] = passes.has(of_lang[lang_codes[at]], [hashes[codes[at + k]] for k in range(passes.size)])
     vocabulary = len(flat.dictionary)
-    #: A number for the phrase of the last size that begins at each word; equal for equal phrases.
-    same = lang_codes * vocabulary + codes
-    for size in range(1, max(sizes) + 1):
+    for size in sizes:
         at = np.flatnonzero(owned & (left >= size))
         if passes is not None:
             for k in range(size - passes.size + 1):
                 at = at[fine[at + k]]
-        if size > 1:
-            # phrases are numbered anew at each size, so that the numbers of the next size stay below 2 ** 63
-            dense = np.unique(same, return_inverse=True)[1]
-            same = dense * vocabulary + np.append(codes[size - 1 :], np.zeros(size - 1, np.int64))
-        if size not in sizes or not len(at):
+        if not len(at):
             continue
-        firsts, sums = _added(same[at], n[at])
+        # a number for the phrase at each place, equal for equal phrases; numbered anew where the next word would pass 63 bits
+        same, most = lang_codes[at], len(langs.dictionary)
+        for k in range(size):
+            if most * vocabulary >= 1 << 62:
+                same = np.unique(same, return_inverse=True)[1]
+                most = len(at)
+            same, most = same * vocabulary + codes[at + k], most * vocabulary
+        firsts, sums = _added(same, n[at])
         at = at[firsts]
         parts = [flat.dictionary.take(pa.array(codes[at + k])) for k in range(size)]
         gram = parts[0] if size == 1 else pc.binary_join_element_wise(*parts, " ")

@@ -174,8 +174,9 @@ def test_overlaps_by_blocks():
 def test_parities_never_differ_in_more_places_than_sets(n=200):
     rnd = np.random.default_rng(5)
     for _ in range(n):
-        a, b = (np.unique(rnd.integers(0, 900, rnd.integers(0, 300), dtype=np.uint64)) for _ in range(2))
-        assert np.bitwise_count((ngram_join.parities(a) ^ ngram_join.parities(b)).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+        a, b = (np.unique(rnd.integers(0, 9000, rnd.integers(0, rnd.choice([300, 5000])), dtype=np.uint64)) for _ in range(2))
+        assert ngram_join.least_apart(ngram_join.parities(a), ngram_join.parities(b)) <= len(np.setxor1d(a, b))
+    assert ngram_join.least_apart(ngram_join.parities(np.arange(5000, dtype=np.uint64)), ngram_join.parities(np.arange(5000, 7000, dtype=np.uint64))) > 1500
 
 
 def test_join_of_odd_rows(spark, odd_docs, no_docs):
