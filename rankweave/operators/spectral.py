@@ -1,8 +1,9 @@
 """Feature scores from the label-affinity graph.
 
-The affinity of two rows depends only on their label patterns, so energies and kernel alignments are exact sums over pairs of patterns; a graph
-over rows is only made where each row keeps its k nearest neighbours. Patterns meet by an equi-join on labels in common, never in a cross join.
-A node stands for n rows; ``own`` corrects what a row's pair with itself adds.
+The affinity of two rows depends only on their label patterns, so energies and kernel alignments are exact sums over patterns. Cosine and Hamming
+affinities are sums of a few products of one number of either pattern (``Factored``): their graphs are never written out, and all sums are taken label by
+label. Jaccard affinities (``Graph``) have no such form: patterns meet by an equi-join on labels in common, never in a cross join. A graph over rows
+is only made where each row keeps its k nearest neighbours. A node stands for n rows; ``own`` corrects what a row's pair with itself adds.
 """
 
 from __future__ import annotations
@@ -36,8 +37,25 @@ def pattern_edges(patterns: DataFrame, sim: str = "jaccard") -> DataFrame:
     return with_c.select("p", "q", w.cast("double").alias("w"))
 
 
+class Energies:
+    """What follows from ``quadratic()`` of a graph."""
+
+    def scores(self) -> DataFrame:
+        """(fid, dirichlet, hsic)."""
+        x = self.quadratic()
+        n = F.col("rows")
+        hsic = F.col("xax") - 2 * F.col("sum_x") * F.col("deg_x") / n + F.col("mass") / (n * n) * F.col("sum_x") * F.col("sum_x")
+        return x.select("fid", ((F.col("xx") - F.col("xnx")) / (F.col("xx") + EPS)).alias("dirichlet"), (hsic / (F.col("xx") + EPS)).alias("hsic"))
+
+
+def _degree(nodes: DataFrame, near: DataFrame, *more: str) -> DataFrame:
+    """``nodes`` with weighted degree and its inverse root, 0 for isolated nodes; near: (node, near)."""
+    deg = F.coalesce("near", F.lit(0.0)) + F.col("own")
+    return nodes.join(near, "node", "left").select("node", "n", "own", deg.alias("deg"), F.when(deg > EPS, 1 / F.sqrt(deg)).otherwise(0.0).alias("d"), *more)
+
+
 @dataclass(frozen=True)
-class Graph:
+class Graph(Energies):
     """nodes (node, n, own), edges (p, q, w), stats (node, fid, s, q): per node the sums of weighted values and of their squares."""
 
     nodes: DataFrame
@@ -45,10 +63,9 @@ class Graph:
     stats: DataFrame
 
     def degrees(self) -> DataFrame:
-        """(node, n, own, deg, d): weighted degree and its inverse root, 0 for isolated nodes."""
+        """(node, n, own, deg, d)."""
         near = self.edges.join(self.nodes.select(F.col("node").alias("q"), "n"), "q").groupBy(F.col("p").alias("node")).agg(F.sum(F.col("n") * F.col("w")).alias("near"))
-        deg = F.coalesce("near", F.lit(0.0)) + F.col("own")
-        return self.nodes.join(near, "node", "left").select("node", "n", "own", deg.alias("deg"), F.when(deg > EPS, 1 / F.sqrt(deg)).otherwise(0.0).alias("d"))
+        return _degree(self.nodes, near)
 
     def quadratic(self) -> DataFrame:
         """(fid, xx, xax, xnx, deg_x, sum_x, rows, mass): the sums from which energies and alignments follow."""
@@ -61,12 +78,58 @@ class Graph:
             F.sum(F.col("deg") * F.col("s")).alias("deg_x"), F.sum("s").alias("sum_x"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("deg")).alias("mass"),
         )
 
-    def scores(self) -> DataFrame:
-        """(fid, dirichlet, hsic)."""
-        x = self.quadratic()
-        n = F.col("rows")
-        hsic = F.col("xax") - 2 * F.col("sum_x") * F.col("deg_x") / n + F.col("mass") / (n * n) * F.col("sum_x") * F.col("sum_x")
-        return x.select("fid", ((F.col("xx") - F.col("xnx")) / (F.col("xx") + EPS)).alias("dirichlet"), (hsic / (F.col("xx") + EPS)).alias("hsic"))
+
+@dataclass(frozen=True)
+class Factored(Energies):
+    """A graph that is never written out: w(p, q) is the sum over keys of coef * u(p) * u(q).
+
+    nodes (node, n, own, factors array<struct<key, u, coef>>; a key has one coef) and stats (node, fid, s, q) as in ``Graph``. A node's factors are
+    as many as its labels and two more at most; what is shuffled is one partial sum per key and feature of a partition.
+    """
+
+    nodes: DataFrame
+    stats: DataFrame
+
+    def degrees(self, *more: str) -> DataFrame:
+        """(node, n, own, deg, d)."""
+        parts = self.nodes.select("node", "n", F.explode("factors").alias("f")).select("node", "n", "f.*")
+        total = parts.groupBy("key").agg(F.sum(F.col("n") * F.col("u") * F.col("coef")).alias("total"))
+        near = parts.join(total, "key").groupBy("node").agg(F.sum(F.col("u") * F.col("total")).alias("near"))
+        return _degree(self.nodes, near, *more)
+
+    def quadratic(self) -> DataFrame:
+        """(fid, xx, xax, xnx, deg_x, sum_x, rows, mass), from one pass: the factor without a key carries what isn't a product of two nodes."""
+        plain = F.array(F.struct(F.lit(None).cast("int").alias("key"), F.lit(0.0).alias("u"), F.lit(0.0).alias("coef")))
+        of = self.stats.join(self.degrees("factors"), "node").select("n", "fid", "s", "q", "own", "deg", "d", F.explode(F.concat(plain, "factors")).alias("f"))
+
+        def once(v: Column) -> Column:
+            return F.sum(F.when(F.col("f.key").isNull(), v))
+
+        s, q, d, n, own = (F.col(c) for c in ("s", "q", "d", "n", "own"))
+        sums = of.groupBy("fid", "f.key", "f.coef").agg(
+            F.sum(F.col("f.u") * s).alias("us"), F.sum(F.col("f.u") * d * s).alias("uds"), once(q).alias("xx"), once(own * q).alias("own_q"), once(d * d * own * q).alias("own_dq"),
+            once(F.col("deg") * s).alias("deg_x"), once(s).alias("sum_x"), once(n).alias("rows"), once(n * F.col("deg")).alias("mass"),
+        )
+        return sums.groupBy("fid").agg(
+            F.sum("xx").alias("xx"), (F.sum(F.col("coef") * F.col("us") * F.col("us")) + F.sum("own_q")).alias("xax"), (F.sum(F.col("coef") * F.col("uds") * F.col("uds")) + F.sum("own_dq")).alias("xnx"),
+            F.sum("deg_x").alias("deg_x"), F.sum("sum_x").alias("sum_x"), F.sum("rows").alias("rows"), F.sum("mass").alias("mass"),
+        )
+
+
+def factors(labels: Column, sim: str) -> Column:
+    """The factors of a pattern's labels; all rows have equally many labels.
+
+    Cosine: y / sqrt(c) for each label, c the number of positive ones. Hamming, with L labels: agreements are L - c - c' + 2 yy', so a share of
+    (1 - c / L)(1 - c' / L) - cc' / L^2 + 2 / L yy', whose first two keys are -1 and -2. Labels that are not positive have no factor.
+    """
+    size, c = F.greatest(F.size(labels), F.lit(1)).cast("double"), F.size(F.filter(labels, lambda y: y > 0)).cast("double")
+
+    def factor(key: Column, u: Column, coef: Column) -> Column:
+        return F.struct(key.alias("key"), u.cast("double").alias("u"), coef.cast("double").alias("coef"))
+
+    u, coef = {"cosine": (1 / F.sqrt(F.greatest(c, F.lit(1.0))), F.lit(1.0)), "hamming": (F.lit(1.0), 2 / size)}[sim]
+    each = F.filter(F.transform(labels, lambda y, i: factor(i, F.when(y > 0, u).otherwise(0.0), coef)), lambda f: f["u"] > 0)
+    return each if sim == "cosine" else F.concat(F.array(factor(F.lit(-1), 1 - c / size, F.lit(1.0)), factor(F.lit(-2), c, -1 / (size * size))), each)
 
 
 def value_sums(samples: DataFrame, node: Column, weights: DataFrame | None = None) -> DataFrame:
@@ -77,18 +140,21 @@ def value_sums(samples: DataFrame, node: Column, weights: DataFrame | None = Non
     return rows.select(node.alias("node"), F.posexplode("features").alias("fid", "val")).groupBy("node", "fid").agg(F.sum("val").alias("s"), F.sum(F.col("val") * F.col("val")).alias("q"))
 
 
-def label_graph(samples: DataFrame, params: SpectralParams | dict | None = None) -> Graph:
+def label_graph(samples: DataFrame, params: SpectralParams | dict | None = None) -> Graph | Factored:
     p = params_of(SpectralParams, params)
     weights = spectral_pattern_weights(samples, p.instance_weight_gamma) if p.instance_weight_gamma > 0 else None
     loop = 1.0 if p.label_self_loops else 0.0
     if p.label_knn > 0 and samples.count() > p.label_knn:
         nodes = samples.select(F.col("id").alias("node"), F.lit(1).alias("n"), F.lit(loop).alias("own"))
         return Graph(nodes, knn_edges(samples, p.label_sim, p.label_knn), value_sums(samples, F.col("id"), weights))
-    pats = pattern_counts(samples)
+    pats, stats = pattern_counts(samples), value_sums(samples, F.col("pattern"), weights)
+    if p.label_sim in ("cosine", "hamming"):
+        positive = F.exists("labels", lambda y: y > 0) if p.label_sim == "cosine" else F.lit(True)
+        return Factored(pats.select(F.col("pattern").alias("node"), "n", (F.lit(loop) - F.when(positive, 1.0).otherwise(0.0)).alias("own"), factors(F.col("labels"), p.label_sim).alias("factors")), stats)
     edges = pattern_edges(pats, p.label_sim)
     itself = edges.where("p = q").select(F.col("p").alias("pattern"), F.col("w").alias("self"))
     nodes = pats.join(itself, "pattern", "left").select(F.col("pattern").alias("node"), "n", (F.lit(loop) - F.coalesce("self", F.lit(0.0))).alias("own"))
-    return Graph(nodes, edges, value_sums(samples, F.col("pattern"), weights))
+    return Graph(nodes, edges, stats)
 
 
 def knn_edges(samples: DataFrame, sim: str, k: int) -> DataFrame:
