@@ -25,7 +25,8 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column, least: float = 1e-12) -> Column:
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(least)))
+    """v over its length; the length is an argument of the lambda, so that it is taken once a row and not once a component."""
+    return F.get(F.transform(F.array(F.greatest(norm(v), F.lit(least))), lambda length: F.transform(v, lambda x: x / length)), F.lit(0))
 
 
 def scaled(v: Column, weight: Column) -> Column:

@@ -212,12 +212,10 @@ def laplacian_edges(spark, d):
 
 @query(over(*graph_sql()[:6], then=f"SELECT array_to_string(labels, '') AS pattern, {q6('avg(deg) / (SELECT count(*) FROM f)', 'row_mean')}, {q6('(SELECT sum(deg) FROM dg) / pow((SELECT count(*) FROM f), 2)', 'total_mean')} FROM dg JOIN f ON f.id = dg.i GROUP BY 1"))
 def kernel_centering(spark, d):
-    from pyspark.sql.window import Window
-
-    every = Window.partitionBy()
     deg = spectral.label_graph(S.vectors(spark, d)).degrees()
-    n = F.sum("n").over(every)
-    return deg.select(F.col("node").alias("pattern"), r6(F.col("deg") / n, "row_mean"), r6(F.sum(F.col("n") * F.col("deg")).over(every) / (n * n), "total_mean"))
+    total = deg.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("deg")).alias("mass"))
+    n = F.col("rows")
+    return weights.beside(deg, total).select(F.col("node").alias("pattern"), r6(F.col("deg") / n, "row_mean"), r6(F.col("mass") / (n * n), "total_mean"))
 
 
 @query(over(BASKETS, LONG, then=f"SELECT fid, {q6('sum(val * val)', 'xx')} FROM x GROUP BY fid"))
