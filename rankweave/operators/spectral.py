@@ -157,16 +157,64 @@ def label_graph(samples: DataFrame, params: SpectralParams | dict | None = None)
     return Graph(nodes, edges, stats)
 
 
+def label_lists(patterns: DataFrame) -> DataFrame:
+    """(pattern, n, c, held, lid, at): each pattern once per positive label; held: its labels, the one that fewest patterns have first; at: the place of ``lid``."""
+    long = patterns.select("pattern", "n", F.posexplode("labels").alias("lid", "y")).where("y > 0").drop("y")
+    many = long.groupBy("lid").agg(F.count("*").alias("many"))
+    held = long.join(many, "lid").groupBy("pattern", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("many", "lid"))), lambda s: s["lid"]).alias("held"))
+    return held.select("pattern", "n", F.size("held").alias("c"), "held", F.posexplode("held").alias("at", "lid"))
+
+
+def _met(probes: DataFrame, lists: DataFrame, sim: str) -> DataFrame:
+    """(p, q, n, w): patterns that meet on a label of ``probes`` (p, cp, held_p, lid, at_p, least), once each: on the first label of p that both have.
+
+    Of two patterns that first meet at places i and j, what they share is at most least(cp - i, cq - j); a pair that so can't reach ``least``
+    is never made, nor one whose sizes are too different for it.
+    """
+    low = F.col("least") - 1e-9
+    cp, cq = F.col("cp"), F.col("cq")
+    need = {"jaccard": low / (1 + low) * (cp + cq), "cosine": low * F.sqrt(cp * cq)}[sim]
+    of = lists.select(F.col("pattern").alias("q"), F.col("c").alias("cq"), F.col("held").alias("held_q"), "lid", F.col("at").alias("at_q"), "n")
+    room = F.least(cp - F.col("at_p"), cq - F.col("at_q"))
+    met = probes.join(of, "lid").where((room >= need) & (F.least(cp, cq) >= need))
+    common = F.array_intersect("held_p", "held_q")
+    both = F.size("common")
+    w = both / (cp + cq - both) if sim == "jaccard" else both / F.sqrt(cp * cq)
+    return met.withColumn("common", common).where(F.get("common", F.lit(0)) == F.col("lid")).select("p", "q", "n", w.cast("double").alias("w"))
+
+
+def near_patterns(patterns: DataFrame, sim: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of patterns (pattern, n, labels): the pairs (p, q, n, w) that may be among the k rows nearest to a row of p, and before it what they come from.
+
+    Top-k join of sets by inverted lists in order of rarity, for Jaccard and cosine. Seeds: each pattern meets those that have its rarest label. The k-th
+    best row there is a bound that all nearest rows reach, ties included (0 where the seeds hold fewer rows). Then p looks its labels up, rarest first, only as
+    far as a pattern that shares none of them before could still reach the bound. Returns (pairs, seeds, bounds (p, least)).
+    """
+    lists = label_lists(patterns)
+    probe = lists.select(F.col("pattern").alias("p"), F.col("c").alias("cp"), F.col("held").alias("held_p"), "lid", F.col("at").alias("at_p"))
+    seeds = _met(probe.where("at_p = 0").withColumn("least", F.lit(0.0)), lists, sim)
+    best = seeds.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("w"), "q"))).where(F.col("r") <= k)
+    held = best.withColumn("rows", F.sum("n").over(Window.partitionBy("p").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = held.groupBy("p").agg(F.coalesce(F.max(F.when(F.col("rows") >= k, F.col("w"))), F.lit(0.0)).alias("least"))
+    share = F.col("least") if sim == "jaccard" else F.col("least") * F.col("least")
+    ahead = probe.join(bounds, "p").where(F.col("at_p") <= F.col("cp") - F.ceil(share * F.col("cp") - 1e-9))
+    return _met(ahead, lists, sim), seeds, bounds
+
+
 def knn_edges(samples: DataFrame, sim: str, k: int) -> DataFrame:
     """(p, q, w): each row with its k nearest rows by affinity (ties to the smaller id), made symmetric.
 
-    The rows nearest to a pattern are among the k + 1 smallest ids of each pattern, so rows never meet all rows. Neighbours of affinity zero
-    are no edges.
+    The rows nearest to a pattern are among the k + 1 smallest ids of each of its k + 1 nearest patterns (ties to the smaller least id), so rows never meet
+    all rows. For Jaccard and cosine ``near_patterns`` finds these patterns; Hamming affinities are above zero without a common label, so there
+    patterns meet as in ``pattern_edges``. Neighbours of affinity zero are no edges.
     """
     rows = samples.select("id", pattern(F.col("labels")).alias("pattern"))
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("pattern").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("pattern").alias("q"), F.col("id").alias("near"))
-    met = pattern_edges(pattern_counts(samples), sim).join(first, "q")
-    best = met.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("w"), "near"))).where(F.col("r") <= k + 1).select(F.col("p").alias("pattern"), "near", "w", "r")
+    pats = samples.groupBy(pattern(F.col("labels")).alias("pattern")).agg(F.count("*").alias("n"), F.first("labels").alias("labels"), F.min("id").alias("low"))
+    pairs = pattern_edges(pats, sim) if sim == "hamming" else near_patterns(pats, sim, k + 1)[0].select("p", "q", "w")
+    by = Window.partitionBy("p").orderBy(F.desc("w"), "low")
+    few = pairs.join(pats.select(F.col("pattern").alias("q"), "low"), "q").withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1).select("p", "q", "w")
+    best = few.join(first, "q").withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("w"), "near"))).where(F.col("r") <= k + 1).select(F.col("p").alias("pattern"), "near", "w", "r")
     own = rows.join(best, "pattern").where("id <> near").withColumn("own", F.row_number().over(Window.partitionBy("id").orderBy("r"))).where(F.col("own") <= k)
     directed = own.select(F.col("id").alias("p"), F.col("near").alias("q"), "w")
     return directed.union(directed.select("q", "p", "w")).groupBy("p", "q").agg(F.max("w").alias("w"))
