@@ -7,7 +7,7 @@ node that aligns in nearly all pages is a template node; if its text is the same
 counts come from all pages of the host, summed in each task before they are shuffled.
 
 Content slots are the template's ``article``, else ``main`` elements, else the lowest container that holds all main text of all pages; slots whose
-text is mostly links are menus. A page's text is that of its nodes in content slots, without constant nodes, slots of links, and elements whose
+text is mostly links are menus. A page's text is that of its nodes in content slots, without constant blocks at the slots' edges, slots of links, and elements whose
 tag, role, class or id marks them as menu, header, footer, sidebar, notice, advert, form, script, style or reader comments. Pages of hosts with too
 few pages, and pages of a layout that no pattern has, are judged by the same marks in their own tree alone (``article``, else ``main``, else ``body``).
 
@@ -20,9 +20,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence, Set
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +60,9 @@ HEADERS = frozenset({"header", "topbar"})
 PLAIN_NAMES = frozenset(
     "and area article banners bar block blocks bottom box btn button buttons card col column container content cta entry foot form global head icon icons inline inner item items left link links list main module outer page panel post posts primary right row secondary section sections site slot sticky the thread top unit wrap wrapper".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RUNNING = HEADINGS | {"p"}
+INLINE = frozenset("a abbr b bdi bdo button cite code data del dfn em font i ins kbd label mark output q s samp small span strong sub sup time tt u var".split())
 CONTAINERS = frozenset("html body div section article main nav header footer aside form center".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^"'>]+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -68,12 +71,12 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    """An element; its parts are strings and nodes in order."""
+    """An element; its parts are strings and nodes in order. ``nodes_of`` notes whether it stands in running text, and whether it holds the page's main element."""
 
-    __slots__ = ("tag", "attributes", "parts", "place")
+    __slots__ = ("tag", "attributes", "parts", "place", "running", "holds")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.parts, self.place = tag, attributes, [], -1
+        self.tag, self.attributes, self.parts, self.place, self.running, self.holds = tag, attributes, [], -1, False, False
 
     def children(self) -> list[Node]:
         return [p for p in self.parts if isinstance(p, Node)]
@@ -138,14 +141,48 @@ def own_text(node: Node) -> str:
     return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
+def is_main(node: Node) -> bool:
+    return node.tag == "main" or node.attributes.get("role", "").lower() == "main"
+
+
 def nodes_of(root: Node) -> list[Node]:
-    """All nodes in page order, each with its place."""
-    out, waiting = [], [root]
+    """All nodes in page order, each with its place, and with what ``is_beside`` asks of what is around and below it.
+
+    Running text is what lies in ``pre``, or in a paragraph or heading that has words of its own. An element holds the main text if all main elements lie
+    in it; on a page without any, if all articles and at least half of the page's text do.
+    """
+    out: list[Node] = []
+    above: list[int] = []
+    waiting = [(root, -1)]
     while waiting:
-        node = waiting.pop()
+        node, parent = waiting.pop()
         node.place = len(out)
         out.append(node)
-        waiting += reversed(node.children())
+        above.append(parent)
+        below = node.children()
+        if below:
+            running = node.running or node.tag == "pre" or node.tag in RUNNING and any(isinstance(p, str) and p.strip() for p in node.parts)
+            for c in below:
+                c.running = running
+            waiting += [(c, node.place) for c in reversed(below)]
+    mains = [n for n in out if is_main(n)]
+    chosen = mains or [n for n in out if n.tag == "article"]
+    holders: set[int] | None = None
+    for node in chosen:
+        path, i = set(), above[node.place]
+        while i > 0:
+            path.add(i)
+            i = above[i]
+        holders = path if holders is None else holders & path
+        if not holders:
+            return out
+    if holders and not mains:
+        chars = [0 if n.tag in RAW else sum(len(p) for p in n.parts if isinstance(p, str)) for n in out]
+        for i in range(len(out) - 1, 0, -1):
+            chars[above[i]] += chars[i]
+        holders = {i for i in holders if 2 * chars[i] >= chars[0]}
+    for i in holders or ():
+        out[i].holds = True
     return out
 
 
@@ -317,9 +354,26 @@ def align(xs: Sequence[int], ys: Sequence[int], weight: Callable[[int, int], flo
     return out
 
 
-@lru_cache(512)
-def _pattern(page: str) -> Tree:
-    return shape(parse(page))
+class Patterns:
+    """The trees of patterns that a worker has met, up to ``BROADCAST_BYTES`` characters of pages, the oldest out first."""
+
+    def __init__(self) -> None:
+        self.held: OrderedDict[str, Tree] = OrderedDict()
+        self.chars = 0
+
+    def __call__(self, page: str) -> Tree:
+        tree = self.held.get(page)
+        if tree is None:
+            tree = self.held[page] = shape(parse(page))
+            self.chars += len(page)
+            while self.chars > BROADCAST_BYTES and len(self.held) > PATTERNS:
+                self.chars -= len(self.held.popitem(last=False)[0])
+        else:
+            self.held.move_to_end(page)
+        return tree
+
+
+_pattern = Patterns()
 
 
 def aligned(page: Tree, pattern: Tree) -> list[tuple[int, int]] | None:
@@ -353,7 +407,8 @@ def patterns_of(pages: DataFrame) -> DataFrame:
 
 
 def _beside(pages: DataFrame, side: DataFrame, n_bytes: int) -> DataFrame:
-    """Join by host: by broadcast where the side's size, which was measured, allows it; else by a shuffle that splits hot hosts."""
+    """Join by host: by broadcast where the side's size, which was measured, allows it (``Patterns`` then holds all trees); else by a shuffle that splits hot
+    hosts and brings the pages of a host one after the other."""
     return pages.join(F.broadcast(side) if n_bytes <= BROADCAST_BYTES else side, "host", "left")
 
 
@@ -420,15 +475,18 @@ def names_of(value: str) -> set[str]:
 
 
 def is_beside(node: Node, in_article: bool) -> bool:
-    """Whether an element is marked as something other than main text."""
-    if node.tag in SKIPPED or node.tag == "header" and not in_article:
+    """Whether an element is marked as something other than main text. Names don't mark what holds the page's main element, and neither names, roles nor the
+    tags of buttons and labels mark an inline element of running text: there they are words of a sentence or of a listing."""
+    if node.running and node.tag in INLINE:
+        return "hidden" in node.attributes or bool(HIDDEN.search(node.attributes.get("style", "")))
+    if node.tag in SKIPPED and not (node.holds and node.tag == "form") or node.tag == "header" and not in_article:
         return True
     if not node.attributes:
         return False
     a = node.attributes
-    if "hidden" in a or a.get("role", "").lower() in SKIPPED_ROLES or HIDDEN.search(a.get("style", "")):
+    if "hidden" in a or not node.holds and a.get("role", "").lower() in SKIPPED_ROLES or HIDDEN.search(a.get("style", "")):
         return True
-    if node.tag in ("html", "body", "main") or node.tag == "article" and "comment" not in f"{a.get('class', '')} {a.get('id', '')}".lower():
+    if node.holds or node.tag in ("html", "body", "main") or node.tag == "article" and "comment" not in f"{a.get('class', '')} {a.get('id', '')}".lower():
         return False
     names = names_of(f"{a.get('class', '')} {a.get('id', '')}")
     return bool(names & SKIPPED_NAMES) or not in_article and bool(names & HEADERS)
@@ -440,7 +498,7 @@ def articles(root: Node) -> list[Node]:
     waiting = [root]
     while waiting:
         node = waiting.pop()
-        kind = "main" if node.tag == "main" or node.attributes.get("role", "").lower() == "main" else node.tag
+        kind = "main" if is_main(node) else node.tag
         if node is not root and node.tag not in ("html", "body") and is_beside(node, kind in ("article", "main")):
             continue
         if kind in found:
@@ -451,36 +509,52 @@ def articles(root: Node) -> list[Node]:
 
 
 def blocks(node: Node, template: set[int], in_article: bool, skipped: Set[int] = frozenset()) -> list[str]:
-    """The texts of an element's blocks in page order, without the own text of ``template`` nodes and without ``skipped`` nodes."""
-    out: list[str] = []
+    """The texts of an element's blocks in page order, without ``skipped`` nodes and without the template at its edges.
+
+    A block all of whose text is the own text of ``template`` nodes is constant. Constant blocks ahead of the first varying one and after the last go; those
+    between varying ones are part of the text, and so are headings of an article ahead of a varying one.
+    """
+    out: list[tuple[str, bool, bool]] = []
     line: list[str] = []
+    constant, heading = True, False
 
     def end() -> None:
+        nonlocal constant, heading
         text = "".join(line)
         text = " ".join((html.unescape(text) if "&" in text else text).split())
         line.clear()
         if text:
-            out.append(text)
+            out.append((text, constant, heading))
+        constant, heading = True, False
 
     waiting: list = [node]
+    own = False
     while waiting:
         part = waiting.pop()
         if isinstance(part, str):
             line.append(part)
+            constant = constant and (own or not part.strip())
         elif part is None:
             end()
+        elif isinstance(part, bool):
+            own = part
         elif part is not node and (part.place in skipped or is_beside(part, in_article)):
             line.append(" ")
         else:
-            own = [p for p in part.parts if isinstance(p, Node)] if part.place in template else part.parts
             if part.tag in BLOCK:
                 end()
                 waiting.append(None)
+                heading = in_article and part.tag in HEADINGS
             elif part.tag in ("br", "img", "wbr"):
                 line.append(" " if part.tag != "wbr" else "")
-            waiting += reversed(own)
+            waiting.append(own)
+            own = part.place in template
+            waiting += reversed(part.parts)
     end()
-    return out
+    varying = [i for i, (_, fixed, _) in enumerate(out) if not fixed]
+    if not varying:
+        return []
+    return [text for i, (text, _, head) in enumerate(out[: varying[-1] + 1]) if i >= varying[0] or head]
 
 
 @dataclass
