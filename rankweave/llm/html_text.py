@@ -145,28 +145,40 @@ def is_main(node: Node) -> bool:
     return node.tag == "main" or node.attributes.get("role", "").lower() == "main"
 
 
-def nodes_of(root: Node) -> list[Node]:
-    """All nodes in page order, each with its place, and with what ``is_beside`` asks of what is around and below it.
+def nodes_of(root: Node) -> tuple[list[Node], list[list[Node]]]:
+    """All nodes in page order and the children of each; every node gets its place, and what ``is_beside`` asks of what is around and below it.
 
     Running text is what lies in ``pre``, or in a paragraph or heading that has words of its own. An element holds the main text if all main elements lie
     in it; on a page without any, if all articles and at least half of the page's text do.
     """
     out: list[Node] = []
-    above: list[int] = []
-    waiting = [(root, -1)]
+    below: list[list[Node]] = []
+    mains: list[Node] = []
+    articles_of: list[Node] = []
+    waiting = [root]
     while waiting:
-        node, parent = waiting.pop()
+        node = waiting.pop()
         node.place = len(out)
         out.append(node)
-        above.append(parent)
-        below = node.children()
-        if below:
-            running = node.running or node.tag == "pre" or node.tag in RUNNING and any(isinstance(p, str) and p.strip() for p in node.parts)
-            for c in below:
-                c.running = running
-            waiting += [(c, node.place) for c in reversed(below)]
-    mains = [n for n in out if is_main(n)]
-    chosen = mains or [n for n in out if n.tag == "article"]
+        tag, parts = node.tag, node.parts
+        if tag == "article":
+            articles_of.append(node)
+        if tag == "main" or node.attributes and is_main(node):
+            mains.append(node)
+        children = [p for p in parts if isinstance(p, Node)] if len(parts) > 1 or parts and isinstance(parts[0], Node) else []
+        below.append(children)
+        if children:
+            if node.running or tag == "pre" or tag in RUNNING and any(isinstance(p, str) and not p.isspace() for p in parts):
+                for c in children:
+                    c.running = True
+            waiting += reversed(children)
+    chosen = mains or articles_of
+    if not chosen:
+        return out, below
+    above = [0] * len(out)
+    for i, children in enumerate(below):
+        for c in children:
+            above[c.place] = i
     holders: set[int] | None = None
     for node in chosen:
         path, i = set(), above[node.place]
@@ -175,7 +187,7 @@ def nodes_of(root: Node) -> list[Node]:
             i = above[i]
         holders = path if holders is None else holders & path
         if not holders:
-            return out
+            return out, below
     if holders and not mains:
         chars = [0 if n.tag in RAW else sum(len(p) for p in n.parts if isinstance(p, str)) for n in out]
         for i in range(len(out) - 1, 0, -1):
@@ -183,7 +195,7 @@ def nodes_of(root: Node) -> list[Node]:
         holders = {i for i in holders if 2 * chars[i] >= chars[0]}
     for i in holders or ():
         out[i].holds = True
-    return out
+    return out, below
 
 
 @dataclass
@@ -203,10 +215,10 @@ class Tree:
 
 def shape(root: Node) -> Tree:
     """The tree of a parsed page; scripts and styles are left without text."""
-    nodes = nodes_of(root)
+    nodes, below = nodes_of(root)
     n = len(nodes)
     texts = ["" if x.tag in ("script", "style") else own_text(x) for x in nodes]
-    children = [[c.place for c in x.children()] for x in nodes]
+    children = [[c.place for c in cs] for cs in below]
     beside, inside, link = [False] * n, [False] * n, [False] * n
     for i, x in enumerate(nodes):
         link[i] |= x.tag == "a"
