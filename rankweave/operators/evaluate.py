@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankweave.operators.fusion import best_capacities, fuse_grid, n_selected
-from rankweave.operators.mlknn import fit_from, neighbours, proba_from
+from rankweave.operators.mlknn import fit_from, proba_from
+from rankweave.operators.shared_tiles import subset_neighbours
 from rankweave.plans.params import MlknnParams, SelectionParams, params_of
 
 
@@ -50,14 +51,14 @@ def geometric_mean(micro: DataFrame, macro: DataFrame, key: str) -> DataFrame:
 
 def fold_predictions(samples: DataFrame, groups: DataFrame, params: MlknnParams, cv: int, seed: int) -> DataFrame:
     """(subset, fold, id, lid, pred, y): every row predicted by the classifier of its fold, for each feature subset in ``groups`` (subset,
-    selected array<int>), all in one job."""
+    selected array<int>; one for each pair of capacities at most), all in one job. Features meet once for all subsets and folds; copies of rows hold labels only."""
     dealt = samples.join(folds(samples, cv, seed), "id")
-    sets = F.array(*[F.struct(F.lit(g["subset"]).alias("subset"), F.array(*map(F.lit, g["selected"])).alias("selected")) for g in groups.collect()])  # one for each pair of capacities at most
-    every = dealt.withColumn("g", F.explode(sets)).select("*", "g.*", F.explode(F.sequence(F.lit(0), F.lit(cv - 1))).alias("test_fold"))
-    rows = every.select(F.concat_ws("/", "subset", "test_fold").alias("grp"), "id", F.transform("selected", lambda i: F.element_at("features", i + 1)).alias("features"), "labels", (F.col("fold") != F.col("test_fold")).alias("train"))
-    few = rows.where("train").groupBy("grp").count().agg(F.min("count")).first()[0]
-    k = min(params.k, max(1, few - 1))
-    near = neighbours(rows, k)
+    sizes = [r["count"] for r in dealt.groupBy("fold").count().collect()]
+    k = min(params.k, max(1, sum(sizes) - max(sizes, default=0) - 1))
+    subsets = {g["subset"]: list(g["selected"]) for g in groups.orderBy("subset").collect()}
+    near = subset_neighbours(dealt.select("id", "fold", "features"), subsets, cv, k)
+    every = dealt.select("id", "fold", "labels", F.explode(F.array(*map(F.lit, subsets))).alias("subset")).withColumn("test_fold", F.explode(F.sequence(F.lit(0), F.lit(cv - 1))))
+    rows = every.select(F.concat_ws("/", "subset", "test_fold").alias("grp"), "id", "labels", (F.col("fold") != F.col("test_fold")).alias("train"))
     model = fit_from(rows, near, k, MlknnParams(k, params.s, params.label_adaptive_k, min(params.label_k_min, k), params.label_k_power))
     proba = proba_from(rows.where("not train").select("grp", "id"), near, samples.select("id", "labels"), model)
     named = paired(thresholded(proba), samples)
