@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankweave.operators.knn import FOUND
-
 BLOCK = 2048
+SMALL = 128
 STRIP_BYTES = 64 << 20
 
 
@@ -51,6 +50,16 @@ def _lengths(parts: list[np.ndarray], of: list[list[int]]) -> list[np.ndarray]:
     return [np.maximum(np.sqrt(sum((squares[a] for a in atoms), np.zeros(len(parts[0])))), 1e-12) for atoms in of]
 
 
+def blocks_for(dealt: DataFrame) -> tuple[int, int, int]:
+    """How many blocks of asking rows and of candidates, of ``BLOCK`` rows at most on average, and how many tasks for their pairs. Few rows make smaller blocks of
+    asking rows, so that all cores have some; blocks of candidates stay large, as each pair of blocks sends k rows on for each asking row."""
+    spark, n = dealt.sparkSession, dealt.count()
+    cores = max(spark.sparkContext.defaultParallelism, 1)
+    asked = max(1, -(-n // BLOCK))
+    asking = max(asked, min(-(-n // SMALL), 2 * cores))
+    return asking, asked, min(asking * asked, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores))
+
+
 def subset_neighbours(dealt: DataFrame, subsets: dict[str, list[int]], cv: int, k: int) -> DataFrame:
     """(grp, id, near, sim, rank): per subset and test fold (grp: ``subset/fold``) the k rows outside of the fold most similar to each row, itself excluded by id.
 
@@ -61,10 +70,14 @@ def subset_neighbours(dealt: DataFrame, subsets: dict[str, list[int]], cv: int,
     place = {f: i for i, f in enumerate(used)}
     atoms, of = atoms_of([[place[f] for f in subsets[n]] for n in names])
     rows = dealt.select("id", "fold", F.transform(F.array(*map(F.lit, used)), lambda i: F.element_at("features", i + 1)).alias("features"))
-    many = F.greatest(F.ceil(F.lit(dealt.count() / BLOCK)), F.lit(1)).cast("long")
-    held = rows.groupBy(F.pmod(F.xxhash64("id"), many).alias("b")).agg(F.collect_list(F.struct("id", "fold", "features")).alias("held"))
-    block = held.select("b", F.col("held.id").alias("ids"), F.col("held.fold").alias("folds"), F.flatten("held.features").alias("values"))
-    met = block.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("b").join(block.select(F.col("b").alias("cb"), *(F.col(c).alias(f"c_{c}") for c in ("ids", "folds", "values"))), "cb")
+    asking, asked, tasks = blocks_for(dealt)
+
+    def blocks(many: int, name: str, others: int, other: str) -> DataFrame:
+        held = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(many)).alias(name)).agg(F.collect_list(F.struct("id", "fold", "features")).alias("held"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other)
+        return held.select(name, every, F.col("held.id").alias(f"{name}_ids"), F.col("held.fold").alias(f"{name}_folds"), F.flatten("held.features").alias(f"{name}_values"))
+
+    met = blocks(asking, "q", asked, "c").drop("q_folds").repartition(tasks, "q", "c").join(blocks(asked, "c", asking, "q"), ["q", "c"])
 
     def parts_of(values: pa.Array, n: int) -> list[np.ndarray]:
         x = values.values.to_numpy(zero_copy_only=False).reshape(n, -1)
@@ -83,7 +96,7 @@ def subset_neighbours(dealt: DataFrame, subsets: dict[str, list[int]], cv: int,
                     ids = q_id[at : at + strip]
                     tiles = [a[at : at + strip] @ b.T for a, b in zip(q, c, strict=True)]
                     itself = ids[:, None] == c_id[None, :]
-                    for s, name in enumerate(names):
+                    for s in range(len(names)):
                         sims = sum((tiles[a] for a in of[s][1:]), tiles[of[s][0]])
                         sims = np.round(sims / (q_len[s][at : at + strip, None] * c_len[s][None, :]), 10)
                         sims[itself] = -np.inf
@@ -97,10 +110,10 @@ def subset_neighbours(dealt: DataFrame, subsets: dict[str, list[int]], cv: int,
                             order = np.lexsort((c_id[col], -sim, row))
                             row, col, sim = row[order], col[order], sim[order]
                             kept = np.arange(len(row)) - np.searchsorted(row, np.arange(len(ids)))[row] < k
-                            n = int(kept.sum())
-                            grp = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([f"{name}/{t}"])).cast(pa.string())
-                            yield pa.RecordBatch.from_arrays([grp, pa.array(ids[row[kept]]), pa.array(c_id[col[kept]]), pa.array(sim[kept])], ["grp", "id", "near", "sim"])
+                            grp = np.full(int(kept.sum()), s * cv + t, np.int32)
+                            yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(ids[row[kept]]), pa.array(c_id[col[kept]]), pa.array(sim[kept])], ["grp", "id", "near", "sim"])
 
-    found = met.select("ids", "values", "c_ids", "c_folds", "c_values").mapInArrow(run, FOUND)
+    found = met.select("q_ids", "q_values", "c_ids", "c_folds", "c_values").mapInArrow(run, "grp int, id long, near long, sim double")
     rank = F.row_number().over(Window.partitionBy("grp", "id").orderBy(F.desc("sim"), "near"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    named = F.element_at(F.array(*(F.lit(f"{name}/{t}") for name in names for t in range(cv))), F.col("grp") + 1)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("grp", named)
