@@ -179,4 +179,4 @@ def test_pipeline(spark, data):
 def test_registered():
     import __spark_entry__ as e
 
-    assert set(queries.QUERIES) <= set(e.queries()) and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES if q != "pipeline"}
+    assert set(queries.QUERIES) <= set(e.queries()) and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES if q != "pipeline"}
