@@ -263,6 +263,15 @@ _spectral("weighted", {"instance_weight_gamma": 0.5}, gamma=0.5)
 _spectral("knn", {"label_knn": K}, k=K)
 
 
+_FACTS = {"score_min": "min(score)", "score_max": "max(score)", "score_mean": "avg(score)", "dirichlet_mean": "avg(dirichlet)", "hsic_mean": "avg(hsic)"}
+
+
+@query(over(*graph_sql(alpha=0.7), then=f"SELECT {', '.join(q6(v, k) for k, v in _FACTS.items())} FROM bl"))
+def spectral_facts(spark, d):
+    facts = spectral.fit_spectral(S.vectors(spark, d), {"alpha": 0.7})[1]
+    return spark.createDataFrame([tuple(facts[k] for k in _FACTS)], ", ".join(f"{k} double" for k in _FACTS)).select(*(r6(k) for k in _FACTS))
+
+
 @query(over(*graph_sql(alpha=0.7), then=f"SELECT CAST(row_number() OVER (ORDER BY score DESC, fid) AS INTEGER) AS rank, fid + 1 AS fid, {q6('score')} FROM bl"))
 def spectral_ranking(spark, d):
     return spectral.fit_spectral(S.vectors(spark, d), {"alpha": 0.7})[0].select("rank", "fid", r6("score"))
