@@ -8,16 +8,15 @@ from pyspark.sql.window import Window
 
 from rankweave.operators.fusion import best_capacities, fuse_grid, n_selected
 from rankweave.operators.mlknn import fit_from, proba_from
+from rankweave.operators.ranks import places_by_hash
 from rankweave.operators.shared_tiles import subset_neighbours
 from rankweave.plans.params import MlknnParams, SelectionParams, params_of
 
 
 def folds(samples: DataFrame, cv: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fold): rows in the order of a hash of seed and id, dealt in turn within 256 buckets of it, so that no task orders all rows."""
+    """(id, fold): all rows in the order of a hash of seed and id, dealt in turn; no task orders all rows."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
-    bucket = F.substring(key, 1, 2)
-    r = F.row_number().over(Window.partitionBy(bucket).orderBy(key, "id"))
-    return samples.select("id", ((r - 1 + F.conv(bucket, 16, 10).cast("int")) % cv).cast("int").alias("fold"))
+    return places_by_hash(samples, key).select("id", (F.col("place") % cv).cast("int").alias("fold"))
 
 
 def thresholded(proba: DataFrame, least: float = 0.5) -> DataFrame:

@@ -1,20 +1,18 @@
-"""Rank normalisation, Choquet fusion and rankings. Windows without a partition are over one row per feature."""
+"""Rank normalisation, Choquet fusion and rankings; ranks are counted in parts, no task orders all features."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rankweave.functions.columns import choquet
+from rankweave.operators.ranks import places, tied_places
 
 
 def rank_uniform(scores: DataFrame, name: str = "score") -> DataFrame:
     """(fid, name): empirical distribution value with averaged ties, (rank - 0.5) / n; 0.5 for a single feature."""
-    ties = F.count("*").over(Window.partitionBy(name))
-    n = F.count("*").over(Window.partitionBy())
-    r = (F.rank().over(Window.orderBy(name)) + (ties - 1) / 2 - 0.5) / n
-    return scores.select("fid", F.when(n <= 1, 0.5).otherwise(F.least(F.greatest(r, F.lit(0.0)), F.lit(1.0))).alias(name))
+    r = (F.col("place") - 0.5) / F.col("total")
+    return tied_places(scores, name).select("fid", F.when(F.col("total") <= 1, 0.5).otherwise(F.least(F.greatest(r, F.lit(0.0)), F.lit(1.0))).alias(name))
 
 
 def fuse(embedded: DataFrame, spectral: DataFrame, mu_e: float, mu_s: float) -> DataFrame:
@@ -33,7 +31,7 @@ def fuse_grid(embedded: DataFrame, spectral: DataFrame, grid: tuple[float, ...])
 
 def ranking(scores: DataFrame, top_k: int | None = None) -> DataFrame:
     """(rank, fid, score): best first (all, or ``top_k``), ties to the smaller feature; ranks and feature numbers count from 1."""
-    ranked = scores.select(F.row_number().over(Window.orderBy(F.desc("score"), "fid")).alias("rank"), (F.col("fid") + 1).alias("fid"), "score")
+    ranked = places(scores).select((F.col("place") + 1).cast("int").alias("rank"), (F.col("fid") + 1).alias("fid"), "score")
     return ranked if top_k is None else ranked.where(F.col("rank") <= top_k)
 
 
@@ -44,7 +42,7 @@ def n_selected(d: int, p_frac: float) -> int:
 
 def top_features(scores: DataFrame, k: int) -> DataFrame:
     """(fid, score) of the k best, ties to the smaller feature."""
-    return scores.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "fid"))).where(F.col("r") <= k).select("fid", "score")
+    return places(scores).where(F.col("place") < k).select("fid", "score")
 
 
 def best_capacities(grid_scores: DataFrame) -> DataFrame:

@@ -355,8 +355,7 @@ def capacity_argmax(spark, d):
 
 # ---- neighbours and classifiers
 
-FOLD = """fd AS (SELECT id, CAST((row_number() OVER (PARTITION BY substr(md5(concat('42:', id)), 1, 2) ORDER BY md5(concat('42:', id)), id) - 1
-  + CAST(concat('0x', substr(md5(concat('42:', id)), 1, 2)) AS INTEGER)) % 3 AS INTEGER) AS fold FROM f)"""
+FOLD = "fd AS (SELECT id, CAST((row_number() OVER (ORDER BY md5(concat('42:', id)), id) - 1) % 3 AS INTEGER) AS fold FROM f)"
 UNIT = "u AS (SELECT id, labels, list_transform(features, lambda v: v / greatest(sqrt(list_dot_product(features, features)), 1e-12)) AS v FROM f)"
 NEAR = f"""nn AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY sim DESC, near) AS INTEGER) AS rank FROM
   (SELECT a.id, b.id AS near, round(list_dot_product(a.v, b.v), 10) AS sim FROM u a, u b WHERE a.id <> b.id)) WHERE rank <= {K})"""
