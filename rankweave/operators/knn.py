@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rankweave.operators.sparse import SparseBlock, is_sparse
+
 BLOCK = 2048
 FOUND = "grp string, id long, near long, sim double"
 
@@ -23,7 +25,24 @@ def _blocks(rows: DataFrame, name: str) -> DataFrame:
     many = rows.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias(f"{name}_many"))
     dealt = rows.join(many, "grp").select("grp", f"{name}_many", F.pmod(F.xxhash64("id"), F.col(f"{name}_many")).alias(name), "id", "features")
     held = dealt.groupBy("grp", f"{name}_many", name).agg(F.collect_list(F.struct("id", "features")).alias("held"))
-    return held.select("grp", f"{name}_many", name, F.col("held.id").alias(f"{name}_ids"), F.flatten("held.features").alias(f"{name}_values"))
+    ids = [F.col("grp"), F.col(f"{name}_many"), F.col(name), F.col("held.id").alias(f"{name}_ids")]
+    if not is_sparse(rows):
+        return held.select(*ids, F.flatten("held.features").alias(f"{name}_values"))
+    features = F.col("held.features")
+    packed = F.struct(F.array_max(features["size"]).alias("size"), F.transform(features["indices"], F.size).alias("counts"), F.flatten(features["indices"]).alias("indices"), F.flatten(features["values"]).alias("values"))
+    return held.select(*ids, packed.alias(f"{name}_values"))
+
+
+def _unit_block(values: pa.Scalar, n: int) -> np.ndarray | SparseBlock:
+    """The unit rows of a block of ``n`` rows, in the layout that they have."""
+    if not pa.types.is_struct(values.type):
+        return unit_rows(values.values.to_numpy().reshape(n, -1))
+    counts, indices, x = (values[c].values.to_numpy() for c in ("counts", "indices", "values"))
+    return SparseBlock(values["size"].as_py(), counts, indices, x).unit()
+
+
+def cosines(a: np.ndarray | SparseBlock, b: np.ndarray | SparseBlock) -> np.ndarray:
+    return a.times_rows_of(b) if isinstance(a, SparseBlock) else a @ b.T
 
 
 def unit_rows(values: np.ndarray) -> np.ndarray:
@@ -38,7 +57,7 @@ def best_of(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def knn(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """(grp, id, near, sim, rank): for each query of a group its k most similar candidates of the group, itself excluded by id.
 
-    Both have (grp, id, features). Similarities are rounded to 10 places; ties go to the smaller id.
+    Both have (grp, id, features), features of one layout (an array, or sparse). Similarities are rounded to 10 places; ties go to the smaller id.
     """
     c, q = _blocks(candidates, "cb"), _blocks(queries, "qb")
     many = candidates.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("many"))
@@ -49,7 +68,7 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
             for i in range(part.num_rows):
                 grp, q_ids, q_values, c_ids, c_values = (part.column(x)[i] for x in range(5))
                 q_id, c_id = q_ids.values.to_numpy(), c_ids.values.to_numpy()
-                sims = np.round(unit_rows(q_values.values.to_numpy().reshape(len(q_id), -1)) @ unit_rows(c_values.values.to_numpy().reshape(len(c_id), -1)).T, 10)
+                sims = np.round(cosines(_unit_block(q_values, len(q_id)), _unit_block(c_values, len(c_id))), 10)
                 sims[q_id[:, None] == c_id[None, :]] = -np.inf
                 at = best_of(sims, c_id, k)
                 sim = np.take_along_axis(sims, at, axis=1)

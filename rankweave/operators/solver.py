@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions.columns import pattern
-from rankweave.operators import sharded
+from rankweave.operators import sharded, sparse
+from rankweave.operators.sparse import SparseBlock, block_of, is_sparse
 from rankweave.operators.weights import label_gram, pattern_counts, pattern_weights, tail_weights
 from rankweave.plans.params import EmbeddedParams, params_of
 from rankweave.sources.samples import sizes
@@ -36,11 +37,17 @@ MORE_DIRECTIONS, ACCURACY, PASSES = 10, 1e-11, 300
 
 
 def block_sums(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], parts: int | None = None) -> np.ndarray:
-    """The sum over all rows (features, labels, s), or over ``sharded.row_blocks`` of them, of ``work`` on blocks; partial sums meet in fewer and fewer
+    """The sum over all rows (features, labels, s), of either layout, or over blocks of them (``row_blocks``), of ``work`` on blocks; partial sums meet in fewer and fewer
     tasks before the driver. ``parts``: how many partitions the rows have, where that is known."""
-    in_blocks = "x" in rows.columns
+    if "x" not in rows.columns and is_sparse(rows):
+        rows = row_blocks(rows)
+    in_blocks, in_sparse = "x" in rows.columns, "indices" in rows.columns
 
     def blocks(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if in_sparse:
+            for n, x, y, s, d, indices, counts in zip(part.column(0).to_pylist(), *(part.column(i) for i in range(1, 7)), strict=True):
+                yield block_of(d.as_py(), counts, indices, x), np.frombuffer(y.as_buffer(), np.int8).astype(float).reshape(n, -1), np.frombuffer(s.as_buffer())
+            return
         if in_blocks:
             for n, x, y, s in zip(part.column(0).to_pylist(), *(part.column(i) for i in (1, 2, 3)), strict=True):
                 yield np.frombuffer(x.as_buffer()).reshape(n, -1), np.frombuffer(y.as_buffer(), np.int8).astype(float).reshape(n, -1), np.frombuffer(s.as_buffer())
@@ -75,6 +82,11 @@ def block_sums(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarr
     return np.sum([np.array(r["v"]) for r in sums.collect()], axis=0)
 
 
+def row_blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of rows (features, labels, s) in the layout that they have."""
+    return sparse.row_blocks(rows) if is_sparse(rows) else sharded.row_blocks(rows)
+
+
 def n_partitions(rows: DataFrame) -> int:
     return rows.rdd.getNumPartitions()
 
@@ -89,7 +101,7 @@ def prepared(samples: DataFrame, p: EmbeddedParams) -> DataFrame:
 
 def gram(rows: DataFrame, d: int, parts: int | None = None) -> np.ndarray:
     """Features by features, weighted."""
-    return block_sums(rows, lambda x, y, s: ((x * s[:, None]).T @ x).ravel(), parts).reshape(d, d)
+    return block_sums(rows, lambda x, y, s: (x.gram(s) if isinstance(x, SparseBlock) else (x * s[:, None]).T @ x).ravel(), parts).reshape(d, d)
 
 
 def greatest_eigenvalue(g: np.ndarray, n_iter: int = 25, seed: int = 0) -> float:
@@ -292,6 +304,8 @@ def fit_embedded(samples: DataFrame, params: EmbeddedParams | dict | None = None
     r = v.shape[1]
     facts = {"n": n, "d": d, "L": n_labels, "rank": r, "alpha": p.alpha, "beta": p.beta, "rho": p.rho, "label_gamma": p.label_gamma, "instance_weights": p.inst if p.use_instance_weights else None, "V": v}
     if feature_block or d * r > DRIVER_WEIGHTS:
+        if is_sparse(samples):
+            raise ValueError("weights in blocks of features take dense samples")
         frame, course, eig = _in_blocks(prepared(samples, p), p, d, v, lw, start, feature_block or FEATURE_BLOCK)
         low, high = frame.agg(F.min("score"), F.max("score")).first()
         facts |= {"score_minmax": (low, high), "weights": frame}
@@ -309,7 +323,7 @@ def fit_embedded(samples: DataFrame, params: EmbeddedParams | dict | None = None
 def _on_driver(samples: DataFrame, p: EmbeddedParams, d: int, v: np.ndarray, lw: np.ndarray, start: np.ndarray | None) -> tuple[np.ndarray, Course, float]:
     """The weights, what was done, and the greatest eigenvalue, with weights on the driver. Rows are kept as binary blocks, so that a pass reads few of them."""
     r, n_labels = v.shape[1], len(lw)
-    rows = sharded.row_blocks(samples).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = row_blocks(samples).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         parts = n_partitions(rows)
         small = d <= GRAM_FEATURES

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rankweave.functions import columns as C
 from rankweave.operators import evaluate, fusion, mlknn, solver, spectral, weights
 from rankweave.operators.knn import knn
+from rankweave.operators.sparse import sparse
 from rankweave.plans.params import VARIANTS, EmbeddedParams, MlknnParams, SelectionParams, SpectralParams
 from rankweave.plans.pipeline import rank_features
 from rankweave.sources import samples as S
@@ -377,6 +378,11 @@ def knn_cosine_fit(spark, d):
     return mlknn.neighbours(_grouped(spark, d), K).select("id", "near", r6("sim"), "rank")
 
 
+@query(over(VECTORS, UNIT, NEAR, then=f"SELECT id, near, {q6('sim')}, rank FROM nn"))
+def knn_cosine_fit_sparse(spark, d):
+    return mlknn.neighbours(_grouped(spark, d).withColumn("features", sparse(F.col("features"))), K).select("id", "near", r6("sim"), "rank")
+
+
 @query(over(VECTORS, UNIT, FOLD, NEAR_FOLD, then=f"SELECT id, near, {q6('sim')}, rank FROM nn JOIN fd USING (id) WHERE nn.fold = 0 AND fd.fold = 0"))
 def knn_cosine_predict(spark, d):
     rows = S.vectors(spark, d)
@@ -587,15 +593,18 @@ def steps_sql(alpha: float, weighted: bool) -> tuple[str, ...]:
     return *out, f"sc AS (SELECT fid, sqrt(sum(w * w)) AS score FROM w{STEPS} GROUP BY fid)"
 
 
-def _steps(variant: str, block: int | None = None) -> None:
+def _steps(variant: str, block: int | None = None, layout: str = "") -> None:
     alpha, weighted, _ = VARIANTS[variant]
 
     def run(spark, d):
         import numpy as np
 
-        return solver.fit_embedded(S.text_rows(spark, d), EmbeddedParams(alpha=alpha, use_instance_weights=weighted, max_iter=STEPS), np.zeros((6, 2)), block)[0].select("rank", "fid", r6("score"))
+        rows = S.text_rows(spark, d)
+        if layout:
+            rows = rows.withColumn("features", sparse(F.col("features")))
+        return solver.fit_embedded(rows, EmbeddedParams(alpha=alpha, use_instance_weights=weighted, max_iter=STEPS), np.zeros((6, 2)), block)[0].select("rank", "fid", r6("score"))
 
-    run.__name__ = f"embedded_steps_{variant}" + ("_in_blocks" if block else "")
+    run.__name__ = f"embedded_steps_{variant}" + ("_in_blocks" if block else layout)
     query(over(*steps_sql(alpha, weighted), then=f"SELECT CAST(row_number() OVER (ORDER BY sc.score DESC, fid) AS INTEGER) AS rank, fid + 1 AS fid, {q6('score')} FROM sc"))(run)
 
 
@@ -603,6 +612,7 @@ for _variant in ("embedded", "regression", "logistic", "unweighted", "simple"):
     _steps(_variant)
 for _variant in ("embedded", "simple"):
     _steps(_variant, 4)
+    _steps(_variant, layout="_sparse")
 
 
 def _embedded(name: str, variant: str) -> None:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rankweave.functions.columns import binarized
 
@@ -22,8 +23,9 @@ def assemble(df: DataFrame, id_col: str, features: Sequence[Column], labels: Seq
 
 
 def sizes(samples: DataFrame) -> tuple[int, int, int]:
-    """(rows, features, labels); raises on empty or ragged samples."""
-    r = samples.agg(F.count("*").alias("n"), *[f(F.size(c)).alias(f"{a}_{c}") for c in ("features", "labels") for a, f in (("least", F.min), ("most", F.max))]).first()
+    """(rows, features, labels) of samples of either layout; raises on empty or ragged samples."""
+    features = F.col("features.size") if isinstance(samples.schema["features"].dataType, StructType) else F.size("features")
+    r = samples.agg(F.count("*").alias("n"), *[f(v).alias(f"{a}_{c}") for c, v in (("features", features), ("labels", F.size("labels"))) for a, f in (("least", F.min), ("most", F.max))]).first()
     if not r["n"] or r["least_features"] != r["most_features"] or r["least_labels"] != r["most_labels"] or r["most_features"] < 1 or r["most_labels"] < 1:
         raise ValueError("samples must be non-empty and equally long")
     return r["n"], r["most_features"], r["most_labels"]
