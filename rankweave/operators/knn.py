@@ -1,7 +1,6 @@
-"""Nearest neighbours by cosine similarity, in blocks.
+"""Nearest neighbours by cosine similarity.
 
-Candidates and queries are dealt into blocks; every block of queries meets every block of candidates of its group once, by an equi-join on block
-numbers, and a pair of blocks is one matrix product in a task. Only the k best of each block go on.
+Asking rows meet candidates in the cells of a grid (``best``), each a task that holds some candidates; products rule most of them out, and only the k best of each cell go on.
 """
 
 from __future__ import annotations
@@ -14,44 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rankweave.operators.best import CHUNK, dense_scan, each_cell, grid, scan
 from rankweave.operators.sparse import SparseBlock, is_sparse
 
 BLOCK = 2048
+STRIP = 512
 FOUND = "grp string, id long, near long, sim double"
 
 
-def _blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Blocks of each group, with how many the group has, which follows from its own number of rows."""
-    many = rows.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias(f"{name}_many"))
-    dealt = rows.join(many, "grp").select("grp", f"{name}_many", F.pmod(F.xxhash64("id"), F.col(f"{name}_many")).alias(name), "id", "features")
-    held = dealt.groupBy("grp", f"{name}_many", name).agg(F.collect_list(F.struct("id", "features")).alias("held"))
-    ids = [F.col("grp"), F.col(f"{name}_many"), F.col(name), F.col("held.id").alias(f"{name}_ids")]
-    if not is_sparse(rows):
-        return held.select(*ids, F.flatten("held.features").alias(f"{name}_values"))
-    features = F.col("held.features")
-    packed = F.struct(F.array_max(features["size"]).alias("size"), F.transform(features["indices"], F.size).alias("counts"), F.flatten(features["indices"]).alias("indices"), F.flatten(features["values"]).alias("values"))
-    return held.select(*ids, packed.alias(f"{name}_values"))
-
-
-def _unit_block(values: pa.Scalar, n: int) -> np.ndarray | SparseBlock:
-    """The unit rows of a block of ``n`` rows, in the layout that they have."""
-    if not pa.types.is_struct(values.type):
-        return unit_rows(values.values.to_numpy().reshape(n, -1))
-    counts, indices, x = (values[c].values.to_numpy() for c in ("counts", "indices", "values"))
-    return SparseBlock(values["size"].as_py(), counts, indices, x).unit()
-
-
-def cosines(a: np.ndarray | SparseBlock, b: np.ndarray | SparseBlock) -> np.ndarray:
-    return a.times_rows_of(b) if isinstance(a, SparseBlock) else a @ b.T
-
-
 def unit_rows(values: np.ndarray) -> np.ndarray:
     return values / np.maximum(np.sqrt((values * values).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def best_of(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k greatest similarities of each row, ties to the smaller id, -inf left out by the caller."""
-    return np.stack([np.lexsort((ids, -row))[:k] for row in sims])
+def numbers(values: pa.Scalar) -> np.ndarray:
+    return values.values.to_numpy(zero_copy_only=False)
 
 
 def knn(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
@@ -59,22 +34,47 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
 
     Both have (grp, id, features), features of one layout (an array, or sparse). Similarities are rounded to 10 places; ties go to the smaller id.
     """
-    c, q = _blocks(candidates, "cb"), _blocks(queries, "qb")
-    many = candidates.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("many"))
-    met = q.join(many, "grp").withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))).join(c, ["grp", "cb"])
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for i in range(part.num_rows):
-                grp, q_ids, q_values, c_ids, c_values = (part.column(x)[i] for x in range(5))
-                q_id, c_id = q_ids.values.to_numpy(), c_ids.values.to_numpy()
-                sims = np.round(cosines(_unit_block(q_values, len(q_id)), _unit_block(c_values, len(c_id))), 10)
-                sims[q_id[:, None] == c_id[None, :]] = -np.inf
-                at = best_of(sims, c_id, k)
-                sim = np.take_along_axis(sims, at, axis=1)
-                row, col = np.nonzero(np.isfinite(sim))
-                yield pa.RecordBatch.from_arrays([pa.array([grp.as_py()] * len(row), pa.string()), pa.array(q_id[row]), pa.array(c_id[at[row, col]]), pa.array(sim[row, col])], ["grp", "id", "near", "sim"])
-
-    found = met.select("grp", "qb_ids", "qb_values", "cb_ids", "cb_values").mapInArrow(run, FOUND)
+    sparse = is_sparse(candidates)
+    weight = 24 * F.size("features.indices") + 64 if sparse else 12 * F.size("features") + 64
+    cells = grid(queries, candidates, BLOCK, F.struct("id", "features"), weight)
+    features = F.col("held.features")
+    columns = [features["size"], F.transform(features["indices"], F.size), F.flatten(features["indices"]), F.flatten(features["values"])] if sparse else [F.flatten("held.features")]
+
+    def batch(grp: str, q_id: np.ndarray, c_id: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        row, col, sim = found
+        return pa.RecordBatch.from_arrays([pa.array([grp] * len(row), pa.string()), pa.array(q_id[row]), pa.array(c_id[col]), pa.array(sim)], ["grp", "id", "near", "sim"])
+
+    def hold(blocks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        c_id, x = np.concatenate([numbers(b[0]) for b in blocks]), np.concatenate([numbers(b[1]) for b in blocks])
+        unit = unit_rows(x.reshape(len(c_id), -1))
+        return c_id, unit, unit.astype(np.float32)
+
+    def answer(held: tuple, grp: str, number: int, block: list) -> Iterator[pa.RecordBatch]:
+        (c_id, unit, c32), q_id = held, numbers(block[0])
+        q = unit_rows(numbers(block[1]).reshape(len(q_id), -1))
+        yield batch(grp, q_id, c_id, dense_scan(q, q_id, c_id, c32, lambda at: unit[at], k, STRIP))
+
+    def unit_block(block: list) -> SparseBlock:
+        size = numbers(block[1])
+        return SparseBlock(int(size.max()), *(numbers(x) for x in block[2:])).unit()
+
+    def hold_sparse(blocks: list) -> tuple[np.ndarray, list[SparseBlock]]:
+        c_id, size = (np.concatenate([numbers(b[i]) for b in blocks]) for i in (0, 1))
+        counts, indices, values = (np.concatenate([numbers(b[i]) for b in blocks]) for i in (2, 3, 4))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        chunks = [(ends[at], ends[min(at + CHUNK, len(c_id))], counts[at : at + CHUNK]) for at in range(0, len(c_id), CHUNK)]
+        return c_id, [SparseBlock(int(size.max()), n, indices[a:b], values[a:b]).unit() for a, b, n in chunks]
+
+    def answer_sparse(held: tuple, grp: str, number: int, block: list) -> Iterator[pa.RecordBatch]:
+        (c_id, chunks), q_id, q = held, numbers(block[0]), unit_block(block)
+        last: list[np.ndarray] = []
+
+        def near(a: int, b: int, c: int, d: int) -> np.ndarray:
+            last[:] = [q.times_rows_of(chunks[c // CHUNK])]
+            return last[0]
+
+        yield batch(grp, q_id, c_id, scan(q_id, c_id, k, len(q_id), near, lambda tile: np.round(last[0], 10), lambda row, col: np.round(last[0][row, col % CHUNK], 10), 1e-10))
+
+    found = each_cell(cells, [F.col("held.id"), *columns], hold_sparse if sparse else hold, answer_sparse if sparse else answer, FOUND)
     rank = F.row_number().over(Window.partitionBy("grp", "id").orderBy(F.desc("sim"), "near"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -24,13 +24,14 @@ def neighbours(rows: DataFrame, k: int) -> DataFrame:
 
 def neighbour_counts(near: DataFrame, labels: DataFrame, label_k: DataFrame | None = None) -> DataFrame:
     """(grp, id, lid, c): how many of a row's nearest neighbours have the label; ``label_k`` (grp, lid, k): how many to look at."""
-    of = labels.select(F.col("id").alias("near"), F.posexplode("labels").alias("lid", "y"))
-    met = near.join(of, "near")
-    y = F.col("y")
+    of = labels.select(F.col("id").alias("near"), "labels")
+    held = near.join(of, "near").groupBy("grp", "id").agg(F.collect_list(F.struct("rank", "labels")).alias("held"))
+    each = held.select("grp", "id", "held", F.posexplode(F.element_at("held", 1)["labels"]).alias("lid", "y"))
+    looked = F.col("held")
     if label_k is not None:
-        met = met.join(label_k.select("grp", "lid", "k"), ["grp", "lid"])
-        y = F.when(F.col("rank") <= F.col("k"), F.col("y")).otherwise(0)
-    return met.groupBy("grp", "id", "lid").agg(F.sum(y).cast("int").alias("c"))
+        each = each.join(F.broadcast(label_k.select("grp", "lid", "k")), ["grp", "lid"])
+        looked = F.filter("held", lambda x: x["rank"] <= F.col("k"))
+    return each.select("grp", "id", "lid", F.aggregate(looked, F.lit(0), lambda s, x: s + F.get(x["labels"], F.col("lid")).cast("int")).alias("c"))
 
 
 def label_totals(rows: DataFrame) -> DataFrame:

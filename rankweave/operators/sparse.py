@@ -5,6 +5,7 @@ Ranking by the embedded fit and ML-kNN take samples with either layout of ``feat
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ from rankweave.functions.columns import unit
 #: Numbers of a block, and products that are spread out at a time.
 ELEMENTS = 1 << 20
 SPREAD = 1 << 22
+#: Features that at least one in so many rows of a block has are dense columns of it.
+COMMON = 32
 
 
 def sparse(features: Column) -> Column:
@@ -85,13 +88,35 @@ class SparseBlock:
         size = np.sqrt(np.bincount(self.rows, self.values**2, len(self.counts)))
         return SparseBlock(self.d, self.counts, self.indices, self.values / np.maximum(size, 1e-12)[self.rows])
 
+    @functools.cached_property
+    def by_feature(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(common, dense, features, rows, values): features that one row in ``COMMON`` has, and their columns; the other numbers, ordered by feature."""
+        features, places, many = np.unique(self.indices, return_inverse=True, return_counts=True)
+        often = many * COMMON >= len(self.counts)
+        column, here = (np.cumsum(often) - 1)[places], often[places]
+        dense = np.zeros((len(self.counts), int(often.sum())))
+        dense[self.rows[here], column[here]] = self.values[here]
+        order = np.flatnonzero(~here)
+        order = order[np.argsort(self.indices[order], kind="stable")]
+        return features[often], dense, self.indices[order], self.rows[order], self.values[order]
+
     def times_rows_of(self, other: SparseBlock) -> np.ndarray:
-        """Rows by rows of the other: the other's numbers are ordered by feature, and every number of a row meets the list of its feature."""
-        order = np.argsort(other.indices, kind="stable")
-        lists = other.indices[order]
-        first = np.searchsorted(lists, self.indices, "left")
-        count = np.searchsorted(lists, self.indices, "right") - first
-        return products(self.rows, self.values, first, count, other.rows[order], other.values[order], (len(self.counts), len(other.counts)))
+        """Rows by rows of the other: features that many of the other's rows have are columns of a product of matrices, with at most ``COMMON`` places for each of the other's
+        numbers; the other numbers are ordered by feature, and every number of a row meets the list of its feature."""
+        common, dense, lists, rows, values = other.by_feature
+        out = np.zeros((len(self.counts), len(other.counts)))
+        at = np.searchsorted(common, self.indices)
+        here = at < len(common)
+        here[here] = common[at[here]] == self.indices[here]
+        if here.any():
+            mine = np.zeros((len(self.counts), len(common)))
+            mine[self.rows[here], at[here]] = self.values[here]
+            out += mine @ dense.T
+        if len(lists):
+            first = np.searchsorted(lists, self.indices, "left")
+            count = np.searchsorted(lists, self.indices, "right") - first
+            out += products(self.rows, self.values, first, count, rows, values, out.shape)
+        return out
 
 
 def row_blocks(rows: DataFrame) -> DataFrame:
