@@ -451,29 +451,32 @@ MACRO = "ma AS (SELECT fold, coalesce(avg(CASE WHEN b > 0 THEN 2.0 * tp / b END)
 _CV = (VECTORS, LONG, UNIT, FOLD, NEAR_FOLD, FOLDED)
 
 
-def _predicted(spark, d) -> DataFrame:
-    every = spark.createDataFrame([("all", list(range(64)))], "subset string, selected array<int>")
-    return evaluate.fold_predictions(S.vectors(spark, d), every, MlknnParams(k=K), 3, 42)
+def _all_features(spark, d) -> tuple:
+    return S.vectors(spark, d), spark.createDataFrame([("all", list(range(64)))], "subset string, selected array<int>"), MlknnParams(k=K), 3, 42
+
+
+def _outcomes(spark, d) -> DataFrame:
+    return evaluate.judged(*_all_features(spark, d)).outcomes
 
 
 @query(over(*_CV, then="SELECT fold, id, lid, pred FROM pd"))
 def threshold_predict(spark, d):
-    return _predicted(spark, d).select("fold", "id", "lid", "pred")
+    return evaluate.fold_predictions(*_all_features(spark, d)).select("fold", "id", "lid", "pred")
 
 
 @query(over(*_CV, MICRO, then=f"SELECT fold, {q6('micro')} FROM mi"))
 def micro_f1(spark, d):
-    return evaluate.micro_f1(_predicted(spark, d), "fold").select("fold", r6("micro"))
+    return evaluate.micro_f1(_outcomes(spark, d), "fold").select("fold", r6("micro"))
 
 
 @query(over(*_CV, MACRO, then=f"SELECT fold, {q6('macro')} FROM ma"))
 def macro_f1(spark, d):
-    return evaluate.macro_f1(_predicted(spark, d), "fold").select("fold", r6("macro"))
+    return evaluate.macro_f1(_outcomes(spark, d), "fold").select("fold", r6("macro"))
 
 
 @query(over(*_CV, MICRO, MACRO, then=f"SELECT 'all' AS subset, {q6('sqrt(avg(micro) * avg(macro))', 'gm')} FROM mi JOIN ma USING (fold)"))
 def geometric_mean_f1(spark, d):
-    rows = _predicted(spark, d)
+    rows = _outcomes(spark, d)
     return evaluate.geometric_mean(evaluate.micro_f1(rows, "subset", "fold"), evaluate.macro_f1(rows, "subset", "fold"), "subset").select("subset", r6("gm"))
 
 

@@ -3,9 +3,11 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_ranking import frame
 
-from rankweave.operators import best, knn
+from rankweave.operators import best, evaluate, knn, mlknn
 from rankweave.operators import sparse as sp
+from rankweave.plans.params import MlknnParams
 
 
 @pytest.mark.parametrize("many", [0, 2, 64])
@@ -44,3 +46,22 @@ def test_sparse_products_with_common_features_as_columns(monkeypatch, common):
     x, y = (sp.SparseBlock(12, (m != 0).sum(axis=1), np.nonzero(m)[1].astype(np.int32), m[np.nonzero(m)]) for m in (a, b))
     assert np.allclose(x.times_rows_of(y), a @ b.T, atol=1e-12)
     assert sum(made) < ((a != 0).sum(axis=0) * (b != 0).sum(axis=0)).sum()
+
+
+@pytest.mark.parametrize("adaptive", [False, True])
+def test_outcomes_are_the_predictions_counted(spark, adaptive):
+    rng = np.random.default_rng(9)
+    x = rng.random((70, 4))
+    df = frame(spark, x, (x[:, :3] + 0.3 * rng.random((70, 3)) > [0.3, 0.7, 1.0]).astype(int)).cache()
+    groups = spark.createDataFrame([("0,1", [0, 1]), ("0,1,2", [0, 1, 2])], "subset string, selected array<int>")
+    p = MlknnParams(k=6, label_adaptive_k=adaptive, label_k_min=2)
+    rows = evaluate.fold_predictions(df, groups, p, 3, 42)
+    counted = rows.groupBy("subset", "fold", "lid", "pred", "y").count()
+    held = evaluate.judged(df, groups, p, 3, 42).outcomes.groupBy("subset", "fold", "lid", "pred", "y").agg(F.sum("n"))
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, held.collect()))
+    fold = evaluate.folds(df)
+    for t in range(3):  # the classifier of each fold by itself
+        part = df.withColumn("features", F.slice("features", 1, 2)).join(fold, "id")
+        model = mlknn.Mlknn(p).fit(part.where(F.col("fold") != t).drop("fold"))
+        want = {(r["id"], r["lid"]): int(r["proba"] >= 0.5) for r in model.predict_proba(part.where(F.col("fold") == t).drop("fold")).collect()}
+        assert {(r["id"], r["lid"]): r["pred"] for r in rows.where((F.col("subset") == "0,1") & (F.col("fold") == t)).collect()} == want
