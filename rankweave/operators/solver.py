@@ -17,10 +17,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.functions.columns import pattern
 from rankweave.operators import sharded, sparse
 from rankweave.operators.sparse import SparseBlock, block_of, is_sparse
-from rankweave.operators.weights import label_gram, pattern_counts, pattern_weights, tail_weights
+from rankweave.operators.weights import label_gram, pattern_counts, tail_weights, weighted
 from rankweave.plans.params import EmbeddedParams, params_of
 from rankweave.sources.samples import sizes
 
@@ -95,8 +94,7 @@ def prepared(samples: DataFrame, p: EmbeddedParams) -> DataFrame:
     """(features, labels, s)."""
     if not p.use_instance_weights:
         return samples.select("features", "labels", F.lit(1.0).alias("s"))
-    w = pattern_weights(samples, p.inst.gamma, p.inst.kappa, p.inst.s_max).select("pattern", "s")
-    return samples.select("features", "labels", pattern(F.col("labels")).alias("pattern")).join(w, "pattern").select("features", "labels", "s")
+    return weighted(samples, p.inst.gamma, p.inst.kappa, p.inst.s_max).select("features", "labels", "s")
 
 
 def gram(rows: DataFrame, d: int, parts: int | None = None) -> np.ndarray:

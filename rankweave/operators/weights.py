@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,6 +42,20 @@ def pattern_weights(samples: DataFrame, gamma: float = 2.0, kappa: float = 1.5,
     return beside(raw, raw.agg((F.sum(F.col("raw") * F.col("n")) / F.sum("n")).alias("mean"))).select("pattern", "n", (F.col("raw") / (F.col("mean") + EPS)).alias("s"))
 
 
+def weighted(samples: DataFrame, gamma: float = 2.0, kappa: float = 1.5, s_max: float = 3.0) -> DataFrame:
+    """``samples`` with ``s``, as of ``pattern_weights``. The priors (as long as a row of labels) and the mean go to the rows, which stay where they are: a join by pattern
+    would put all rows of a frequent pattern into one task."""
+    prior = rarity_prior(samples, gamma).agg(F.sort_array(F.collect_list(F.struct("lid", "prior"))).alias("priors"))
+
+    def raw(labels: Column) -> Column:
+        each = F.zip_with(labels, "priors", lambda y, p: F.coalesce(y * p["prior"], F.lit(0.0)))
+        return F.least(1 + kappa * F.aggregate(each, F.lit(0.0), lambda a, v: a + v), F.lit(s_max))
+
+    pats = beside(pattern_counts(samples), prior).select("n", raw(F.col("labels")).alias("raw"))
+    one = beside(prior, pats.agg((F.sum(F.col("raw") * F.col("n")) / F.sum("n")).alias("mean")))
+    return beside(samples, one).withColumn("s", raw(F.col("labels")) / (F.col("mean") + EPS)).drop("priors", "mean")
+
+
 def beside(rows: DataFrame, one: DataFrame) -> DataFrame:
     """``rows`` with the columns of ``one``, which has one row (an aggregate), so that no task orders or holds all rows."""
     return rows.withColumn("one", F.lit(1)).join(F.broadcast(one.withColumn("one", F.lit(1))), "one").drop("one")
