@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankweave.llm.components import components
-from rankweave.llm.shared import HOT_SHARE, idle, in_small_batches, looked_up, map_batches, table, written
+from rankweave.llm.shared import HOT_SHARE, idle, in_small_batches, likely, looked_up, map_batches, table, written
 from rankweave.llm.simhash import with_components
 
 SIZE, SIMILARITY = 3, 0.9
@@ -476,9 +476,9 @@ def placed(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) ->
 
     def texts_of(keys: DataFrame) -> DataFrame:
         """(key, text) of one row of each set."""
-        # a table of its own, so that its size is known and texts needn't move where it is small
+        # a table of its own, as it is read twice
         wanted = written(sets.select(F.col("fp").alias("key"), F.coalesce("one.doc_id", F.lit(-1)).alias("id"), "one.text_hash").join(keys, "key", "left_semi"), "wanted")
-        found = rows.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["id", "text_hash"])
+        found = likely(rows, wanted, "text_hash").withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["id", "text_hash"])
         return found.groupBy("key").agg(F.first("text").alias("text"))
 
     roots = components(written(links(sets.select(F.col("fp").alias("key"), "n", "least", "parity").where("n > 0"), texts_of, size, s), "set-links"))
