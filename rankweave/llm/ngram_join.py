@@ -21,7 +21,7 @@ columns are left out; an empty table gives no rows. Sets and n-grams are told ap
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import reduce
 from itertools import combinations
@@ -34,7 +34,8 @@ from pyspark.sql.window import Window
 
 from rankweave.llm.components import components
 from rankweave.llm.shared import HOT_SHARE, idle, in_small_batches, likely, looked_up, map_batches, table, written
-from rankweave.llm.simhash import with_components
+from rankweave.llm.simhash import fingerprint_of, with_components
+from rankweave.llm.simhash import links as grid_links
 
 SIZE, SIMILARITY = 3, 0.9
 #: Lists of at most so many rows make pairs.
@@ -192,6 +193,7 @@ def filed_by_least(sets: DataFrame, common: np.ndarray, s: Fraction) -> DataFram
                 })
             if more:
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), pa.array([k for k, _ in more], pa.int64()), pa.array([n for _, n in more], pa.int64()), pa.array([0.0] * len(more)), pa.array([True] * len(more))], ["sig", "key", "n", "share", "common"])
+        idle()
 
     return sets.select("key", "n", "least").mapInArrow(run, FILED)
 
@@ -281,6 +283,7 @@ def met(filed: DataFrame, s: Fraction) -> DataFrame:
         out = done()
         if out:
             yield rows(out)
+        idle()
 
     return filed.select("sig", "key", "n").repartition("sig").sortWithinPartitions("sig", F.col("key").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
@@ -322,6 +325,7 @@ def templates(rows: DataFrame, held: DataFrame) -> DataFrame:
                     pivot, sets = at, []
                 sets.append(np.frombuffer(own, np.uint64))
         yield from done()
+        idle()
 
     place = F.row_number().over(Window.partitionBy("pivot").orderBy(F.xxhash64("key", "pivot"), "key"))
     some = rows.select("pivot", "key").withColumn("place", place).where(F.col("place") <= SAMPLE)
@@ -337,6 +341,7 @@ def possible(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             apart = [least_apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(np.array(apart, np.int64) * (down + up) <= n * (down - up)))
+        idle()
 
     left, right = (sets.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
@@ -388,21 +393,43 @@ def by_difference(of: DataFrame, s: Fraction) -> DataFrame:
                     k = len(apart)
                     sigs = mixed(apart ^ mixed(np.array([pivot], np.int64).view(np.uint64), 3), 4)
                     yield _batch({"sig": sigs.view(np.int64), "group": np.full(k, pivot, np.int64), "key": np.full(k, key, np.int64), "n": np.full(k, n, np.int64), "share": np.full(k, 0.0 if far else 1.0), "least": np.full(k, least, np.int64)})
+        idle()
 
     filed = written(of.select("pivot", "key", "n", "g", "low", "apart", "difference").mapInArrow(run, "sig long, group long, key long, n long, share double, least long"), "by-difference")
     place = F.row_number().over(Window.partitionBy("group", "key").orderBy(F.desc("rows"), "sig"))
     return written(sized(filed).withColumn("place", place).where(F.col("place") >= F.col("least")).select("sig", "key", "n", "share"), "rarest")
 
 
+def starred(lists: DataFrame, held: DataFrame, s: Fraction) -> DataFrame:
+    """The differences of the rows (key, pivot, rows) of lists, each with the star of its pivot (the set of the least g, low), the greatest g (high), and whether
+    the pivot's rows have less than half in common with their template (apart)."""
+    of = written(differences(lists, held, s), "differences")
+    stars = of.groupBy("pivot").agg(F.min(F.struct("g", "key")).alias("least"), F.max("g").alias("high"), (F.sum(F.octet_length("difference")) > 4 * F.sum("n")).alias("apart"), F.count("*").alias("rows"))
+    stars = stars.select("pivot", F.col("least.g").alias("low"), F.col("least.key").alias("star"), "high", "apart", "rows")
+    return written(looked_up(of, stars, ["pivot"], max(1, of.count() // HOT_SHARE), "rows"), "stars")
+
+
+def star_links(of: DataFrame) -> DataFrame:
+    """(a, b): the rows of ``starred`` that reach the similarity with their star."""
+    return of.where("g + low <= 0 and key <> star").select(F.col("key").alias("a"), F.col("star").alias("b"))
+
+
+def near_by_grid(sets: DataFrame, whole_sets: Callable[[DataFrame, str], DataFrame], s: Fraction) -> DataFrame:
+    """(a, b): links between sets (key, n, print) whose fingerprints the grid join of ``simhash`` puts into one component; each component is a group of near copies with
+    a template, so every link reaches the similarity. What the grid misses is left to the join of columns."""
+    of_sets = sets.select("key", "n", F.col("print").alias("fp"))
+    prints = written(of_sets.groupBy("fp").agg(F.min("key").alias("first_id"), F.count("*").alias("rows")), "distinct-prints")
+    near = with_components(of_sets, prints, components(grid_links(prints.select("fp"))))
+    groups = written(sized(written(near.select(F.col("component_id").alias("sig"), "key", "n", F.lit(0.0).alias("share")), "near-prints")), "groups")
+    return star_links(starred(groups, whole_sets(groups.select("key"), "sets-of-groups"), s))
+
+
 def without_pairs(lists: DataFrame, held: DataFrame, s: Fraction) -> tuple[list[DataFrame], list[DataFrame]]:
     """Links (a, b) and pairs (a, b) that are to be verified, of lists (sig, key, n, rows, pivot) that are too long for pairs."""
     links, pairs = [], []
     while not lists.isEmpty():
-        apart = written(differences(lists, held, s), "differences")
-        stars = apart.groupBy("pivot").agg(F.min(F.struct("g", "key")).alias("least"), F.max("g").alias("high"), (F.sum(F.octet_length("difference")) > 4 * F.sum("n")).alias("apart"), F.count("*").alias("rows"))
-        stars = stars.select("pivot", F.col("least.g").alias("low"), F.col("least.key").alias("star"), "high", "apart", "rows")
-        of = written(looked_up(apart, stars, ["pivot"], max(1, apart.count() // HOT_SHARE), "rows"), "stars")
-        links.append(of.where("g + low <= 0 and key <> star").select(F.col("key").alias("a"), F.col("star").alias("b")))
+        of = starred(lists, held, s)
+        links.append(star_links(of))
         # rows of a pivot that all hang on its star need nothing more
         rest = written(sized(by_difference(of.where("high + low > 0"), s)), "lists")
         # nor does a list whose sets all do
@@ -422,8 +449,27 @@ def common_columns(sets: DataFrame) -> np.ndarray:
     return np.sort(each.where(F.col("power") >= most).select("sig").toArrow().column(0).to_numpy().view(np.uint64))
 
 
+def not_joined(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """The ``lists`` of ``sized`` whose sets aren't all in one component of ``joined`` (node, root)."""
+    roots = lists.join(joined, lists.key == joined.node, "left").select("sig", F.coalesce("root", "key").alias("root"))
+    apart = roots.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("of")).where("low <> high").select("sig", "of")
+    return looked_up(lists, apart, ["sig"], max(1, lists.count() // HOT_SHARE), "of").drop("of")
+
+
 def links(sets: DataFrame, texts_of, size: int, s: Fraction) -> DataFrame:
-    """(a, b): links between distinct sets (key, n, least, parity) that join all that similar pairs join; ``texts_of`` gives (key, text) for some keys."""
+    """(a, b): links between distinct sets (key, n, least, parity) that join all that similar pairs join; ``texts_of`` gives (key, text) for some keys.
+    Where sets have fingerprints (print), the grid join of these comes first, and columns join what it left apart: pairs and long lists of sets that it has joined are spared."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {"key": batch.column(0), "own": [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()]}
+
+    def whole_sets(keys: DataFrame, name: str) -> DataFrame:
+        return written(map_batches(texts_of(keys.distinct()), work, "key long, own binary", "text"), name)
+
+    near, joined = None, None
+    if "print" in sets.columns:
+        near = written(near_by_grid(sets, whole_sets, s), "near")
+        joined = components(near)
     common = common_columns(sets)
     first = filed_by_least(sets, common, s)
     odd = written(first.where("common"), "common-columns")
@@ -436,28 +482,28 @@ def links(sets: DataFrame, texts_of, size: int, s: Fraction) -> DataFrame:
     many = reduce(DataFrame.union, [here.where("b is null").select(F.col("a").alias("key")), odd.where("sig is not null").select("key"), whole.where("common").select("key"), whole.join(long, "sig", "left_semi").select("key")])
     again = written(filed_again(written(texts_of(many.distinct()), "many-texts"), size, s), "filed-again")
     lists = written(sized(again.where("common")), "lists")
+    if joined is not None:
+        lists = written(not_joined(lists, joined), "lists-apart")
     small = again.where("not common").select("sig", "key", "n").union(lists.where(F.col("rows") <= CELL).select("sig", "key", "n"))
     there = written(met(small, s), "met-again")
     pairs = here.where("b is not null").union(there.where("b is not null"))
     large = written(lists.where(F.col("rows") > CELL), "long-lists")
 
-    def work(batch: pa.RecordBatch) -> dict:
-        return {"key": batch.column(0), "own": [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()]}
-
-    def whole_sets(keys: DataFrame, name: str) -> DataFrame:
-        return written(map_batches(texts_of(keys.distinct()), work, "key long, own binary", "text"), name)
-
     stars, more = without_pairs(large, whole_sets(large.select("key"), "sets-of-lists"), s)
     pairs = reduce(DataFrame.union, [pairs, *more]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if joined is not None:
+        root_a, root_b = (joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        pairs = pairs.join(root_a, "a", "left").join(root_b, "b", "left").where("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
     pairs = written(possible(pairs, sets, s), "pairs")
     held = whole_sets(pairs.select(F.col("a").alias("key")).union(pairs.select("b")), "sets-of-pairs")
-    return reduce(DataFrame.union, [verified(pairs, held, s), *stars])
+    return reduce(DataFrame.union, [verified(pairs, held, s), *stars, *([near] if near is not None else [])])
 
 
-def placed(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
+def placed(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, grid: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, the name of its set (fp), a hash of its text (text_hash), the size of its set (n), the root and the component_id of
-    its component."""
+    its component. With ``grid`` sets get fingerprints, and the grid join of ``simhash`` comes before that of columns; components are the same."""
     s = Fraction(str(similarity))
+    prints = ["print"] if grid else []
 
     def work(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
@@ -466,13 +512,13 @@ def placed(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) ->
             "doc_id": batch.column(0), "fp": [set_key(x) for x in sets], "text_hash": batch.column(2), "n": [len(x) for x in sets],
             "least": pa.ListArray.from_arrays(np.cumsum([0, *map(len, least)]).astype(np.int32), np.concatenate(least).view(np.int64)),
             "parity": [parities(x).tobytes() for x in sets],
-        }
+        } | {c: [fingerprint_of(x) for x in sets] for c in prints}
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    of_docs = written(map_batches(rows, work, "doc_id long, fp long, text_hash long, n long, least array<long>, parity binary", "text"), "set-names")
+    of_docs = written(map_batches(rows, work, "doc_id long, fp long, text_hash long, n long, least array<long>, parity binary" + ", print long" * grid, "text"), "set-names")
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
-    sets = written(of_docs.groupBy("fp").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("parity").alias("parity"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), one), "distinct-sets")
+    sets = written(of_docs.groupBy("fp").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("parity").alias("parity"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), one, *(F.first(c).alias(c) for c in prints)), "distinct-sets")
 
     def texts_of(keys: DataFrame) -> DataFrame:
         """(key, text) of one row of each set."""
@@ -481,7 +527,7 @@ def placed(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) ->
         found = likely(rows, wanted, "text_hash").withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["id", "text_hash"])
         return found.groupBy("key").agg(F.first("text").alias("text"))
 
-    roots = components(written(links(sets.select(F.col("fp").alias("key"), "n", "least", "parity").where("n > 0"), texts_of, size, s), "set-links"))
+    roots = components(written(links(sets.select(F.col("fp").alias("key"), "n", "least", "parity", *prints).where("n > 0"), texts_of, size, s), "set-links"))
     out = with_components(of_docs.select("doc_id", "fp", "text_hash", "n"), sets.select("fp", "first_id", "rows"), roots)
     return out
 

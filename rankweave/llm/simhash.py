@@ -51,10 +51,23 @@ def fingerprint(text: str | None) -> int:
         some = words[at : min(at + SHINGLES_AT_ONCE, n) + SHINGLE - 1]
         shingles = map(b" ".join, zip(*(some[k:] for k in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else [b" ".join(words)]
         hashes = np.array([digest(s, SEED) for s in shingles], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += bits_set(hashes)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """How many of some 64-bit hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingles given as hashes, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
+        ones += bits_set(hashes[at : at + SHINGLES_AT_ONCE])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, text_hash): the fingerprint of every row as a signed long, and a hash of its text."""
 

@@ -8,6 +8,7 @@ import pytest
 from test_text_operators import rows_of
 
 from rankweave.llm import ngram_join, simhash
+from rankweave.llm.shared import likely
 
 
 def slow_set(text, size=5):
@@ -98,3 +99,31 @@ def test_a_copy_that_shares_an_id_with_a_kept_text_goes(spark, place):
     rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c.upper()), (None, c)]
     kept = rows_of(simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), place), "doc_id", "text")
     assert len(kept) == 4 and {(1, a), (2, b), (None, c)} < set(kept)
+
+
+def test_near_copies_by_grid_and_columns_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    monkeypatch.setattr(simhash, "CELL", 4)
+    rows = random_docs(random.Random(9))[:150]
+    got = rows_of(ngram_join.placed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 0.8, grid=True), "doc_id", "component_id")
+    assert got == sorted(zip((i for i, _ in rows), slow_near(rows), strict=True), key=str)
+
+
+def test_the_stage_takes_the_grid_of_fingerprints(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(ngram_join, "met", lambda filed, s: filed.select(ngram_join.F.col("key").alias("a"), ngram_join.F.lit(None).cast("long").alias("b")).limit(0))  # columns find nothing
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(9000)}" for _ in range(3000)]
+    texts = [base, [*base[:-1], "end"], [f"v{rnd.randrange(9000)}" for _ in range(3000)]]
+    assert [bin(a ^ b).count("1") <= simhash.DISTANCE for a, b in [[ngram_join.fingerprint_of(ngram_join.shingles(" ".join(t), 5)) & (1 << 64) - 1 for t in some] for some in (texts[:2], texts[1:])]] == [True, False]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert rows_of(corpus_pipeline.drop_near_copies(spark, docs, ""), "doc_id") == [(0,), (2,)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_wanted_rows_and_few_others_are_likely(spark, n):
+    rows = spark.range(40000).selectExpr("id", "xxhash64(id) as hash")
+    wanted = rows.where(f"id % 10 = 3 and id < {10 * n}").select("hash")
+    got = likely(rows, wanted, "hash")
+    assert got.columns == rows.columns and got.join(wanted, "hash", "left_semi").count() == n and got.count() <= n + 40000 * 0.08
