@@ -11,7 +11,8 @@ long lists are ordered again by how many of these rows have a column, so that a
 columns are common: groups of near copies. There no pairs are made. Such rows are taken as their differences from a template p, the columns that most of some of the rows
 have; D(x) is the size of a row's difference. With g(x) = D(x) - (1 - s) / (1 + s) * n(x), rows x and y reach the similarity if and only if g(x) + g(y) is at most twice what
 their differences share, whatever p is. The row y of least g is linked with all x for which g(x) + g(y) <= 0; any two rows with g(x) + g(z) <= 0 are joined through it. All others
-that reach the similarity share something in their differences: these are sparse, and are joined by the same rules (long lists get templates of their own). So a group
+that reach the similarity share something in their differences: these are sparse, and are joined by the same rules (long lists get templates of their own; a template's
+rows are always fewer than those of the one before, so this ends). So a group
 costs as many rows as it has members, no link that decides a component is lost, and nothing is dropped or capped; whatever the order or the templates, components are the same.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased. A text of fewer words than an n-gram is one n-gram; texts without words (null, empty) are the empty set.
@@ -371,8 +372,8 @@ def differences(lists: DataFrame, held: DataFrame, s: Fraction) -> DataFrame:
 
 
 def by_difference(of: DataFrame, s: Fraction) -> DataFrame:
-    """Rows (sig, key, n, share) of (pivot, key, n, g, low, apart, difference) by what sets don't have in common with their template. ``low`` is the least g of
-    the pivot's rows; ``share`` is 0 for far sets, which no star holds, and only pairs with such a set are asked for.
+    """Rows (sig, group, key, n, share) of (pivot, key, n, g, low, apart, difference) by what sets don't have in common with their template. ``low`` is the least g of
+    the pivot's rows, which ``group`` names; ``share`` is 0 for far sets, which no star holds, and only pairs with such a set are asked for.
 
     A pair must share at least half of the sum of its g, and no more than the smaller difference has. So there is a least number ``least`` of columns that a set
     shares with any partner, and the ``least - 1`` last columns of its difference in any order may be left out: others are shared, too. The most frequent
@@ -397,7 +398,7 @@ def by_difference(of: DataFrame, s: Fraction) -> DataFrame:
 
     filed = written(of.select("pivot", "key", "n", "g", "low", "apart", "difference").mapInArrow(run, "sig long, group long, key long, n long, share double, least long"), "by-difference")
     place = F.row_number().over(Window.partitionBy("group", "key").orderBy(F.desc("rows"), "sig"))
-    return written(sized(filed).withColumn("place", place).where(F.col("place") >= F.col("least")).select("sig", "key", "n", "share"), "rarest")
+    return written(sized(filed).withColumn("place", place).where(F.col("place") >= F.col("least")).select("sig", "group", "key", "n", "share"), "rarest")
 
 
 def starred(lists: DataFrame, held: DataFrame, s: Fraction) -> DataFrame:
@@ -424,6 +425,23 @@ def near_by_grid(sets: DataFrame, whole_sets: Callable[[DataFrame, str], DataFra
     return star_links(starred(groups, whole_sets(groups.select("key"), "sets-of-groups"), s))
 
 
+def smaller_groups(lists: DataFrame, of: DataFrame) -> DataFrame:
+    """The long ``lists`` (sig, group, key, n, share, rows, pivot) of differences ``of`` (pivot, rows, ...), with pivots that have fewer rows than the groups that they come from.
+
+    A list never has all rows of its group, as columns that all of them have are in the template. But all lists that one pivot names can be the whole group again, with the
+    same template and so the same lists, without end. Where they are more than three quarters of it, each list gets a name of its own, the same one for lists of the same sets."""
+    groups = of.groupBy("pivot").agg(F.max("rows").alias("most")).withColumnRenamed("pivot", "group")
+    parents = lists.select("pivot", "group").distinct().join(groups, "group").groupBy("pivot").agg(F.max("most").alias("most"))
+    together = lists.select("pivot", "key").distinct().groupBy("pivot").agg(F.count("*").alias("members"))
+    whole = written(together.join(parents, "pivot").where(4 * F.col("members") > 3 * F.col("most")).select("pivot", F.lit(True).alias("whole")), "whole-groups")
+    if whole.isEmpty():
+        return lists
+    own = F.xxhash64(F.bit_xor(F.xxhash64("key")), F.count("*"))
+    names = lists.groupBy("sig", "pivot").agg(own.alias("own"), F.count("*").alias("of")).join(whole, "pivot", "left")
+    names = names.select("sig", F.when(F.col("whole"), F.col("own")).otherwise(F.col("pivot")).alias("pivot"), "of")
+    return written(looked_up(lists.drop("pivot"), names, ["sig"], max(1, lists.count() // HOT_SHARE), "of").drop("of"), "smaller-groups")
+
+
 def without_pairs(lists: DataFrame, held: DataFrame, s: Fraction) -> tuple[list[DataFrame], list[DataFrame]]:
     """Links (a, b) and pairs (a, b) that are to be verified, of lists (sig, key, n, rows, pivot) that are too long for pairs."""
     links, pairs = [], []
@@ -435,7 +453,7 @@ def without_pairs(lists: DataFrame, held: DataFrame, s: Fraction) -> tuple[list[
         # nor does a list whose sets all do
         rest = rest.join(rest.where("share = 0").select("sig").distinct(), "sig", "left_semi")
         pairs.append(written(met(rest.where(F.col("rows") <= CELL), s), "met-apart").where("b is not null"))
-        lists = rest.where(F.col("rows") > CELL)
+        lists = smaller_groups(rest.where(F.col("rows") > CELL), of)
     return links, pairs
 
 

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
+#: Spark's bound of a batch on its way to Python. It is 64 MB unless set, which each task holds in the JVM (as much as twice, and its buffers stay) and in Python.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 HOT_SHARE = 1000
 #: Bits of a bitmap row of Spark (``bitmap_construct_agg``), keys for each of them, and rows at most (16 MB).
 BITMAP_BITS, BITMAP_KEYS, BITMAPS = 32768, 2048, 4096
@@ -32,12 +35,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def small_arrow_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile hands Python batches of about ``BATCH_BYTES``, where the session sets no bound of its own."""
+    if spark.conf.get(ARROW_BYTES, None) is not None:
+        yield
+        return
+    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(ARROW_BYTES)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with small_arrow_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ import pytest
 from test_text_operators import rows_of
 
 from rankweave.llm import ngram_join, simhash
-from rankweave.llm.shared import likely
+from rankweave.llm.shared import ARROW_BYTES, BATCH_BYTES, likely, written
 
 
 def slow_set(text, size=5):
@@ -127,3 +127,35 @@ def test_wanted_rows_and_few_others_are_likely(spark, n):
     wanted = rows.where(f"id % 10 = 3 and id < {10 * n}").select("hash")
     got = likely(rows, wanted, "hash")
     assert got.columns == rows.columns and got.join(wanted, "hash", "left_semi").count() == n and got.count() <= n + 40000 * 0.08
+
+
+def test_tables_are_written_from_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield ngram_join.pa.RecordBatch.from_arrays([ngram_join.pa.array([batch.num_rows]), ngram_join.pa.array([batch.nbytes])], ["n", "bytes"])
+
+    long_texts = spark.range(0, 150, 1, 1).selectExpr("repeat('x', 200000) as text")
+    got = written(long_texts.mapInArrow(sizes, "n long, bytes long"), "batches").collect()
+    assert sum(r["n"] for r in got) == 150 and max(r["bytes"] for r in got) < 2 * BATCH_BYTES
+    assert spark.conf.get(ARROW_BYTES, None) is None
+
+
+def test_long_lists_of_one_pivot_come_to_an_end(spark, monkeypatch):
+    np = ngram_join.np
+    rounds, starred = [], ngram_join.starred
+
+    def counted(*args):
+        rounds.append(1)
+        assert len(rounds) < 5
+        return starred(*args)
+
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    monkeypatch.setattr(ngram_join, "starred", counted)
+    # every list has the large set 0; no column is in most sets
+    sets = {0: range(40)} | {1 + 6 * i + k: [i, *range(1000 * (1 + 6 * i + k), 1000 * (1 + 6 * i + k) + 9)] for i in range(10) for k in range(6)}
+    sets[2] = [*list(sets[1])[:-1], 9999]
+    held = spark.createDataFrame([(k, bytearray(np.array(sorted(c), np.uint64).tobytes())) for k, c in sets.items()], "key long, own binary")
+    lists = spark.createDataFrame([(1, k, len(c), 0.0, len(sets), 0) for k, c in sets.items()], "sig long, key long, n long, share double, rows long, pivot long")
+    links, pairs = ngram_join.without_pairs(lists, held, Fraction(4, 5))
+    found = {(min(r), max(r)) for df in links for r in df.collect()} | {(min(r), max(r)) for df in pairs for r in df.collect()}
+    assert (1, 2) in found and len(rounds) > 1
