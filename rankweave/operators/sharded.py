@@ -1,7 +1,7 @@
 """The embedded solver with weights in blocks of features: neither a task nor the driver holds a features-by-targets matrix.
 
-Samples become tiles (rb, fb, x): a block of rows by a block of features. They are kept twice, dealt by row block and dealt by feature block, so that
-neither product of a step moves them: X W joins the tiles with the blocks of W by feature block, X' E joins them with the blocks of E by row block, and only partial sums
+Samples become tiles (rb, fb, x): a block of rows by a block of features. They are kept twice, dealt by row block and dealt by feature block (few feature blocks
+in parts, each of which meets the weights of its block), so that neither product of a step moves them: X W joins the tiles with the blocks of W by feature block, X' E joins them with the blocks of E by row block, and only partial sums
 are shuffled. A step is then: products of all row blocks with the weights, what each row block contributes (residuals, sums, losses), the gradient of each feature
 block, and the proximal step of each feature block by itself, as the penalty is a sum over features. The driver keeps sums over all rows and what is as long as a row of labels.
 """
@@ -94,7 +94,8 @@ def summed(parts: DataFrame, key: str, n: int) -> DataFrame:
 
 @dataclass
 class Tiles:
-    """``by_rows`` and ``by_features``: (rb, fb, n, x), dealt by row block and by feature block; ``rows``: (rb, n, y, s)."""
+    """``by_rows`` and ``by_features``: (rb, fb, n, x), dealt by row block and by feature block and ``part`` of its tiles (of ``parts_of_block``); ``rows``: (rb, n, y, s).
+    ``parts``: partitions by rb and by fb, no more than there are blocks."""
 
     by_rows: DataFrame
     by_features: DataFrame
@@ -102,7 +103,8 @@ class Tiles:
     d: int
     n_labels: int
     block: int
-    parts: int
+    parts: dict[str, int]
+    parts_of_block: int
 
     def _products(self, met: DataFrame, key: str, work: Callable[[np.ndarray, np.ndarray], np.ndarray], columns: Callable[[int], int], wide: int) -> DataFrame:
         """(key, v): ``work`` on pairs of a tile and a block of ``wide`` columns, added up by key."""
@@ -124,7 +126,7 @@ class Tiles:
             if sums:
                 yield out()
 
-        return summed(met.mapInArrow(run, f"{key} long, v binary"), key, self.parts)
+        return summed(met.mapInArrow(run, f"{key} long, v binary"), key, self.parts[key])
 
     def columns(self) -> Callable[[int], int]:
         d, block = self.d, self.block
@@ -132,7 +134,8 @@ class Tiles:
 
     def times(self, w: DataFrame, wide: int) -> DataFrame:
         """(rb, v): X W of each row block, for blocks (fb, w) of ``wide`` columns."""
-        met = self.by_features.join(w, "fb").select("rb", "fb", "x", "w")
+        of_parts = w.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(self.parts_of_block - 1))))
+        met = self.by_features.join(of_parts, ["fb", "part"]).select("rb", "fb", "x", "w")
         return self._products(met, "rb", lambda x, w: x @ w, self.columns(), wide)
 
     def transposed_times(self, e: DataFrame, wide: int) -> DataFrame:
@@ -141,10 +144,16 @@ class Tiles:
         return self._products(met, "fb", lambda x, e: x.T @ e, self.columns(), wide)
 
 
-def tiled(rows: DataFrame, d: int, n_labels: int, block: int) -> Tiles:
-    """Tiles of the rows (features, labels, s) with ``block`` features each."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def tiled(rows: DataFrame, d: int, n_labels: int, block: int, n: int | None = None) -> Tiles:
+    """Tiles of the rows (features, labels, s) with ``block`` features each. Where their number ``n`` is known, rows of many small partitions go into full blocks together."""
+    spark = rows.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n is not None:
+        rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-n * d // ELEMENTS)))
     blocks = checkpointed(row_blocks(rows).withColumn("rb", F.monotonically_increasing_id()))
+    n_rb, n_fb = blocks.count(), -(-d // block)
+    parts, all_parts = {"rb": max(1, min(most, n_rb)), "fb": min(most, n_fb)}, max(1, min(most, n_rb * n_fb))
+    parts_of_block = -(-all_parts // n_fb)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +163,9 @@ def tiled(rows: DataFrame, d: int, n_labels: int, block: int) -> Tiles:
                     yield pa.RecordBatch.from_arrays([pa.array([rb], pa.int64()), pa.array([fb], pa.int64()), pa.array([n], pa.int32()), pa.array([x[:, fb * block : (fb + 1) * block].tobytes()], pa.binary())], ["rb", "fb", "n", "x"])
 
     tiles = blocks.select("rb", "n", "x").mapInArrow(run, "rb long, fb long, n int, x binary")
-    return Tiles(checkpointed(tiles.repartition(parts, "rb")), checkpointed(tiles.repartition(parts, "fb")), checkpointed(blocks.select("rb", "n", "y", "s").repartition(parts, "rb")), d, n_labels, block, parts)
+    by_features = tiles.withColumn("part", F.pmod(F.xxhash64("rb"), F.lit(parts_of_block)).cast("int")).repartition(all_parts, "fb", "part")
+    by_rows, labels = tiles.repartition(parts["rb"], "rb"), blocks.select("rb", "n", "y", "s").repartition(parts["rb"], "rb")
+    return Tiles(checkpointed(by_rows), checkpointed(by_features), checkpointed(labels), d, n_labels, block, parts, parts_of_block)
 
 
 def blocks_of(spark: SparkSession, tiles: Tiles, make: Callable[[int, int], np.ndarray]) -> DataFrame:
@@ -166,7 +177,7 @@ def blocks_of(spark: SparkSession, tiles: Tiles, make: Callable[[int, int], np.n
             for fb in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array([fb], pa.int64()), pa.array([np.ascontiguousarray(make(fb * block, min(block, d - fb * block)), float).tobytes()], pa.binary())], ["fb", "w"])
 
-    return spark.range(-(-d // block)).select(F.col("id").alias("fb")).mapInArrow(run, "fb long, w binary")
+    return spark.range(0, -(-d // block), 1, tiles.parts["fb"]).select(F.col("id").alias("fb")).mapInArrow(run, "fb long, w binary")
 
 
 def mapped(df: DataFrame, work: Callable[..., dict], schema: str) -> DataFrame:
@@ -244,7 +255,7 @@ class Steps:
         met = self.tiles.times(weights, 2 * r).join(self.tiles.rows.select("rb", "y", "s"), "rb").select("rb", "v", "y", "s")
         of = checkpointed(mapped(met, rows, "rb long, e binary, more binary"))
         # sums over all rows meet in fewer tasks first
-        more = summed(of.select((F.abs(F.xxhash64("rb")) % 16).alias("part"), F.col("more").alias("v")), "part", min(16, self.tiles.parts)).collect()
+        more = summed(of.select((F.abs(F.xxhash64("rb")) % 16).alias("part"), F.col("more").alias("v")), "part", min(16, self.tiles.parts["rb"])).collect()
         total = np.sum([np.frombuffer(x["v"]) for x in more], axis=0)
         return self.tiles.transposed_times(of.select("rb", "e"), r), total[:n_labels], total[n_labels:]
 

@@ -269,11 +269,11 @@ class Course:
         return len(self.losses) > 1 and abs(self.losses[-2] - self.losses[-1]) / max(abs(self.losses[-2]), 1e-12) < self.problem.p.tol
 
 
-def _in_blocks(rows: DataFrame, p: EmbeddedParams, d: int, v: np.ndarray, lw: np.ndarray, start: np.ndarray | None, block: int) -> tuple[DataFrame, Course, float]:
+def _in_blocks(rows: DataFrame, p: EmbeddedParams, d: int, v: np.ndarray, lw: np.ndarray, start: np.ndarray | None, block: int, n: int) -> tuple[DataFrame, Course, float]:
     """(fid, w, score), what was done, and the greatest eigenvalue, with weights in blocks of features."""
     spark, r = rows.sparkSession, v.shape[1]
-    tiles = sharded.tiled(rows, d, len(lw), block)
-    s_sum = float(rows.agg(F.sum("s")).first()[0])
+    tiles = sharded.tiled(rows, d, len(lw), block, n)
+    s_sum = float(sharded.mapped(tiles.rows.select("s"), lambda raw: {"s": float(np.frombuffer(raw).sum())}, "s double").agg(F.sum("s")).first()[0])
     first = np.random.default_rng(p.seed).standard_normal(d)  # one number a feature, as in the other way
     eig = sharded.greatest_eigenvalue(tiles, p.power_iter, sharded.blocks_of(spark, tiles, lambda at, k: first[at : at + k]))
     course = Course(Problem(p, v, lw, s_sum, *step_sizes(p, eig, s_sum)))
@@ -297,6 +297,8 @@ def fit_embedded(samples: DataFrame, params: EmbeddedParams | dict | None = None
     from rankweave.operators.fusion import ranking
 
     p = params_of(EmbeddedParams, params)
+    if feature_block:
+        samples = sharded.checkpointed(samples)  # several passes read them before there are tiles
     n, d, n_labels = sizes(samples)
     v, lw = embedding(samples, p.rank, p.label_gamma, n, n_labels)
     r = v.shape[1]
@@ -304,7 +306,7 @@ def fit_embedded(samples: DataFrame, params: EmbeddedParams | dict | None = None
     if feature_block or d * r > DRIVER_WEIGHTS:
         if is_sparse(samples):
             raise ValueError("weights in blocks of features take dense samples")
-        frame, course, eig = _in_blocks(prepared(samples, p), p, d, v, lw, start, feature_block or FEATURE_BLOCK)
+        frame, course, eig = _in_blocks(prepared(samples, p), p, d, v, lw, start, feature_block or FEATURE_BLOCK, n)
         low, high = frame.agg(F.min("score"), F.max("score")).first()
         facts |= {"score_minmax": (low, high), "weights": frame}
         frame = frame.select("fid", "score")

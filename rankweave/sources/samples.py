@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rankweave.functions.columns import binarized
+from rankweave.operators.sharded import checkpointed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,13 +75,18 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), binarized(labels).alias("labels"))
 
 
-def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents: counts of characters by kind; labels quality and toxic. Features are scaled."""
+def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with counts of characters by kind (f0 to f5). Characters are counted before documents meet labels, so no text is shuffled."""
     t = F.col("text")
 
     def count(letters: str) -> Column:
         return F.length(t) - F.length(F.translate(t, letters, ""))
 
-    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     features = [F.col("n_chars"), count(" "), count("0123456789"), count("\n"), count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(".,;:!?")]
-    return min_max(assemble(joined, "doc_id", features, [F.col("quality"), F.col("toxic")]), len(features))
+    counts = table(spark, sf_dir, "documents").select("doc_id", *[c.alias(f"f{i}") for i, c in enumerate(features)])
+    return table(spark, sf_dir, "labels").join(counts, "doc_id")
+
+
+def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents: counts of characters by kind; labels quality and toxic. Features are scaled. Counts are kept, so texts are read once."""
+    return min_max(assemble(checkpointed(text_counts(spark, sf_dir)), "doc_id", [F.col(f"f{i}") for i in range(6)], [F.col("quality"), F.col("toxic")]), 6)

@@ -52,6 +52,33 @@ def test_products_move_partial_sums_only(samples):
     assert not any("x#" in line and "Exchange" in line for line in plan.splitlines())
 
 
+def test_small_partitions_make_few_tasks_and_few_feature_blocks_many(samples):
+    df, x, _ = samples
+    spark, w = df.sparkSession, np.random.default_rng(3).standard_normal((7, 2))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        tiles = sharded.tiled(rows_of(df.repartition(20)), 7, 3, 4, 60)
+        met = tiles.times(sharded.blocks_of(spark, tiles, lambda at, k: w[at : at + k]), 2)
+        got = np.concatenate([np.frombuffer(r["v"]).reshape(-1, 2) for r in met.collect()])
+        plan = met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert np.allclose(np.sort(got, axis=0), np.sort(x @ w, axis=0))
+    assert tiles.by_rows.rdd.getNumPartitions() <= 4 and tiles.by_features.rdd.getNumPartitions() <= 8
+    assert tiles.by_features.select("fb", "part").distinct().count() > 2
+    assert not any("x#" in line and "Exchange" in line for line in plan.splitlines())
+
+
+def test_characters_are_counted_before_texts_would_move(spark, data):
+    from rankweave.sources.samples import text_counts, text_rows
+
+    plan = text_counts(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("translate(")
+    # and once only: what follows reads the counts
+    assert "parquet" not in text_rows(spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("n_iter", [3, 25])
 def test_the_eigenvalue_needs_no_gram_matrix(samples, n_iter):
     df = samples[0]
