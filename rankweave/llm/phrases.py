@@ -19,7 +19,6 @@ left out; an empty table gives no rows. Nothing is capped but the report itself.
 
 from __future__ import annotations
 
-import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -48,16 +47,19 @@ PIECES_AT_ONCE = 1 << 16
 FILTER_BITS, FILTER_MOST = 16, 27
 BUCKET_MB = 256
 SALTS = 64
+GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
 
-CUTS = re.compile(rb"[.,;:!?\n-\r]")
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: A-Z in lower case, all that cuts as a line end, tabs as spaces.
+PLAIN = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 9 + b" ")
 
 
-def pieces_of(text: str | None) -> Iterator[list[bytes]]:
-    """The words of each piece of a text; pieces without words are left out."""
-    for piece in CUTS.split((text or "").encode("utf-8").translate(LOWER).replace(b"\t", b" ")):
-        if words := [w for w in piece.split(b" ") if w]:
-            yield words
+def pieces_of(text: str | None) -> Iterator[tuple[bytes, int]]:
+    """Each piece of a text, its words joined by one space, and how many it has; pieces without words are left out."""
+    for piece in (text or "").encode("utf-8").translate(PLAIN).split(b"\n"):
+        if piece := piece.strip(b" "):
+            if b"  " in piece:
+                piece = b" ".join(piece.split())
+            yield piece, piece.count(b" ") + 1
 
 
 def distinct_pieces(docs: DataFrame, size: int = PIECE) -> DataFrame:
@@ -74,9 +76,13 @@ def distinct_pieces(docs: DataFrame, size: int = PIECE) -> DataFrame:
 
         for batch in in_small_batches(batches, 1):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for words in pieces_of(text):
-                    for at in range(0, len(words), size):
-                        seen[lang, b" ".join(words[at : at + size + LONGEST - 1]), min(size, len(words) - at)] += 1
+                for piece, n in pieces_of(text):
+                    if n <= size:
+                        seen[lang, piece, n] += 1
+                    else:
+                        words = piece.split()
+                        for at in range(0, n, size):
+                            seen[lang, b" ".join(words[at : at + size + LONGEST - 1]), min(size, n - at)] += 1
                     if len(seen) >= PIECES_AT_ONCE:
                         yield rows()
         if seen:
@@ -216,17 +222,9 @@ def frequent(grams: DataFrame, least: int = LEAST, memory_mb: int = BUCKET_MB) -
         import duckdb
 
         # what doesn't fit is kept with the task, as Spark's own spills are: it goes when the task ends, and a lost executor's task starts anew
-        with tempfile.TemporaryDirectory() as scratch, duckdb.connect(f"{scratch}/bucket.db", config={"memory_limit": f"{memory_mb}MB", "threads": 1, "temp_directory": f"{scratch}/spill", "preserve_insertion_order": False}) as db:
-            db.execute("create table seen (lang varchar, gram varchar, size integer, n bigint)")
-            held, rows = [], 0
-            for batch in batches:
-                held.append(batch)
-                rows += batch.num_rows
-                if rows >= 1 << 18:
-                    _insert(db, held)
-                    held, rows = [], 0
-            _insert(db, held)
-            counted = db.sql(f"select lang, gram, size, sum(n)::bigint as n from seen group by lang, gram, size having sum(n) >= {least}")
+        with tempfile.TemporaryDirectory() as scratch, duckdb.connect(config={"memory_limit": f"{memory_mb}MB", "threads": 1, "temp_directory": f"{scratch}/spill", "preserve_insertion_order": False}) as db:
+            db.register("arrived", pa.RecordBatchReader.from_batches(GRAMS, (pa.RecordBatch.from_arrays(batch.columns, schema=GRAMS) for batch in batches)))  # a stream, read once
+            counted = db.sql(f"select lang, gram, any_value(size) as size, sum(n)::bigint as n from arrived group by lang, gram having sum(n) >= {least}")
             for batch in counted.to_arrow_reader(1 << 16):
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.string()), batch.column(2), batch.column(3)], ["lang", "gram", "size", "n"])
         idle()
@@ -234,14 +232,6 @@ def frequent(grams: DataFrame, least: int = LEAST, memory_mb: int = BUCKET_MB) -
     return grams.repartition("lang", "gram").mapInArrow(run, "lang string, gram string, size int, n long")
 
 
-def _insert(db, held: list[pa.RecordBatch]) -> None:
-    if held:
-        some = pa.Table.from_batches(held)
-        db.register("arrived", some)
-        db.execute("insert into seen select * from arrived")
-        db.unregister("arrived")
-
-
 def _exact(product: Column) -> Column:
     return product.cast("decimal(38,0)")
 

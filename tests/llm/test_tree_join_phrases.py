@@ -268,3 +268,48 @@ def test_buckets_are_counted_out_of_core(spark):
 
 def test_collocations_of_an_empty_table(spark, no_docs):
     assert phrases.collocations(no_docs).count() == 0
+
+
+def test_pieces_are_those_of_cuts_and_words():
+    import re
+
+    rnd = random.Random(2)
+    for _ in range(300):
+        text = "".join(rnd.choice("aZé\x1c\x85ü　  \t\t.,;:!?\n\x0b\x0c\r") for _ in range(40))
+        want = [re.findall("[^\x20\x09]+", p) for p in re.split("[.,;:!?\n-\r]", text.replace("Z", "z"))]
+        assert [(w.decode(), n) for w, n in phrases.pieces_of(text)] == [(" ".join(w), len(w)) for w in want if w]
+    assert not list(phrases.pieces_of(None))
+
+
+def test_phrases_are_counted_as_they_come(spark, monkeypatch):
+    """No table of all rows is made first: the rows of a bucket are read once, as a stream."""
+    import duckdb
+
+    seen = []
+
+    class Watched:
+        def __init__(self, db):
+            self.db = db
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.db.close()
+
+        def __getattr__(self, name):
+            seen.append(name)
+            return getattr(self.db, name)
+
+    class Rows:
+        def repartition(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            batch = phrases.pa.RecordBatch.from_pydict({"lang": ["en"] * 5, "gram": ["a b", "c", "a b", "a b", "c"], "size": [2, 1, 2, 2, 1], "n": [20, 29, 5, 5, 0]}, phrases.GRAMS)
+            return [r for b in run(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
+
+    connect = duckdb.connect
+    monkeypatch.setattr(duckdb, "connect", lambda *a, **k: Watched(connect(*a, **k)))
+    assert phrases.frequent(Rows(), 30) == [{"lang": "en", "gram": "a b", "size": 2, "n": 30}]
+    assert "execute" not in seen
