@@ -7,8 +7,9 @@ Of the candidates, those whose parities of column counts in groups of columns di
 multiplied out in blocks of columns: overlaps add up block by block, and a pair goes when what it has and what is left can't reach its bound.
 
 The order of columns keeps lists short. Columns that many rows have among their least hashes come last, in an order that is the same for all rows. Rows that still meet in
-long lists are ordered again by how many of these rows have a column, so that a row's own columns come first. Lists that are long even then hold rows nearly all of whose
-columns are common: groups of near copies. There no pairs are made. Such rows are taken as their differences from a template p, the columns that most of some of the rows
+long lists are ordered again by how many of these rows have a column, so that a row's own columns come first. The lists of columns that are common even then are split by
+the sizes of sets: each set is filed in the band of its size and in the next one, which leaves together all whose sizes allow the similarity. Lists that are long after that hold rows
+nearly all of whose columns are common: groups of near copies. There no pairs are made. Such rows are taken as their differences from a template p, the columns that most of some of the rows
 have; D(x) is the size of a row's difference. With g(x) = D(x) - (1 - s) / (1 + s) * n(x), rows x and y reach the similarity if and only if g(x) + g(y) is at most twice what
 their differences share, whatever p is. The row y of least g is linked with all x for which g(x) + g(y) <= 0; any two rows with g(x) + g(z) <= 0 are joined through it. All others
 that reach the similarity share something in their differences: these are sparse, and are joined by the same rules (long lists get templates of their own; a template's
@@ -34,13 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankweave.llm.components import components
-from rankweave.llm.shared import HOT_SHARE, idle, in_small_batches, likely, looked_up, map_batches, table, written
+from rankweave.llm.shared import HOT_SHARE, dropped, idle, in_small_batches, likely, looked_up, map_batches, table, written
 from rankweave.llm.simhash import fingerprint_of, with_components
 from rankweave.llm.simhash import links as grid_links
 
 SIZE, SIMILARITY = 3, 0.9
 #: Lists of at most so many rows make pairs.
 CELL = 16
+#: Groups that lists of a round name make pairs if they have at most so many rows, and no more pairs than an eighth of their columns: these needn't move then.
+GROUP = 128
 #: At most so many columns are known to all tasks as common (32 MB); where more are, the most frequent ones.
 COMMON = 1 << 22
 #: Groups of columns of a short row's parities.
@@ -48,7 +51,7 @@ GROUPS = 512
 #: Column blocks of the product.
 BLOCKS = 8
 #: A template comes from at most so many of its rows; which ones changes the path only. One copy of it meets so many rows.
-SAMPLE = 31
+SAMPLE = 9
 SPREAD = 1024
 WORDS_KEPT = 150_000
 ELEMENTS = 1 << 21
@@ -130,6 +133,21 @@ def in_order(own: np.ndarray, common: np.ndarray, s: Fraction) -> tuple[np.ndarr
     return np.concatenate([rare, own[common][: first - len(rare)]]), len(rare)
 
 
+def bands(n: int, s: Fraction) -> tuple[int, int]:
+    """The two bands of sizes in which a set of ``n`` columns is filed: its own and the next. Sets whose sizes differ by a factor of s at most share one:
+    a band ends below 1 / s times its first size, rounded up, so what is similar to its sets is in it, in the next or in the one before."""
+    at, end = 0, 2
+    while n >= end:
+        at, end = at + 1, max(end + 1, -(-end * s.denominator // s.numerator))
+    return at, at + 1
+
+
+def in_bands(sigs: np.ndarray, rare: int, n: int, s: Fraction) -> np.ndarray:
+    """The columns of a set of ``n``, the common ones, which come after ``rare`` others, once for each of its bands."""
+    common = sigs[rare:]
+    return np.concatenate([sigs[:rare], *(mixed(common, 16 + band) for band in bands(n, s))])
+
+
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], s: Fraction) -> np.ndarray:
     """Of pairs of sorted sets, which reach the similarity. Columns are taken in blocks of the hash range; overlaps add up, and a pair goes as soon as
     what is left of both can't bring it to its bound."""
@@ -222,7 +240,7 @@ def filed_whole(texts: DataFrame, common: np.ndarray, size: int, s: Fraction) ->
 
 
 def filed_again(texts: DataFrame, size: int, s: Fraction) -> DataFrame:
-    """Rows of the sets of some texts (key, text) by an order made for these sets: columns that at most ``CELL`` of them have come first."""
+    """Rows of the sets of some texts (key, text) by an order made for these sets: columns that at most ``CELL`` of them have come first. The others are filed by bands of sizes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_small_batches(batches, 1):
@@ -237,7 +255,7 @@ def filed_again(texts: DataFrame, size: int, s: Fraction) -> DataFrame:
                 own = shingles(text, size)
                 rare = np.sort(rare.values.to_numpy().view(np.uint64)) if rare.is_valid else np.zeros(0, np.uint64)
                 sigs, k = in_order(own, ~_among(own, rare), s)
-                yield _filed(sigs, key, len(own), k)
+                yield _filed(in_bands(sigs, k, len(own), s), key, len(own), k)
         idle()
 
     of = texts.mapInArrow(each, "key long, shingle long")
@@ -246,10 +264,10 @@ def filed_again(texts: DataFrame, size: int, s: Fraction) -> DataFrame:
     return texts.join(rare, "key", "left").select("key", "text", "rare").mapInArrow(file, FILED)
 
 
-def met(filed: DataFrame, s: Fraction) -> DataFrame:
-    """(a, b): pairs of sets that meet in a list and whose sizes allow the similarity; members of lists of more than ``CELL`` sets, or of lists with a
+def met(filed: DataFrame, s: Fraction, most: int | None = None) -> DataFrame:
+    """(a, b): pairs of sets that meet in a list and whose sizes allow the similarity; members of lists of more than ``most`` (``CELL``) sets, or of lists with a
     mark (a null key), come as (a, null). Rows (sig, key, n) come as a stream sorted by sig."""
-    up, down = s.numerator, s.denominator
+    up, down, most = s.numerator, s.denominator, most or CELL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, held, large = None, [], False
@@ -276,7 +294,7 @@ def met(filed: DataFrame, s: Fraction) -> DataFrame:
                     sig, held, large = own, [], False
                 mark = marked[some]
                 held += zip(key[some][~mark].tolist(), n[some][~mark].tolist(), strict=True)
-                if len(held) > CELL or large or mark.any():
+                if len(held) > most or large or mark.any():
                     out += [(x, None) for x, _ in held]
                     held, large = [], True
             if out:
@@ -398,7 +416,9 @@ def by_difference(of: DataFrame, s: Fraction) -> DataFrame:
 
     filed = written(of.select("pivot", "key", "n", "g", "low", "apart", "difference").mapInArrow(run, "sig long, group long, key long, n long, share double, least long"), "by-difference")
     place = F.row_number().over(Window.partitionBy("group", "key").orderBy(F.desc("rows"), "sig"))
-    return written(sized(filed).withColumn("place", place).where(F.col("place") >= F.col("least")).select("sig", "group", "key", "n", "share"), "rarest")
+    out = written(sized(filed).withColumn("place", place).where(F.col("place") >= F.col("least")).select("sig", "group", "key", "n", "share"), "rarest")
+    dropped(filed)
+    return out
 
 
 def starred(lists: DataFrame, held: DataFrame, s: Fraction) -> DataFrame:
@@ -407,7 +427,9 @@ def starred(lists: DataFrame, held: DataFrame, s: Fraction) -> DataFrame:
     of = written(differences(lists, held, s), "differences")
     stars = of.groupBy("pivot").agg(F.min(F.struct("g", "key")).alias("least"), F.max("g").alias("high"), (F.sum(F.octet_length("difference")) > 4 * F.sum("n")).alias("apart"), F.count("*").alias("rows"))
     stars = stars.select("pivot", F.col("least.g").alias("low"), F.col("least.key").alias("star"), "high", "apart", "rows")
-    return written(looked_up(of, stars, ["pivot"], max(1, of.count() // HOT_SHARE), "rows"), "stars")
+    out = written(looked_up(of, stars, ["pivot"], max(1, of.count() // HOT_SHARE), "rows"), "stars")
+    dropped(of)
+    return out
 
 
 def star_links(of: DataFrame) -> DataFrame:
@@ -429,17 +451,23 @@ def smaller_groups(lists: DataFrame, of: DataFrame) -> DataFrame:
     """The long ``lists`` (sig, group, key, n, share, rows, pivot) of differences ``of`` (pivot, rows, ...), with pivots that have fewer rows than the groups that they come from.
 
     A list never has all rows of its group, as columns that all of them have are in the template. But all lists that one pivot names can be the whole group again, with the
-    same template and so the same lists, without end. Where they are more than three quarters of it, each list gets a name of its own, the same one for lists of the same sets."""
+    same template and so the same lists, without end. Where they are more than three quarters of it, lists are named by two of their sets, those of the least and the greatest hash:
+    lists of one passage hold nearly the same sets, so most of them get one name, and a set isn't in as many groups as it has columns. Where a name still gathers more than
+    three quarters, each list gets a name of its own, the same one for lists of the same sets."""
     groups = of.groupBy("pivot").agg(F.max("rows").alias("most")).withColumnRenamed("pivot", "group")
     parents = lists.select("pivot", "group").distinct().join(groups, "group").groupBy("pivot").agg(F.max("most").alias("most"))
     together = lists.select("pivot", "key").distinct().groupBy("pivot").agg(F.count("*").alias("members"))
-    whole = written(together.join(parents, "pivot").where(4 * F.col("members") > 3 * F.col("most")).select("pivot", F.lit(True).alias("whole")), "whole-groups")
+    whole = written(together.join(parents, "pivot").where(4 * F.col("members") > 3 * F.col("most")).select("pivot", "most"), "whole-groups")
     if whole.isEmpty():
         return lists
-    own = F.xxhash64(F.bit_xor(F.xxhash64("key")), F.count("*"))
-    names = lists.groupBy("sig", "pivot").agg(own.alias("own"), F.count("*").alias("of")).join(whole, "pivot", "left")
-    names = names.select("sig", F.when(F.col("whole"), F.col("own")).otherwise(F.col("pivot")).alias("pivot"), "of")
-    return written(looked_up(lists.drop("pivot"), names, ["sig"], max(1, lists.count() // HOT_SHARE), "of").drop("of"), "smaller-groups")
+    mark, hot = F.xxhash64("key"), max(1, lists.count() // HOT_SHARE)
+    own, two = F.xxhash64(F.bit_xor(mark), F.count("*")), F.xxhash64("pivot", F.min(mark), F.max(mark))
+    names = lists.groupBy("sig", "pivot").agg(own.alias("own"), two.alias("two"), F.count("*").alias("of")).join(whole, "pivot", "left")
+    names = written(names.withColumn("two", F.when(F.col("most").isNotNull(), F.col("two"))), "names-of-lists")
+    tried = looked_up(lists.select("sig", "key"), names.where("two is not null").select("sig", "two", "most", "of"), ["sig"], hot, "of").select("two", "key", "most").distinct()
+    still = tried.groupBy("two").agg(F.count("*").alias("members"), F.max("most").alias("most")).where("4 * members > 3 * most").select("two", F.lit(True).alias("still"))
+    names = names.join(still, "two", "left").select("sig", F.when(F.col("still"), F.col("own")).otherwise(F.coalesce("two", "pivot")).alias("pivot"), "of")
+    return looked_up(lists.drop("pivot"), names, ["sig"], hot, "of").drop("of")
 
 
 def without_pairs(lists: DataFrame, held: DataFrame, s: Fraction) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -447,13 +475,20 @@ def without_pairs(lists: DataFrame, held: DataFrame, s: Fraction) -> tuple[list[
     links, pairs = [], []
     while not lists.isEmpty():
         of = starred(lists, held, s)
-        links.append(star_links(of))
+        links.append(written(star_links(of), "star-links"))
         # rows of a pivot that all hang on its star need nothing more
         rest = written(sized(by_difference(of.where("high + low > 0"), s)), "lists")
         # nor does a list whose sets all do
         rest = rest.join(rest.where("share = 0").select("sig").distinct(), "sig", "left_semi")
         pairs.append(written(met(rest.where(F.col("rows") <= CELL), s), "met-apart").where("b is not null"))
-        lists = smaller_groups(rest.where(F.col("rows") > CELL), of)
+        named = written(smaller_groups(rest.where(F.col("rows") > CELL), of), "next-lists")
+        dropped(of)
+        members = written(named.groupBy("pivot", "key").agg(F.first("n").alias("n")), "members-of-groups")
+        few = (F.col("members") <= GROUP) & (4 * F.col("members") * (F.col("members") - 1) <= F.col("columns"))
+        sizes = written(members.groupBy("pivot").agg(F.count("*").alias("members"), F.sum("n").alias("columns")).select("pivot", few.alias("few")), "sizes-of-groups")
+        small = members.join(sizes.where("few"), "pivot", "left_semi").select(F.col("pivot").alias("sig"), "key", "n")
+        pairs.append(written(met(small, s, GROUP), "met-in-groups").where("b is not null"))
+        lists = written(named.join(sizes.where("not few"), "pivot", "left_semi"), "lists-of-large")
     return links, pairs
 
 
@@ -474,8 +509,9 @@ def not_joined(lists: DataFrame, joined: DataFrame) -> DataFrame:
     return looked_up(lists, apart, ["sig"], max(1, lists.count() // HOT_SHARE), "of").drop("of")
 
 
-def links(sets: DataFrame, texts_of, size: int, s: Fraction) -> DataFrame:
-    """(a, b): links between distinct sets (key, n, least, parity) that join all that similar pairs join; ``texts_of`` gives (key, text) for some keys.
+def links(sets: DataFrame, leasts: DataFrame, texts_of, size: int, s: Fraction) -> DataFrame:
+    """(a, b): links between distinct sets (key, n, parity) that join all that similar pairs join; ``leasts`` (fp, n, least), a table of ``written``, is dropped
+    as soon as these sets are filed; ``texts_of`` gives (key, text) for some keys.
     Where sets have fingerprints (print), the grid join of these comes first, and columns join what it left apart: pairs and long lists of sets that it has joined are spared."""
 
     def work(batch: pa.RecordBatch) -> dict:
@@ -488,8 +524,8 @@ def links(sets: DataFrame, texts_of, size: int, s: Fraction) -> DataFrame:
     if "print" in sets.columns:
         near = written(near_by_grid(sets, whole_sets, s), "near")
         joined = components(near)
-    common = common_columns(sets)
-    first = filed_by_least(sets, common, s)
+    common = common_columns(leasts)
+    first = filed_by_least(leasts.where("n > 0").withColumnRenamed("fp", "key"), common, s)
     odd = written(first.where("common"), "common-columns")
     whole = written(filed_whole(texts_of(odd.where("sig is null").select("key").distinct()), common, size, s), "filed-whole")
     # lists of these that are long are only marked, so that no list of rows that are met here is longer than the common ones' least
@@ -497,6 +533,7 @@ def links(sets: DataFrame, texts_of, size: int, s: Fraction) -> DataFrame:
     calm = whole.where("not common").join(long, "sig", "left_anti")
     marks = long.select("sig", F.lit(None).cast("long").alias("key"), F.lit(0).cast("long").alias("n"))
     here = written(met(first.where("not common").select("sig", "key", "n").union(calm.select("sig", "key", "n")).union(marks), s), "met")
+    dropped(leasts)
     many = reduce(DataFrame.union, [here.where("b is null").select(F.col("a").alias("key")), odd.where("sig is not null").select("key"), whole.where("common").select("key"), whole.join(long, "sig", "left_semi").select("key")])
     again = written(filed_again(written(texts_of(many.distinct()), "many-texts"), size, s), "filed-again")
     lists = written(sized(again.where("common")), "lists")
@@ -536,7 +573,11 @@ def placed(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, gr
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     of_docs = written(map_batches(rows, work, "doc_id long, fp long, text_hash long, n long, least array<long>, parity binary" + ", print long" * grid, "text"), "set-names")
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
-    sets = written(of_docs.groupBy("fp").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("parity").alias("parity"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), one, *(F.first(c).alias(c) for c in prints)), "distinct-sets")
+    every = written(of_docs.groupBy("fp").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("parity").alias("parity"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), one, *(F.first(c).alias(c) for c in prints)), "distinct-sets")
+    # the least hashes are nearly all there is to these tables: what stays to the end does without them
+    names = written(of_docs.select("doc_id", "fp", "text_hash", "n"), "names")
+    dropped(of_docs)
+    sets = written(every.drop("least"), "sets")
 
     def texts_of(keys: DataFrame) -> DataFrame:
         """(key, text) of one row of each set."""
@@ -545,9 +586,8 @@ def placed(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, gr
         found = likely(rows, wanted, "text_hash").withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["id", "text_hash"])
         return found.groupBy("key").agg(F.first("text").alias("text"))
 
-    roots = components(written(links(sets.select(F.col("fp").alias("key"), "n", "least", "parity", *prints).where("n > 0"), texts_of, size, s), "set-links"))
-    out = with_components(of_docs.select("doc_id", "fp", "text_hash", "n"), sets.select("fp", "first_id", "rows"), roots)
-    return out
+    roots = components(links(sets.select(F.col("fp").alias("key"), "n", "parity", *prints).where("n > 0"), every, texts_of, size, s))
+    return with_components(names, sets.select("fp", "first_id", "rows"), roots)
 
 
 def jaccard_join(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -48,14 +49,56 @@ def small_arrow_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(ARROW_BYTES)
 
 
+#: Where the tables of ``written`` lie, and the tables that open ``passing`` blocks have seen.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_passing: list[list[str]] = []
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        _removed(df.sparkSession, _folders.pop(df))
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written meanwhile are deleted at the end, but for those that the function given is called with."""
+    seen: list[str] = []
+    kept: list[str] = []
+    _passing.append(seen)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(_folders[df])
+        return df
+
+    try:
+        yield keep
+    finally:
+        _passing.pop()
+        if _passing:
+            _passing[-1] += kept
+        for folder in seen:
+            if folder not in kept:
+                _removed(spark, folder)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    if _passing:
+        _passing[-1].append(path)
     with small_arrow_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _folders[out] = path
+    return out
 
 
 def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], least: int, n: str = "n", how: str = "inner") -> DataFrame:

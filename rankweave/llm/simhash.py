@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.llm.components import components
-from rankweave.llm.shared import HOT_SHARE, fresh, looked_up, map_batches, table, written
+from rankweave.llm.shared import HOT_SHARE, fresh, looked_up, map_batches, passing, table, written
 
 SHINGLE = 3
 SEED = 42
@@ -210,8 +210,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, place: Callable[[DataFrame], DataFrame] = placed) -> DataFrame:
     """One row of ``docs`` of each component by ``place``, with all its columns: that of the smallest id, and of the texts that share this
-    id in the component that of the least hash; rows without an id stay. Repeated rows (one id and one text) become one."""
-    least = place(docs).where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept")).select("kept.*").distinct()
+    id in the component that of the least hash; rows without an id stay. Repeated rows (one id and one text) become one. What ``place`` has written goes."""
+    with passing(docs.sparkSession) as keep:
+        least = place(docs).where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept")).select("kept.*").distinct()
+        least = keep(written(least, "kept"))
     key, mark, digest = (fresh(f"near_{c}", docs) for c in ("id", "hash", "digest"))
     text = F.col("text").cast("string")
     named_rows = docs.where("doc_id is not null").select("*", F.col("doc_id").cast("long").alias(key), F.xxhash64(text).alias(mark), F.md5(text).alias(digest))

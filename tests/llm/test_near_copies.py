@@ -7,8 +7,8 @@ from fractions import Fraction
 import pytest
 from test_text_operators import rows_of
 
-from rankweave.llm import ngram_join, simhash
-from rankweave.llm.shared import ARROW_BYTES, BATCH_BYTES, likely, written
+from rankweave.llm import components, ngram_join, simhash
+from rankweave.llm.shared import ARROW_BYTES, BATCH_BYTES, likely, shared_folder, written
 
 
 def slow_set(text, size=5):
@@ -159,3 +159,57 @@ def test_long_lists_of_one_pivot_come_to_an_end(spark, monkeypatch):
     links, pairs = ngram_join.without_pairs(lists, held, Fraction(4, 5))
     found = {(min(r), max(r)) for df in links for r in df.collect()} | {(min(r), max(r)) for df in pairs for r in df.collect()}
     assert (1, 2) in found and len(rounds) > 1
+
+
+@pytest.mark.parametrize("s", [Fraction(4, 5), Fraction(9, 10), Fraction(1, 3), Fraction(1)])
+def test_sets_whose_sizes_allow_the_similarity_share_a_band_and_others_few(s):
+    of = {n: set(ngram_join.bands(n, s)) for n in range(1, 700)}
+    assert all(of[n] & of[m] for n in of for m in range(n, 700) if n >= s * m)
+    assert not any(of[n] & of[m] for n in of for m in range(n, 700) if n < s**3 * m - 3)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_components_in_rounds_and_in_one_step_are_the_same(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    rnd = random.Random(3)
+    pairs = [(rnd.randrange(-200, 200), rnd.randrange(-200, 200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1030)] + [(7000, 7000)]
+    root = {x: x for p in pairs[:-1] for x in p if p[0] != p[1]}
+    for _ in range(len(root)):
+        for a, b in pairs[:-1]:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()} == root
+
+
+def test_the_stage_leaves_no_tables_but_its_result(spark):
+    import os
+
+    import corpus_pipeline
+
+    before = set(os.listdir(folder := shared_folder(spark).removeprefix("file:")))
+    docs = spark.createDataFrame(random_docs(random.Random(4))[:40], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert [x.rpartition("-")[0] for x in set(os.listdir(folder)) - before] == ["kept"]
+    assert 0 < kept.count() < 41
+
+
+def test_lists_of_one_passage_are_one_group(spark):
+    # every list lacks a set or two of the 40 of its passage; the hub 0 is in all lists and names them
+    rows = [(10 * p + c, 7, k, 20, 0.0, 39, 0) for p in range(1, 6) for c in range(10) for k in [0, *range(100 * p, 100 * p + 40)] if k != 100 * p + 30 + c]
+    lists = spark.createDataFrame(rows, "sig long, group long, key long, n long, share double, rows long, pivot long")
+    of = spark.createDataFrame([(7, 201)], "pivot long, rows long")
+    got = ngram_join.smaller_groups(lists, of).select("sig", "pivot", "key").collect()
+    assert sorted((r.sig, r.key) for r in got) == sorted((r[0], r[2]) for r in rows)
+    assert 5 <= len({r.pivot for r in got}) <= 25
+
+
+def test_small_groups_of_large_sets_make_pairs_in_the_first_round(spark, monkeypatch):
+    np, rounds, starred = ngram_join.np, [], ngram_join.starred
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    monkeypatch.setattr(ngram_join, "starred", lambda *args: rounds.append(1) or starred(*args))
+    sets = {0: range(400)} | {1 + 6 * i + k: [i, *range(1000 * (1 + 6 * i + k), 1000 * (1 + 6 * i + k) + 99)] for i in range(10) for k in range(6)}
+    sets[2] = [*list(sets[1])[:-1], 99999]
+    held = spark.createDataFrame([(k, bytearray(np.array(sorted(c), np.uint64).tobytes())) for k, c in sets.items()], "key long, own binary")
+    lists = spark.createDataFrame([(1, k, len(c), 0.0, len(sets), 0) for k, c in sets.items()], "sig long, key long, n long, share double, rows long, pivot long")
+    links, pairs = ngram_join.without_pairs(lists, held, Fraction(4, 5))
+    assert (1, 2) in {(min(r), max(r)) for df in [*links, *pairs] for r in df.collect()} and len(rounds) == 1
