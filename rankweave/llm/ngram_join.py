@@ -30,13 +30,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankweave.llm.components import components
-from rankweave.llm.shared import HOT_SHARE, dropped, idle, in_small_batches, likely, looked_up, map_batches, table, written
-from rankweave.llm.simhash import fingerprint_of, with_components
+from rankweave.llm.shared import BITMAP_BITS, BITMAP_KEYS, BITMAPS, HOT_SHARE, dropped, idle, in_small_batches, likely, looked_up, map_batches, table, written
+from rankweave.llm.simhash import fingerprint_of, fingerprints_of, with_components  # noqa: F401
 from rankweave.llm.simhash import links as grid_links
 
 SIZE, SIMILARITY = 3, 0.9
@@ -44,6 +45,8 @@ SIZE, SIMILARITY = 3, 0.9
 CELL = 16
 #: Groups that lists of a round name make pairs if they have at most so many rows, and no more pairs than an eighth of their columns: these needn't move then.
 GROUP = 128
+#: A group is multiplied out in one task if it has at most so many members, and members times columns; blocks of so many columns at a time. How often the columns of sets may move for that.
+MEMBERS, PRODUCT, DENSE, MOVED = 1024, 1 << 28, 1 << 11, 8
 #: At most so many columns are known to all tasks as common (32 MB); where more are, the most frequent ones.
 COMMON = 1 << 22
 #: Groups of columns of a short row's parities.
@@ -53,22 +56,14 @@ BLOCKS = 8
 #: A template comes from at most so many of its rows; which ones changes the path only. One copy of it meets so many rows.
 SAMPLE = 9
 SPREAD = 1024
-WORDS_KEPT = 150_000
+#: Bytes of texts that are cut into words together, and of a word that is hashed by itself.
+TEXTS, LONG = 1 << 18, 256
+#: A-Z lower-cased, white space as spaces.
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
 ELEMENTS = 1 << 21
 FILED = "sig long, key long, n long, share double, common boolean"
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHashes()
-
-
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Well spread 64-bit hashes of 64-bit numbers."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (1 << 64) - 1)
@@ -77,25 +72,88 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def word_hashes(raw: bytes, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts that lie one after the other in ``raw``, and how many words lie before each of the places ``begins``, where a text begins or the last
+    one ends. A word is taken eight bytes at a time, all words together."""
+    import xxhash
+
+    raw = raw.translate(LOWER) + b" " * 8
+    word = np.frombuffer(raw, np.uint8) != 32
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    first[begins] = word[begins]
+    last = word.copy()
+    last[:-1] &= first[1:] | ~word[1:]
+    at, lengths = np.flatnonzero(first), np.flatnonzero(last) + 1
+    lengths -= at
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    out = mixed(mixed(lengths.astype(np.uint64), 5) ^ eight[at] & mask[np.minimum(lengths, 8)])
+    more, k = np.flatnonzero((lengths > 8) & (lengths <= LONG)), 8
+    while len(more):
+        out[more] = mixed(out[more] ^ eight[at[more] + k] & mask[np.minimum(lengths[more] - k, 8)])
+        k += 8
+        more = more[lengths[more] > k]
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[at[i] : at[i] + lengths[i]])
+    return out, np.searchsorted(at, begins)
+
+
+def shingled(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct n-grams of some texts as hashes, and how many each of them has, for a few texts at a time; those of a text are sorted."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + TEXTS, "right")) - 1)
+        raw = texts.buffers()[2][int(ends[at]) : int(ends[to])].to_pybytes() if ends[to] > ends[at] else b""
+        words, bounds = word_hashes(raw, ends[at : to + 1] - ends[at])
+        at = to
+        counts = np.diff(bounds)
+        n = max(0, len(words) - size + 1)
+        grams = np.zeros(n, np.uint64)
+        for k in range(size):
+            grams = mixed(grams ^ words[k : k + n])
+        whole = (np.arange(len(words)) + size <= np.repeat(bounds[1:], counts))[:n]  # those that end within the text
+        few = (counts > 0) & (counts < size)
+        short = np.zeros(few.sum(), np.uint64)
+        for k in range(size):
+            short = mixed(short ^ np.where(counts[few] > k, words[np.minimum(bounds[:-1][few] + k, len(words) - 1)], np.uint64(0))) if len(short) else short
+        sizes = np.where(few, 1, np.maximum(counts - size + 1, 0))
+        of_few = np.repeat(few, sizes)
+        out = np.empty(len(of_few), np.uint64)
+        out[of_few], out[~of_few] = short, grams[whole]
+        stops = np.cumsum(sizes)
+        for a, b in zip((stops - sizes).tolist(), stops.tolist(), strict=True):
+            out[a:b].sort()
+        new = np.ones(len(out), bool)
+        new[1:] = out[1:] != out[:-1]
+        new[(stops - sizes)[sizes > 0]] = True
+        seen = np.concatenate([[0], np.cumsum(new)])
+        yield out[new], seen[stops] - seen[stops - sizes]
+
+
+def sets_of(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """The distinct n-grams of each text as sorted hashes."""
+    return [own for flat, sizes in shingled(texts, size) for own in np.split(flat, np.cumsum(sizes)[:-1])]
+
+
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     """The distinct n-grams of a text as sorted hashes."""
-    words = (text or "").encode("utf-8").lower().split()
-    if len(_HASHES) > WORDS_KEPT:
-        _HASHES.clear()
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = len(hashes) - size + 1
-    if n < 1:
-        n = min(1, len(hashes))
-        hashes = np.append(hashes, np.zeros(size - len(hashes), np.uint64))
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out = mixed(out ^ hashes[k : k + n])
-    return np.unique(out)
+    return sets_of(pa.array([text], pa.string()), size)[0]
+
+
+def sums(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sums of runs of so many numbers each."""
+    out = np.zeros(len(sizes), x.dtype)
+    if len(x):
+        out[sizes > 0] = np.add.reduceat(x, (np.cumsum(sizes) - sizes)[sizes > 0])
+    return out
 
 
-def set_key(own: np.ndarray) -> int:
-    """A 64-bit name of a set, signed."""
-    return int(mixed(mixed(own, 1).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)), 2).view(np.int64)[0])
+def set_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit names of sets of so many columns each, signed."""
+    return mixed(sums(mixed(flat, 1), sizes) + sizes.astype(np.uint64), 2).view(np.int64)
 
 
 def parities(own: np.ndarray) -> np.ndarray:
@@ -182,39 +240,87 @@ def _filed(sigs: np.ndarray, key: int, n: int, rare: int) -> pa.RecordBatch:
     return _batch({"sig": sigs.view(np.int64), "key": np.full(k, key, np.int64), "n": np.full(k, n, np.int64), "share": np.full(k, rare / max(n, 1)), "common": np.arange(k) >= rare})
 
 
-def filed_by_least(sets: DataFrame, common: np.ndarray, s: Fraction) -> DataFrame:
-    """Rows of sets (key, n, least) by their least hashes, common ones last; a set whose kept hashes don't do comes with a null sig."""
+def columns_of_several(sets: DataFrame) -> DataFrame:
+    """(sig, rows): the columns that several sets have among their least hashes, and how many. Each batch sends a column once, so a frequent one doesn't fill a task."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, rows = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            yield _batch({"sig": sig, "rows": rows})
+        idle()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            sig, rows = np.concatenate([sig, batch.column(0).to_numpy()]), np.concatenate([rows, batch.column(1).to_numpy()])
+            if len(sig):
+                starts = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
+                sig, rows = sig[starts], np.add.reduceat(rows, starts)
+                several = rows[:-1] > 1
+                if several.any():
+                    yield _batch({"sig": sig[:-1][several], "rows": rows[:-1][several]})
+                sig, rows = sig[-1:], rows[-1:]  # the next batch may go on with it
+        if len(sig) and rows[0] > 1:
+            yield _batch({"sig": sig, "rows": rows})
+        idle()
+
+    return sets.select("least").mapInArrow(each, "sig long, rows long").repartition("sig").sortWithinPartitions("sig").mapInArrow(total, "sig long, rows long")
+
+
+def _columns(batch: pa.RecordBatch, common: np.ndarray, s: Fraction) -> tuple[np.ndarray, ...]:
+    """Of a batch of sets (key, n, least): their columns, which of them are common, how many of its columns that aren't a set has before each, the number of the set, and
+    by set how many make candidates and how many aren't common."""
+    n, sizes = batch.column(1).to_numpy(), batch.column(2).value_lengths().to_numpy()
+    flat = batch.column(2).flatten().to_numpy().view(np.uint64)
+    is_common = _among(flat, common)
+    of = np.repeat(np.arange(len(n)), sizes)
+    rare = sums((~is_common).astype(np.int64), sizes)
+    before = np.cumsum(~is_common) - ~is_common - (np.cumsum(rare) - rare)[of]
+    return flat, is_common, before, of, n - -(-n * s.numerator // s.denominator) + 1, rare
+
+
+def short_of_columns(sets: DataFrame, common: np.ndarray, s: Fraction) -> DataFrame:
+    """(key, whole): the sets (key, n, least) that file common columns, too; ``whole`` if the least hashes don't tell which."""
     shared = sets.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(2).flatten().to_numpy().view(np.uint64)
-            is_common = _among(flat, shared.value)
-            ends = np.cumsum(batch.column(2).value_lengths().to_numpy())
-            out, more = [], []
-            for key, n, end, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends.tolist(), batch.column(2).value_lengths().to_pylist(), strict=True):
-                own, some = flat[end - size : end], is_common[end - size : end]
-                first = firsts(n, s)
-                if size < n and size - int(some.sum()) < first:
-                    more.append((key, n))
-                elif n:
-                    rare = own[~some][:first]
-                    sigs = rare if len(rare) == first else np.concatenate([rare, own[some][: first - len(rare)]])
-                    out.append((sigs, key, n, len(rare)))
-            if out:
-                lengths = np.array([len(x[0]) for x in out])
-                starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-                rares = np.array([x[3] for x in out])
-                sizes = np.array([x[2] for x in out])
-                yield _batch({
-                    "sig": np.concatenate([x[0] for x in out]).view(np.int64), "key": np.repeat(np.array([x[1] for x in out], np.int64), lengths), "n": np.repeat(sizes, lengths),
-                    "share": np.repeat(rares / sizes, lengths), "common": np.arange(lengths.sum()) - starts >= np.repeat(rares, lengths),
-                })
-            if more:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), pa.array([k for k, _ in more], pa.int64()), pa.array([n for _, n in more], pa.int64()), pa.array([0.0] * len(more)), pa.array([True] * len(more))], ["sig", "key", "n", "share", "common"])
+            *_, first, rare = _columns(batch, shared.value, s)
+            some = np.flatnonzero(rare < first)
+            yield _batch({"key": batch.column(0).to_numpy()[some], "whole": (batch.column(2).value_lengths().to_numpy() < batch.column(1).to_numpy())[some]})
         idle()
 
-    return sets.select("key", "n", "least").mapInArrow(run, FILED)
+    return sets.select("key", "n", "least").mapInArrow(run, "key long, whole boolean")
+
+
+def filed_by_least(sets: DataFrame, common: np.ndarray, s: Fraction, wanted: np.ndarray) -> DataFrame:
+    """(sig, key, n): the columns of sets (key, n, least) that make candidates, but for common ones, for sets whose least hashes don't do and for columns that aren't in the
+    bitmap ``wanted``."""
+    shared, bits = (sets.sparkSession.sparkContext.broadcast(x) for x in (common, wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, is_common, before, of, first, rare = _columns(batch, shared.value, s)
+            n = batch.column(1).to_numpy()
+            does = (rare >= first) | (batch.column(2).value_lengths().to_numpy() == n)
+            at = np.flatnonzero(~is_common & (before < first[of]) & does[of])
+            place = flat[at] & np.uint64(8 * len(bits.value) - 1)
+            at = at[(bits.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+            yield _batch({"sig": flat[at].view(np.int64), "key": batch.column(0).to_numpy()[of[at]], "n": n[of[at]]})
+        idle()
+
+    return sets.select("key", "n", "least").mapInArrow(run, "sig long, key long, n long")
+
+
+def bitmap(sigs: DataFrame) -> np.ndarray:
+    """The last bits of some hashes (sig) as a bitmap of 16 MB at most: about one in 16 of other hashes is in it, too, more where there are over 8 million."""
+    n = min(BITMAPS, 1 << (sigs.count() // BITMAP_KEYS).bit_length())
+    place = F.col("sig").bitwiseAND(F.lit(n * BITMAP_BITS - 1))
+    rows = sigs.select(place.alias("place")).groupBy(F.floor(F.col("place") / BITMAP_BITS).alias("bitmap")).agg(F.bitmap_construct_agg(F.col("place") % BITMAP_BITS).alias("bits")).toArrow()
+    out = np.zeros((n, BITMAP_BITS // 8), np.uint8)
+    for at, bits in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+        out[at] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
 
 
 def _among(x: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -225,13 +331,12 @@ def _among(x: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 def filed_whole(texts: DataFrame, common: np.ndarray, size: int, s: Fraction) -> DataFrame:
-    """The same from whole texts (key, text)."""
+    """The rows under which the sets of whole texts (key, text) are filed, common columns last."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_small_batches(batches, 1):
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = shingles(text, size)
+            for key, own in zip(batch.column(0).to_pylist(), sets_of(batch.column(1), size), strict=True):
                 sigs, rare = in_order(own, _among(own, shared.value), s)
                 yield _filed(sigs, key, len(own), rare)
         idle()
@@ -244,15 +349,15 @@ def filed_again(texts: DataFrame, size: int, s: Fraction) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_small_batches(batches, 1):
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = shingles(text, size).view(np.int64)
-                yield _batch({"key": np.full(len(own), key, np.int64), "shingle": own})
+            key = batch.column(0).to_numpy()
+            for flat, sizes in shingled(batch.column(1), size):
+                yield _batch({"key": np.repeat(key[: len(sizes)], sizes), "shingle": flat.view(np.int64)})
+                key = key[len(sizes) :]
         idle()
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_small_batches(batches, 1):
-            for key, text, rare in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                own = shingles(text, size)
+            for key, own, rare in zip(batch.column(0).to_pylist(), sets_of(batch.column(1), size), batch.column(2), strict=True):
                 rare = np.sort(rare.values.to_numpy().view(np.uint64)) if rare.is_valid else np.zeros(0, np.uint64)
                 sigs, k = in_order(own, ~_among(own, rare), s)
                 yield _filed(in_bands(sigs, k, len(own), s), key, len(own), k)
@@ -441,9 +546,13 @@ def near_by_grid(sets: DataFrame, whole_sets: Callable[[DataFrame, str], DataFra
     """(a, b): links between sets (key, n, print) whose fingerprints the grid join of ``simhash`` puts into one component; each component is a group of near copies with
     a template, so every link reaches the similarity. What the grid misses is left to the join of columns."""
     of_sets = sets.select("key", "n", F.col("print").alias("fp"))
-    prints = written(of_sets.groupBy("fp").agg(F.min("key").alias("first_id"), F.count("*").alias("rows")), "distinct-prints")
-    near = with_components(of_sets, prints, components(grid_links(prints.select("fp"))))
-    groups = written(sized(written(near.select(F.col("component_id").alias("sig"), "key", "n", F.lit(0.0).alias("share")), "near-prints")), "groups")
+    prints = written(of_sets.groupBy("fp").agg(F.count("*").alias("rows")), "distinct-prints")
+    roots = components(grid_links(prints.select("fp")))
+    # a set whose fingerprint is near no other one is in no group
+    shared = written(prints.join(roots, prints.fp == roots.node, "left").where("root is not null or rows > 1").select("fp", "rows", F.coalesce("root", "fp").alias("sig")), "shared-prints")
+    some = written(likely(of_sets, shared, "fp"), "likely-prints")
+    near = looked_up(some, shared, ["fp"], max(1, some.count() // HOT_SHARE), "rows")
+    groups = written(sized(written(near.select("sig", "key", "n", F.lit(0.0).alias("share")), "near-prints")), "groups")
     return star_links(starred(groups, whole_sets(groups.select("key"), "sets-of-groups"), s))
 
 
@@ -470,6 +579,74 @@ def smaller_groups(lists: DataFrame, of: DataFrame) -> DataFrame:
     return looked_up(lists.drop("pivot"), names, ["sig"], hot, "of").drop("of")
 
 
+def shared_columns(sets: list[np.ndarray]) -> np.ndarray:
+    """How many columns each two of some sets share (their own sizes aren't counted). Columns that over an eighth of the sets have are a dense product, the others pairs."""
+    m = len(sets)
+    columns, of = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(columns, kind="stable")
+    columns, of = columns[order], of[order]
+    starts = np.flatnonzero(np.concatenate([[True], columns[1:] != columns[:-1]]))
+    sizes = np.diff(np.append(starts, len(columns)))
+    column, size = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes)
+    out, dense = np.zeros(m * m, np.int64), 8 * size > m
+    place = np.cumsum(8 * sizes > m) - 1
+    rows, at = of[dense], place[column[dense]]
+    for low in range(0, len(at) and int(at[-1]) + 1, DENSE):
+        some = slice(*np.searchsorted(at, [low, low + DENSE]))
+        block = np.zeros((m, DENSE), np.float32)
+        block[rows[some], at[some] - low] = 1
+        out += (block @ block.T).astype(np.int64).reshape(-1)
+    column, of = column[~dense & (size > 1)], of[~dense & (size > 1)]
+    for step in range(1, m // 8 + 1):
+        both = np.flatnonzero(column[step:] == column[:-step])
+        if not len(both):
+            break
+        pairs = np.bincount(of[both] * m + of[both + step], minlength=m * m)
+        out += pairs + pairs.reshape(m, m).T.reshape(-1)
+    return out.reshape(m, m)
+
+
+def multiplied(lists: DataFrame, held: DataFrame, s: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join what is similar in the groups of the long ``lists`` (sig, key, n, rows, pivot) whose product fits a task, and the lists of the other groups.
+    The sets of such a group move to its task, so all of them together may have ``MOVED`` times the columns of the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, keys, sets = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if not sets:
+                return
+            n = np.array([len(x) for x in sets])
+            near = shared_columns(sets) * (s.numerator + s.denominator) >= (n[:, None] + n) * s.numerator
+            np.fill_diagonal(near, True)
+            root, was = np.arange(len(n)), None
+            while was is None or (root != was).any():
+                root, was = np.minimum(root, np.where(near, root, len(n)).min(axis=1)), root
+            linked = np.flatnonzero(root != np.arange(len(n)))
+            if len(linked):
+                yield _batch({"a": np.array(keys, np.int64)[linked], "b": np.array(keys, np.int64)[root[linked]]})
+
+        for batch in batches:
+            for of, key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if of != pivot:
+                    yield from done()
+                    pivot, keys, sets = of, [], []
+                keys.append(key)
+                sets.append(np.frombuffer(own.as_buffer(), np.uint64))
+        yield from done()
+        idle()
+
+    members = written(lists.groupBy("pivot", "key").agg(F.first("n").alias("n")), "members-of-lists")
+    sizes = written(members.groupBy("pivot").agg(F.count("*").alias("members"), F.sum("n").alias("columns")), "groups-of-lists")
+    fits = sizes.where((F.col("members") <= MEMBERS) & (F.col("columns") <= ELEMENTS // 4) & (F.col("columns") * F.col("members") <= PRODUCT)).select("pivot", "columns")
+    moved, all_of = fits.agg(F.sum("columns")).first()[0] or 0, members.select("key", "n").distinct().agg(F.sum("n")).first()[0] or 0
+    if not moved or moved > MOVED * all_of:
+        return lists.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0), lists
+    rows = members.join(fits.select("pivot"), "pivot", "left_semi").join(held, "key").select("pivot", "key", "own")
+    found = written(rows.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(run, "a long, b long"), "links-in-groups")
+    return found, written(lists.join(fits.select("pivot"), "pivot", "left_anti"), "lists-of-others")
+
+
 def without_pairs(lists: DataFrame, held: DataFrame, s: Fraction) -> tuple[list[DataFrame], list[DataFrame]]:
     """Links (a, b) and pairs (a, b) that are to be verified, of lists (sig, key, n, rows, pivot) that are too long for pairs."""
     links, pairs = [], []
@@ -492,10 +669,9 @@ def without_pairs(lists: DataFrame, held: DataFrame, s: Fraction) -> tuple[list[
     return links, pairs
 
 
-def common_columns(sets: DataFrame) -> np.ndarray:
-    """The columns that more than ``CELL`` sets have among their least hashes, sorted; if there are too many, those with more than a power of 2."""
-    each = sets.select(F.explode("least").alias("sig")).groupBy("sig").agg(F.count("*").alias("rows")).where(F.col("rows") > CELL)
-    each = written(each.select("sig", "rows", F.floor(F.log2("rows")).alias("power")), "common")
+def common_columns(several: DataFrame) -> np.ndarray:
+    """The columns (sig, rows) that more than ``CELL`` sets have among their least hashes, sorted; if there are too many, those with more than a power of 2."""
+    each = written(several.where(F.col("rows") > CELL).select("sig", F.floor(F.log2("rows")).alias("power")), "common")
     over, most = {r["power"]: r["n"] for r in each.groupBy("power").agg(F.count("*").alias("n")).collect()}, 0
     while sum(n for power, n in over.items() if power >= most) > COMMON:
         most += 1
@@ -509,13 +685,13 @@ def not_joined(lists: DataFrame, joined: DataFrame) -> DataFrame:
     return looked_up(lists, apart, ["sig"], max(1, lists.count() // HOT_SHARE), "of").drop("of")
 
 
-def links(sets: DataFrame, leasts: DataFrame, texts_of, size: int, s: Fraction) -> DataFrame:
-    """(a, b): links between distinct sets (key, n, parity) that join all that similar pairs join; ``leasts`` (fp, n, least), a table of ``written``, is dropped
-    as soon as these sets are filed; ``texts_of`` gives (key, text) for some keys.
+def links(sets: DataFrame, leasts: DataFrame, texts_of, size: int, s: Fraction, filed: Callable[[], None]) -> DataFrame:
+    """(a, b): links between distinct sets (key, n, parity) that join all that similar pairs join; ``leasts`` (key, n, least) is read no more
+    once ``filed`` has been called; ``texts_of`` gives (key, text) for some keys.
     Where sets have fingerprints (print), the grid join of these comes first, and columns join what it left apart: pairs and long lists of sets that it has joined are spared."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        return {"key": batch.column(0), "own": [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()]}
+        return {"key": batch.column(0), "own": [x.tobytes() for x in sets_of(batch.column(1), size)]}
 
     def whole_sets(keys: DataFrame, name: str) -> DataFrame:
         return written(map_batches(texts_of(keys.distinct()), work, "key long, own binary", "text"), name)
@@ -524,17 +700,19 @@ def links(sets: DataFrame, leasts: DataFrame, texts_of, size: int, s: Fraction)
     if "print" in sets.columns:
         near = written(near_by_grid(sets, whole_sets, s), "near")
         joined = components(near)
-    common = common_columns(leasts)
-    first = filed_by_least(leasts.where("n > 0").withColumnRenamed("fp", "key"), common, s)
-    odd = written(first.where("common"), "common-columns")
-    whole = written(filed_whole(texts_of(odd.where("sig is null").select("key").distinct()), common, size, s), "filed-whole")
+    several = written(columns_of_several(leasts), "columns-of-several")
+    common = common_columns(several)
+    odd = written(short_of_columns(leasts, common, s), "short-of-columns")
+    whole = written(filed_whole(texts_of(odd.where("whole").select("key").distinct()), common, size, s), "filed-whole")
     # lists of these that are long are only marked, so that no list of rows that are met here is longer than the common ones' least
     long = whole.where("not common").groupBy("sig").agg(F.count("*").alias("rows")).where(F.col("rows") > CELL).select("sig")
     calm = whole.where("not common").join(long, "sig", "left_anti")
     marks = long.select("sig", F.lit(None).cast("long").alias("key"), F.lit(0).cast("long").alias("n"))
-    here = written(met(first.where("not common").select("sig", "key", "n").union(calm.select("sig", "key", "n")).union(marks), s), "met")
-    dropped(leasts)
-    many = reduce(DataFrame.union, [here.where("b is null").select(F.col("a").alias("key")), odd.where("sig is not null").select("key"), whole.where("common").select("key"), whole.join(long, "sig", "left_semi").select("key")])
+    # a column that no other set has among its least hashes needn't move, unless one of these has it
+    wanted = bitmap(written(several.select("sig").union(whole.where("not common").select("sig").distinct()), "wanted-columns"))
+    here = written(met(filed_by_least(leasts, common, s, wanted).union(calm.select("sig", "key", "n")).union(marks), s), "met")
+    filed()
+    many = reduce(DataFrame.union, [here.where("b is null").select(F.col("a").alias("key")), odd.where("not whole").select("key"), whole.where("common").select("key"), whole.join(long, "sig", "left_semi").select("key")])
     again = written(filed_again(written(texts_of(many.distinct()), "many-texts"), size, s), "filed-again")
     lists = written(sized(again.where("common")), "lists")
     if joined is not None:
@@ -544,14 +722,16 @@ def links(sets: DataFrame, leasts: DataFrame, texts_of, size: int, s: Fraction)
     pairs = here.where("b is not null").union(there.where("b is not null"))
     large = written(lists.where(F.col("rows") > CELL), "long-lists")
 
-    stars, more = without_pairs(large, whole_sets(large.select("key"), "sets-of-lists"), s)
+    held = whole_sets(large.select("key"), "sets-of-lists")
+    in_groups, large = multiplied(large, held, s)
+    stars, more = without_pairs(large, held, s)
     pairs = reduce(DataFrame.union, [pairs, *more]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if joined is not None:
         root_a, root_b = (joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
         pairs = pairs.join(root_a, "a", "left").join(root_b, "b", "left").where("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
     pairs = written(possible(pairs, sets, s), "pairs")
     held = whole_sets(pairs.select(F.col("a").alias("key")).union(pairs.select("b")), "sets-of-pairs")
-    return reduce(DataFrame.union, [verified(pairs, held, s), *stars, *([near] if near is not None else [])])
+    return reduce(DataFrame.union, [verified(pairs, held, s), in_groups, *stars, *([near] if near is not None else [])])
 
 
 def placed(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, grid: bool = False) -> DataFrame:
@@ -561,23 +741,31 @@ def placed(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, gr
     prints = ["print"] if grid else []
 
     def work(batch: pa.RecordBatch) -> dict:
-        sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
-        least = [x[: kept(len(x), s)] for x in sets]
+        names, sizes, least, parity, prints_of = [], [], [], [], []
+        for flat, n in shingled(batch.column(1), size):
+            names.append(set_keys(flat, n))
+            sizes.append(n)
+            least.append(flat[np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) < np.repeat([kept(k, s) for k in n.tolist()], n)])
+            parity += [parities(x).tobytes() for x in np.split(flat, np.cumsum(n)[:-1])]
+            if grid:
+                prints_of.append(fingerprints_of(flat, n))
+        n = np.concatenate(sizes)
         return {
-            "doc_id": batch.column(0), "fp": [set_key(x) for x in sets], "text_hash": batch.column(2), "n": [len(x) for x in sets],
-            "least": pa.ListArray.from_arrays(np.cumsum([0, *map(len, least)]).astype(np.int32), np.concatenate(least).view(np.int64)),
-            "parity": [parities(x).tobytes() for x in sets],
-        } | {c: [fingerprint_of(x) for x in sets] for c in prints}
+            "doc_id": batch.column(0), "fp": np.concatenate(names), "text_hash": batch.column(2), "n": n,
+            "least": pa.ListArray.from_arrays(np.cumsum([0, *(kept(k, s) for k in n.tolist())]).astype(np.int32), np.concatenate(least).view(np.int64)), "parity": parity,
+        } | ({"print": np.concatenate(prints_of)} if grid else {})
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     of_docs = written(map_batches(rows, work, "doc_id long, fp long, text_hash long, n long, least array<long>, parity binary" + ", print long" * grid, "text"), "set-names")
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")
-    every = written(of_docs.groupBy("fp").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("parity").alias("parity"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), one, *(F.first(c).alias(c) for c in prints)), "distinct-sets")
-    # the least hashes are nearly all there is to these tables: what stays to the end does without them
+    # the least hashes are nearly all there is to a row: those of sets of one row don't move
+    every = of_docs.groupBy("fp").agg(F.first("n").alias("n"), F.first("parity").alias("parity"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), one, *(F.first(c).alias(c) for c in prints))
+    sets = written(every, "sets")
     names = written(of_docs.select("doc_id", "fp", "text_hash", "n"), "names")
-    dropped(of_docs)
-    sets = written(every.drop("least"), "sets")
+    filled, twice = of_docs.where("n > 0").select("fp", "n", "least"), written(sets.where("rows > 1 and n > 0").select("fp"), "sets-of-several")
+    copies = written(likely(filled, twice, "fp").dropDuplicates(["fp"]), "leasts-of-several")
+    leasts = likely(filled, twice, "fp", "left_anti").unionByName(copies).select(F.col("fp").alias("key"), "n", "least")
 
     def texts_of(keys: DataFrame) -> DataFrame:
         """(key, text) of one row of each set."""
@@ -586,7 +774,7 @@ def placed(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, gr
         found = likely(rows, wanted, "text_hash").withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["id", "text_hash"])
         return found.groupBy("key").agg(F.first("text").alias("text"))
 
-    roots = components(links(sets.select(F.col("fp").alias("key"), "n", "parity", *prints).where("n > 0"), every, texts_of, size, s))
+    roots = components(links(sets.select(F.col("fp").alias("key"), "n", "parity", *prints).where("n > 0"), leasts, texts_of, size, s, lambda: dropped(of_docs, copies)))
     return with_components(names, sets.select("fp", "first_id", "rows"), roots)
 
 

@@ -110,9 +110,9 @@ def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], least: int, n
     return met.unionByName(rows.join(few, keys, "left_anti").join(calm, keys, how))
 
 
-def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def likely(rows: DataFrame, wanted: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """The ``rows`` whose long ``key`` is in the table ``wanted``, and a few others: 6 % of them, more where ``wanted`` has over 8 million rows. A bitmap of hashes is
-    broadcast, so rows that aren't wanted needn't move to be joined; the join that follows decides."""
+    broadcast, so rows that aren't wanted needn't move to be joined; the join that follows decides. With ``how`` left_anti the other rows."""
     n = min(BITMAPS, wanted.count() // BITMAP_KEYS + 1)
     place = F.pmod(F.xxhash64(key), F.lit(n * BITMAP_BITS))
     bits = wanted.select(place.alias("place")).groupBy(F.floor(F.col("place") / BITMAP_BITS).alias("bitmap")).agg(F.bitmap_construct_agg(F.col("place") % BITMAP_BITS).alias("bits"))
@@ -120,7 +120,7 @@ def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     placed = rows.withColumn(at, place).withColumn(bitmap, F.floor(F.col(at) / BITMAP_BITS))
     of = F.conv(F.hex(F.substring(F.col(octet), (F.col(at) % BITMAP_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     held = F.broadcast(bits.select(F.col("bitmap").alias(f"{bitmap}_"), F.col("bits").alias(octet)))
-    return placed.join(held, (F.col(bitmap) == F.col(f"{bitmap}_")) & F.getbit(of, (F.col(at) % 8).cast("int")).cast("boolean"), "left_semi").drop(at, bitmap)
+    return placed.join(held, (F.col(bitmap) == F.col(f"{bitmap}_")) & F.getbit(of, (F.col(at) % 8).cast("int")).cast("boolean"), how).drop(at, bitmap)
 
 
 def idle() -> None:

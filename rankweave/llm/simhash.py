@@ -60,12 +60,21 @@ def bits_set(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
+def fingerprints_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The fingerprints of sets of shingles given as hashes, so many for each set, as signed longs. Eight bits of a hash are counted in one sum, 255 hashes at a time."""
+    pieces = -(-sizes // 255)
+    first = np.cumsum(pieces) - pieces
+    starts = np.repeat(np.cumsum(sizes) - sizes, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    ones = np.zeros((len(sizes), 8, 8), np.int64)  # bit, byte
+    for k in range(8 if len(hashes) else 0):
+        counts = np.add.reduceat(hashes >> np.uint64(k) & np.uint64(0x0101010101010101), starts).astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones[sizes > 0, k] = np.add.reduceat(counts, first[sizes > 0], dtype=np.int64)
+    return np.packbits(2 * ones.transpose(0, 2, 1).reshape(-1, 64) > sizes[:, None], axis=1, bitorder="little").view("<i8")[:, 0].astype(np.int64)
+
+
 def fingerprint_of(hashes: np.ndarray) -> int:
     """The fingerprint of a set of shingles given as hashes, as a signed long."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
-        ones += bits_set(hashes[at : at + SHINGLES_AT_ONCE])
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    return int(fingerprints_of(hashes, np.array([len(hashes)]))[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -181,6 +190,8 @@ def links(prints: DataFrame) -> DataFrame:
         met = written(compare(cells(left, bits)), f"met-{bits}")
         found.append(met.where("b is not null").select("a", "b"))
         left = met.where("b is null").select(F.col("a").alias("fp")).distinct()
+        if left.isEmpty():
+            return reduce(DataFrame.union, found).distinct()
     near = cells(left, FINER[-1])
     least = near.groupBy("cell").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1").select("cell", "least")
     found.append(near.join(least, "cell").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")))

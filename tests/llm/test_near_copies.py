@@ -213,3 +213,58 @@ def test_small_groups_of_large_sets_make_pairs_in_the_first_round(spark, monkeyp
     lists = spark.createDataFrame([(1, k, len(c), 0.0, len(sets), 0) for k, c in sets.items()], "sig long, key long, n long, share double, rows long, pivot long")
     links, pairs = ngram_join.without_pairs(lists, held, Fraction(4, 5))
     assert (1, 2) in {(min(r), max(r)) for df in [*links, *pairs] for r in df.collect()} and len(rounds) == 1
+
+
+def test_sets_of_many_texts_are_those_of_each(spark):
+    np, pa = ngram_join.np, ngram_join.pa
+    rnd = random.Random(2)
+    odd = [None, "", " \t", "a", "A b", "a b c d e", "a b c d e a b c d e", "x" * 9 + " " + "y" * 300 + " " + "y" * 301 + " " + "x" * 8, "a\0 a b", "a a\0 b", "\u00c9 \u00e9 \x1c z", "w " * 90000 + "x"]
+    texts = [*odd, *(" ".join(rnd.choice(["a", "bb", "C", "c", "longword" * rnd.randrange(1, 50)]) for _ in range(rnd.randrange(40))) for _ in range(300))]
+    for size, column in [(3, pa.array(texts)), (5, pa.array(["no part of it", *texts]).slice(1))]:
+        got, slow = ngram_join.sets_of(column, size), [slow_set(t, size) for t in texts]
+        assert [len(x) for x in got] == [len(x) for x in slow] and all((x[1:] > x[:-1]).all() for x in got)
+        for i, j in [(rnd.randrange(len(texts)), rnd.randrange(len(texts))) for _ in range(2000)]:
+            assert len(np.intersect1d(got[i], got[j])) == len(slow[i] & slow[j])
+        flat, sizes = np.concatenate(got), np.array([len(x) for x in got])
+        bits = [np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0) for x in got]
+        assert simhash.fingerprints_of(flat, sizes).tolist() == [int(np.packbits(2 * b > len(x), bitorder="little").view("<i8")[0]) for b, x in zip(bits, got, strict=True)]
+
+
+@pytest.mark.parametrize("dense", [2, 1 << 11])
+def test_shared_columns_are_those_of_all_pairs(monkeypatch, dense):
+    np = ngram_join.np
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    rnd = random.Random(7)
+    for m, span in [(1, 5), (2, 9), (50, 40), (120, 3000)]:
+        sets = [np.array(sorted({rnd.randrange(10) if rnd.random() < 0.2 else rnd.randrange(span) for _ in range(rnd.randrange(1, 60))}), np.uint64) for _ in range(m)]
+        got = ngram_join.shared_columns(sets)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(m) for j in range(m) if i != j)
+
+
+@pytest.mark.parametrize("members", [0, 1024])
+def test_groups_of_long_lists_that_fit_a_task_need_no_rounds(spark, monkeypatch, members):
+    rounds, starred = [], ngram_join.starred
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
+    monkeypatch.setattr(ngram_join, "starred", lambda *args: rounds.append(1) or starred(*args))
+    rnd = random.Random(11)
+    base = [f"h{i}" for i in range(120)]
+    texts = [edited(rnd, base, rnd.randrange(9)) for _ in range(60)] + [[*base[:90], *[f"o{i}x{k}" for k in range(rnd.randrange(10, 60))]] for i in range(30)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = rows_of(ngram_join.placed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 0.8), "doc_id", "component_id")
+    assert got == sorted(zip((i for i, _ in rows), slow_near(rows), strict=True), key=str)
+    assert bool(rounds) == (not members)
+
+
+def test_columns_of_several_sets_are_counted(spark):
+    rnd = random.Random(12)
+    sets = [(i, [*range(0, 2000, 1 + i % 7), rnd.getrandbits(62)]) for i in range(300)]
+    counts = {}
+    for _, columns in sets:
+        for c in columns:
+            counts[c] = counts.get(c, 0) + 1
+    got = ngram_join.columns_of_several(spark.createDataFrame(sets, "key long, least array<long>").repartition(7)).collect()
+    assert {r.sig: r.rows for r in got} == {c: n for c, n in counts.items() if n > 1} and len(got) == len({r.sig for r in got})
+    wanted = ngram_join.bitmap(spark.createDataFrame([(c - (1 << 63),) for c in range(0, 9000, 3)], "sig long"))
+    place = ngram_join.np.arange(0, 9000, 3) % (8 * len(wanted))
+    assert (wanted[place >> 3] >> (place & 7) & 1).all() and ngram_join.np.bitwise_count(wanted).sum() <= 3000
